@@ -35,7 +35,7 @@ def _semi(df: DataFrame, entities: DataFrame | None, entity_key: str, key: str)
     if entities is None:
         return df
     ids = entities.select(F.col(entity_key).alias(key))
-    return df.join(ids, key, "left_semi")
+    return df.join(ids, key, "left_semi").select(*df.columns)
 
 
 def window_distinct_count(events: DataFrame, key: str, value: str, time_col: str, anchors,

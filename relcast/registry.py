@@ -135,3 +135,140 @@ def q_link_bounded(spark, sf_dir):
     return L.link_labels(f["votes"], "UserId", "PostId", "CreationDate", anchors_for(spark, sf_dir, "forum_a"),
                          dt.timedelta(days=30), dst_entities=f["posts"].select("Id", "CreationDate"),
                          dst_time="CreationDate")
+
+
+# ---------------------------------------------------------------- group C
+
+from .operators import sampling as C  # noqa: E402
+from .operators import tasks as E  # noqa: E402
+from .plans.history import Agg, cumulative_aggregate  # noqa: E402
+
+
+@query("candidates_static")
+def q_candidates_static(spark, sf_dir):
+    return C.static_candidates(AD.shop(spark, sf_dir), "customer")
+
+
+@query("candidates_creation")
+def q_candidates_creation(spark, sf_dir):
+    return C.creation_candidates(AD.forum_a(spark, sf_dir), "posts", anchors_for(spark, sf_dir, "forum_a"))
+
+
+@query("sample_creation")
+def q_sample_creation(spark, sf_dir):
+    f = AD.forum_a(spark, sf_dir)
+    cands = C.creation_candidates(f, "posts", anchors_for(spark, sf_dir, "forum_a"))
+    return C.placeholder_label(C.proportional_sample(cands, "Id", 0.3), "Id")
+
+
+@query("activity_counts")
+def q_activity_counts(spark, sf_dir):
+    return C.activity_counts(AD.shop(spark, sf_dir), "customer", anchors_for(spark, sf_dir, "shop"))
+
+
+@query("activity_total")
+def q_activity_total(spark, sf_dir):
+    return C.activity_total(AD.shop(spark, sf_dir), "product", anchors_for(spark, sf_dir, "shop"))
+
+
+@query("sample_activity_biased")
+def q_sample_activity_biased(spark, sf_dir):
+    shop = AD.shop(spark, sf_dir)
+    act = C.activity_total(shop, "customer", anchors_for(spark, sf_dir, "shop"))
+    ents = shop["customer"].withColumnRenamed("customer_id", "entity_id")
+    cands = act.join(ents, "entity_id")
+    s = C.activity_biased_sample(cands, "entity_id", "total_activity", 0.3, 2.0)
+    return C.placeholder_label(s, "entity_id").select(
+        "__timestamp", F.col("entity_id").alias("customer_id"), "customer_name", "segment", "balance",
+        "__label__")
+
+
+@query("sample_cap")
+def q_sample_cap(spark, sf_dir):
+    labels = L.user_churn(AD.shop(spark, sf_dir), anchors_for(spark, sf_dir, "shop"), H)
+    return C.cap_rows(labels, 10_000, ["__id", "__timestamp"])
+
+
+@query("sample_rows")
+def q_sample_rows(spark, sf_dir):
+    return C.random_rows(read_table(spark, sf_dir, "customer"), "c_custkey", 5)
+
+
+@query("sampling_report")
+def q_sampling_report(spark, sf_dir):
+    f = AD.forum_a(spark, sf_dir)
+    cands = C.creation_candidates(f, "posts", anchors_for(spark, sf_dir, "forum_a"))
+    return C.sampling_report(cands, C.proportional_sample(cands, "Id", 0.3))
+
+
+def read_table(spark, sf_dir, name):
+    return AD.read(spark, sf_dir, name)
+
+
+# ---------------------------------------------------------------- group E
+
+def _review_snapshots(spark, sf_dir):
+    """Per (customer, anchor): review count and rating sum strictly before the anchor."""
+    shop = AD.shop(spark, sf_dir)
+    snap = cumulative_aggregate(shop["review"], ["customer_id"], "review_time", anchors_for(spark, sf_dir, "shop"),
+                                [Agg("n_reviews", "count"), Agg("sum_rating", "sum", "rating")], strict=True)
+    return snap.select(F.col("customer_id").alias("__id"), "__timestamp", "n_reviews", "sum_rating")
+
+
+@query("train_table")
+def q_train_table(spark, sf_dir):
+    shop = AD.shop(spark, sf_dir)
+    labels = L.user_churn(shop, anchors_for(spark, sf_dir, "shop"), H)
+    return E.train_table(shop, "customer", labels, rate=0.3)
+
+
+@query("test_table")
+def q_test_table(spark, sf_dir):
+    return E.test_table(AD.shop(spark, sf_dir), "customer", AD.SHOP_TODAY)
+
+
+@query("label_feature_join")
+def q_label_feature_join(spark, sf_dir):
+    shop = AD.shop(spark, sf_dir)
+    labels = L.user_churn(shop, anchors_for(spark, sf_dir, "shop"), H)
+    return E.label_feature_join(_review_snapshots(spark, sf_dir), labels).select(
+        "__id", "__timestamp", "n_reviews", r4("sum_rating"), "__label")
+
+
+@query("latest_snapshot")
+def q_latest_snapshot(spark, sf_dir):
+    snap = _review_snapshots(spark, sf_dir)
+    return E.latest_before(snap, AD.SHOP_TODAY).select("__id", "__timestamp", "n_reviews", r4("sum_rating"))
+
+
+@query("realign_snapshot")
+def q_realign_snapshot(spark, sf_dir):
+    from .functions.timeparts import epoch_nanos
+    snap = _review_snapshots(spark, sf_dir).withColumnRenamed("__timestamp", "__timestamp__")
+    t = F.col("__timestamp__")
+    snap = snap.withColumns({"YEAR(__timestamp__)": F.year(t), "MONTH(__timestamp__)": F.month(t),
+                             "DAY(__timestamp__)": F.dayofmonth(t), "DAYOFWEEK(__timestamp__)": F.weekday(t),
+                             "TIMESTAMP___timestamp__": epoch_nanos(t)})
+    latest = E.latest_before(snap, AD.SHOP_TODAY, ts_col="__timestamp__")
+    return E.realign(latest, AD.SHOP_TODAY).select(
+        "__id", "__timestamp__", "n_reviews", "YEAR(__timestamp__)", "MONTH(__timestamp__)",
+        "DAY(__timestamp__)", "DAYOFWEEK(__timestamp__)", "TIMESTAMP___timestamp__")
+
+
+@query("asof_last_event")
+def q_asof_last_event(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    left = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    right = ev.where(F.col("event_type") == "view").select(
+        "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"),
+        F.col("value").alias("view_value"))
+    return E.asof_join(left, right, "user_id", "ts", "view_ts", ["view_id", "view_value"])
+
+
+@query("entity_filter")
+def q_entity_filter(spark, sf_dir):
+    """E4 with a data-derived id frame: orders of customers in the BUILDING segment."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("__id"), "o_orderkey",
+                                                       "o_totalprice")
+    ids = read_table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    return E.entity_filter(orders, ids)
