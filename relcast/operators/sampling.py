@@ -72,27 +72,35 @@ def sample_size(total: Column, rate: float) -> Column:
 
 
 def topk_per_group(df: DataFrame, group: str, bucket: Column, order: list[Column],
-                   k: DataFrame, k_col: str = "__k") -> DataFrame:
-    """Exact first-``k`` rows per ``group`` in ``order``.
-
-    ``bucket`` must be an integer that is non-decreasing along ``order``.
-    ``k`` is a frame (group, k_col) with one row per group (<= MAX_ANCHORS rows).
-    Only rows of each group's boundary bucket are ranked by a window.
+                   k_of_total) -> DataFrame:
+    """Exact first-``k`` rows per ``group`` in ``order``, k = ``k_of_total(n_rows_in_group)``.
+
+    ``bucket`` must be an integer that is non-decreasing along ``order``.  Two
+    passes over ``df``: (1) an (group, bucket) histogram (map-side combined),
+    from which a running sum finds each group's boundary bucket and how many
+    of its rows are needed (one row per group: bounded by the anchor count, so
+    broadcast); (2) rows in buckets up to the boundary are ranked by a window
+    partitioned by (group, bucket) -- never a whole group in one task -- and
+    kept when their bucket is before the boundary or their rank is within need.
     """
     b = df.withColumn("__b", bucket)
     hist = b.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("__cum", F.sum("__n").over(w)).withColumn("__before", F.col("__cum") - F.col("__n"))
-    hist = hist.join(k, group)
-    boundary = hist.where((F.col("__before") < F.col(k_col)) & (F.col("__cum") >= F.col(k_col))).select(
-        group, F.col("__b").alias("__bstar"), (F.col(k_col) - F.col("__before")).alias("__need"))
-    # ``boundary`` has one row per group (bounded by the anchor count).
-    tagged = b.join(F.broadcast(boundary), group)
-    whole = tagged.where(F.col("__b") < F.col("__bstar"))
-    edge = tagged.where(F.col("__b") == F.col("__bstar"))
-    rw = Window.partitionBy(group).orderBy(*order)
-    edge = edge.withColumn("__rn", F.row_number().over(rw)).where(F.col("__rn") <= F.col("__need")).drop("__rn")
-    return whole.unionByName(edge).drop("__b", "__bstar", "__need")
+    wg = Window.partitionBy(group)
+    w = wg.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = (hist.withColumn("__cum", F.sum("__n").over(w))
+            .withColumn("__k", k_of_total(F.sum("__n").over(wg)))
+            .withColumn("__before", F.col("__cum") - F.col("__n")))
+    boundary = hist.where((F.col("__before") < F.col("__k")) & (F.col("__cum") >= F.col("__k"))).select(
+        group, F.col("__b").alias("__bstar"), (F.col("__k") - F.col("__before")).alias("__need"))
+    tagged = b.join(F.broadcast(boundary), group).where(F.col("__b") <= F.col("__bstar"))
+    rn = F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order))
+    kept = tagged.withColumn("__rn", rn).where(
+        (F.col("__b") < F.col("__bstar")) | (F.col("__rn") <= F.col("__need")))
+    return kept.drop("__b", "__bstar", "__need", "__rn")
+
+
+def _k(rate: float):
+    return lambda total: F.least(total, sample_size(total, rate))
 
 
 def proportional_sample(cands: DataFrame, id_col: str, rate: float = 0.3, seed: int = SEED,
@@ -100,9 +108,8 @@ def proportional_sample(cands: DataFrame, id_col: str, rate: float = 0.3, seed:
     """Per anchor keep the first greatest(1, round(n * rate)) rows by u = hash(seed, t, id)."""
     u = unit_hash(seed, epoch_seconds(F.col(group)), F.col(id_col))
     c = cands.withColumn("__u", u)
-    k = c.groupBy(group).agg(F.least(F.count(F.lit(1)), sample_size(F.count(F.lit(1)), rate)).alias("__k"))
     bucket = F.floor(F.col("__u") * N_BUCKETS).cast("int")
-    return topk_per_group(c, group, bucket, [F.col("__u"), F.col(id_col)], k).drop("__u")
+    return topk_per_group(c, group, bucket, [F.col("__u"), F.col(id_col)], _k(rate)).drop("__u")
 
 
 def activity_biased_sample(cands: DataFrame, id_col: str, activity_col: str, rate: float = 0.3,
@@ -112,10 +119,9 @@ def activity_biased_sample(cands: DataFrame, id_col: str, activity_col: str, rat
     u = unit_hash(seed, epoch_seconds(F.col(group)), F.col(id_col))
     score = F.pow(F.coalesce(F.col(activity_col).cast("double"), F.lit(1.0)), F.lit(bias)) * u
     c = cands.withColumn("__s", score)
-    k = c.groupBy(group).agg(F.least(F.count(F.lit(1)), sample_size(F.count(F.lit(1)), rate)).alias("__k"))
     # log-scale bucket, negated so that it grows as the score falls; zero scores last.
     bucket = F.when(F.col("__s") > 0, -F.floor(F.log2(F.col("__s")) * 64)).otherwise(F.lit(1 << 30)).cast("int")
-    return topk_per_group(c, group, bucket, [F.col("__s").desc(), F.col(id_col)], k).drop("__s")
+    return topk_per_group(c, group, bucket, [F.col("__s").desc(), F.col(id_col)], _k(rate)).drop("__s")
 
 
 def placeholder_label(df: DataFrame, id_col: str, seed: int = SEED + 1, group: str | None = TS) -> DataFrame:

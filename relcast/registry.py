@@ -272,3 +272,132 @@ def q_entity_filter(spark, sf_dir):
                                                        "o_totalprice")
     ids = read_table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
     return E.entity_filter(orders, ids)
+
+
+# ---------------------------------------------------------------- group G
+
+from .operators import features as G  # noqa: E402
+
+
+def _churn_target(spark, sf_dir):
+    return L.user_churn(AD.shop(spark, sf_dir), anchors_for(spark, sf_dir, "shop"), H)
+
+
+def _customer_features(spark, sf_dir, cfg, names=None, target=None):
+    rdb = AD.tpch(spark, sf_dir)
+    specs = G.enumerate_features(rdb.schema, "customer", cfg)
+    if names is not None:
+        specs = [s for s in specs if s.name in names]
+    tgt = target if target is not None else _churn_target(spark, sf_dir)
+    out = G.compute_features(rdb, tgt, "customer", anchors_for(spark, sf_dir, "shop"), cfg, specs)
+    return _round_doubles(out)
+
+
+def _round_doubles(df):
+    return df.select(*[F.round(F.col(f"`{f.name}`"), 4).alias(f.name) if f.dataType.simpleString() in ("double", "float")
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def _cfg(**kw):
+    return G.DfsConfig(**{"max_depth": 1, "include_entities": ("orders",), **kw})
+
+
+@query("dfs_count_sum_mean")
+def q_dfs_count_sum_mean(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("count", "sum", "mean")))
+
+
+@query("dfs_min_max")
+def q_dfs_min_max(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("min", "max")))
+
+
+@query("dfs_std")
+def q_dfs_std(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("std",)))
+
+
+@query("dfs_mode")
+def q_dfs_mode(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("mode",)))
+
+
+@query("dfs_time_since_last")
+def q_dfs_time_since_last(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("time_since_last",)))
+
+
+@query("dfs_where")
+def q_dfs_where(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=(), interesting_values={
+        "orders.o_orderstatus": ["F", "O", "P"]}))
+
+
+@query("dfs_lookback")
+def q_dfs_lookback(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("count", "sum"),
+                                                  lookback=dt.timedelta(days=365)))
+
+
+@query("dfs_no_cutoff")
+def q_dfs_no_cutoff(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("count", "max"), use_cutoff_time=False))
+
+
+DEPTH2 = ["COUNT(orders)", "MEAN(orders.COUNT(lineitem))", "MAX(orders.COUNT(lineitem))",
+          "SUM(orders.SUM(lineitem.l_quantity))", "MEAN(orders.MAX(lineitem.l_extendedprice))"]
+
+
+@query("dfs_depth2")
+def q_dfs_depth2(spark, sf_dir):
+    cfg = G.DfsConfig(max_depth=2, include_entities=("orders", "lineitem"),
+                      agg_primitives=("count", "sum", "max"))
+    return _customer_features(spark, sf_dir, cfg, DEPTH2)
+
+
+DEPTH3 = ["MEAN(orders.SUM(lineitem.part.p_retailprice))", "MAX(orders.MEAN(lineitem.l_discount))",
+          "SUM(orders.COUNT(lineitem))"]
+
+
+@query("dfs_depth3")
+def q_dfs_depth3(spark, sf_dir):
+    cfg = G.DfsConfig(max_depth=3, include_entities=("orders", "lineitem", "part"),
+                      agg_primitives=("count", "sum", "mean"))
+    return _customer_features(spark, sf_dir, cfg, DEPTH3)
+
+
+@query("dfs_direct")
+def q_dfs_direct(spark, sf_dir):
+    """Orders at each anchor (creation-based) with their customer's columns."""
+    rdb = AD.tpch(spark, sf_dir)
+    anchors = anchors_for(spark, sf_dir, "shop")
+    tgt = C.creation_candidates(rdb, "orders", anchors).select(F.col("o_orderkey").alias("__id"), "__timestamp")
+    cfg = G.DfsConfig(max_depth=1, include_entities=("customer",))
+    specs = [s for s in G.enumerate_features(rdb.schema, "orders", cfg) if s.kind == "direct"]
+    return _round_doubles(G.compute_features(rdb, tgt, "orders", anchors, cfg, specs))
+
+
+@query("dfs_multi_key")
+def q_dfs_multi_key(spark, sf_dir):
+    """Link-label rows keyed (voter=supplier, post=order) get features of both keys."""
+    rdb = AD.tpch(spark, sf_dir)
+    f = AD.forum_a(spark, sf_dir)
+    anchors = anchors_for(spark, sf_dir, "forum_a")
+    links = L.link_labels(f["votes"], "UserId", "PostId", "CreationDate", anchors, dt.timedelta(days=30),
+                          dst_entities=f["posts"].select("Id", "CreationDate"), dst_time="CreationDate")
+    cfg = G.DfsConfig(max_depth=1, agg_primitives=("count",), include_entities=("lineitem",))
+    s_specs = G.enumerate_features(rdb.schema, "supplier", cfg)
+    o_specs = G.enumerate_features(rdb.schema, "orders", cfg)
+    a = G.compute_features(rdb, links, "supplier", anchors, cfg, s_specs)
+    a = a.withColumnRenamed("COUNT(lineitem)", "supplier.COUNT(lineitem)")
+    tgt = a.withColumnRenamed("__id", "__src").withColumnRenamed("__target_id", "__id")
+    b = G.compute_features(rdb, tgt, "orders", anchors, cfg, o_specs)
+    b = b.withColumnRenamed("COUNT(lineitem)", "post.COUNT(lineitem)")
+    return b.withColumnRenamed("__id", "__target_id").withColumnRenamed("__src", "__id")
+
+
+@query("dfs_array_mean")
+def q_dfs_array_mean(spark, sf_dir):
+    df = G.array_aggregates(AD.vectors(spark, sf_dir), "grp", "embedding")
+    return df.select("grp", *[F.transform(F.col(f"`{c}`"), lambda x: F.round(x, 4)).alias(c)
+                              for c in df.columns if c != "grp"])
