@@ -45,7 +45,7 @@ HB = AD.FORUM_B_HORIZON
 
 
 def r4(c: str) -> F.Column:
-    return F.round(F.col(c), 4).alias(c)
+    return F.round(F.col(f"`{c}`"), 4).alias(c)
 
 
 # ---------------------------------------------------------------- group B
@@ -401,3 +401,218 @@ def q_dfs_array_mean(spark, sf_dir):
     df = G.array_aggregates(AD.vectors(spark, sf_dir), "grp", "embedding")
     return df.select("grp", *[F.transform(F.col(f"`{c}`"), lambda x: F.round(x, 4)).alias(c)
                               for c in df.columns if c != "grp"])
+
+
+# ---------------------------------------------------------------- group F
+
+from .operators import transforms as T  # noqa: E402
+
+
+@query("canonicalize_numeric")
+def q_canonicalize_numeric(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand", "p_type")
+    return T.canonicalize_numeric(part, ["p_size", "p_retailprice", "p_brand", "p_type"])
+
+
+@query("featurize_datetime")
+def q_featurize_datetime(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts")
+    return T.featurize_datetime(ev, ["ts"], ("year", "month", "day", "hour", "dayofweek"))
+
+
+@query("normalize_zscore")
+def q_normalize_zscore(spark, sf_dir):
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return T.normalize_numeric(cust, ["c_acctbal"]).select("c_custkey", r4("c_acctbal"))
+
+
+@query("drop_redundant")
+def q_drop_redundant(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").withColumn("const_col", F.lit(1)).withColumn(
+        "null_col", F.lit(None).cast("double")).withColumn("uniq_text", F.col("event_id").cast("string"))
+    return T.drop_redundant(ev, text_cols=["uniq_text", "event_type", "props"], keep=["event_id"])
+
+
+@query("transform_pipeline")
+def q_transform_pipeline(spark, sf_dir):
+    """Canonicalise, then a user column transform, on the shop RDB."""
+    shop = AD.shop(spark, sf_dir)
+    pipe = T.Pipeline((T.canonicalize_rdb, T.normalize_amounts()))
+    out = pipe(shop)
+    return out["product"].select("product_id", r4("price"), r4("price_log"))
+
+
+# ---------------------------------------------------------------- group H
+
+from .operators import attribution as X  # noqa: E402
+from .operators import model as M  # noqa: E402
+from .operators import predictive as PQ  # noqa: E402
+from .plans.history import ANCHOR_IDX, Win, window_aggregate  # noqa: E402
+
+CNT, SUMP, MEANP = "COUNT(orders)", "SUM(orders.o_totalprice)", "MEAN(orders.o_totalprice)"
+
+
+def _feature_frame(spark, sf_dir):
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("count", "sum", "mean")))
+
+
+@query("impute_median")
+def q_impute_median(spark, sf_dir):
+    f = _feature_frame(spark, sf_dir)
+    pre = M.fit_preprocessor(f, [MEANP], [], scale=False)
+    return pre.impute(f).select("__id", "__timestamp", r4(MEANP))
+
+
+@query("scale_robust")
+def q_scale_robust(spark, sf_dir):
+    f = _feature_frame(spark, sf_dir)
+    pre = M.fit_preprocessor(f, [CNT, SUMP], [], scale=True)
+    return pre.transform(f).select("__id", "__timestamp", r4(CNT), r4(SUMP))
+
+
+@query("metric_auroc")
+def q_metric_auroc(spark, sf_dir):
+    f = _feature_frame(spark, sf_dir).withColumn("score", -F.col(f"`{CNT}`").cast("double"))
+    return M.auroc(f, "__label", "score").select(F.round("auroc", 6).alias("auroc"), "n_pos", "n_neg")
+
+
+@query("metric_rmse")
+def q_metric_rmse(spark, sf_dir):
+    """Naive persistence forecast of user LTV: past 91-day spend vs next 91-day spend."""
+    shop = AD.shop(spark, sf_dir)
+    anchors = anchors_for(spark, sf_dir, "shop")
+    labels = L.user_ltv(shop, anchors, H)
+    priced = L._priced_reviews(shop)
+    past = window_aggregate(priced, ["customer_id"], "review_time", anchors, [Win("p", -H, dt.timedelta(0))],
+                            [Agg("s", "sum", "price")]).select(F.col("customer_id").alias("__id"), "__timestamp",
+                                                               F.col("p__s").alias("yhat"))
+    j = labels.join(past, ["__id", "__timestamp"], "left").fillna({"yhat": 0.0})
+    m = M.regression_metrics(j, "__label", "yhat")
+    return m.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), "n")
+
+
+@query("metric_accuracy_f1")
+def q_metric_accuracy_f1(spark, sf_dir):
+    f = _feature_frame(spark, sf_dir).withColumn(
+        "pred", F.when(F.col(f"`{CNT}`") <= 3, 1).otherwise(0))
+    m = M.accuracy_f1(f, "__label", "pred")
+    return m.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "n")
+
+
+def _churn_spec(spark, sf_dir, task="classification"):
+    shop = AD.shop(spark, sf_dir)
+    if task == "classification":
+        label_fn = lambda rdb, anchors: L.user_churn(rdb, anchors, H)
+    else:
+        label_fn = lambda rdb, anchors: L.user_ltv(rdb, anchors, H)
+    cfg = G.DfsConfig(max_depth=2, include_entities=("orders", "lineitem"),
+                      agg_primitives=("count", "sum", "mean", "max", "time_since_last"),
+                      stack_primitives=("mean", "max"))
+    spec = PQ.QuerySpec("customer", label_fn, AD.SHOP_TODAY, task, dfs=cfg, feature_rdb=AD.tpch(spark, sf_dir))
+    return shop, spec
+
+
+@query("predict_churn")
+def q_predict_churn(spark, sf_dir):
+    """E12 + H4/H6/H8: churn model on sampled labelled anchors, predictions at T for all customers."""
+    shop, spec = _churn_spec(spark, sf_dir)
+    ans = PQ.answer(shop, spec)
+    return M.format_predictions(ans.predictions, "classification", ans.model.n_classes)
+
+
+@query("predict_ltv")
+def q_predict_ltv(spark, sf_dir):
+    shop, spec = _churn_spec(spark, sf_dir, "regression")
+    ans = PQ.answer(shop, spec)
+    return M.format_predictions(ans.predictions, "regression")
+
+
+@query("explain_top_features")
+def q_explain_top_features(spark, sf_dir):
+    """Permutation attribution of the churn prediction of the customer with
+    the highest predicted churn probability (ties: smallest id); top 10 features."""
+    shop, spec = _churn_spec(spark, sf_dir)
+    ans = PQ.answer(shop, spec)
+    best = M.format_predictions(ans.predictions, "classification").orderBy(
+        F.col("y_prob").desc(), F.col("__id")).first()["__id"]
+    entity = X.entity_row(ans.test, best)
+    background = C.cap_rows(ans.train, 40, ["__id", "__timestamp"])
+    imp = X.explain(ans.model, entity, background, n_perm=6)
+    return M.top_k_features(imp, 10)
+
+
+@query("holdout_validation")
+def q_holdout_validation(spark, sf_dir):
+    """H9: 80/20 hash split of the training features, accuracy on the hold-out."""
+    shop, spec = _churn_spec(spark, sf_dir)
+    anchors = A.make_anchors(shop, spec.ts_current)
+    labels = C.sample_labels(L.user_churn(shop, anchors, H), 0.3)
+    train = G.compute_features(spec.feature_rdb, labels, "customer", anchors, spec.dfs)
+    res = M.validate(train, "classification")
+    return spark.createDataFrame([res["validation"]])
+
+
+# ---------------------------------------------------------------- group I and A
+
+from .operators import explore as I  # noqa: E402
+from .sources import rdb as R  # noqa: E402
+
+
+@query("top_products")
+def q_top_products(spark, sf_dir):
+    shop = AD.shop(spark, sf_dir)
+    sales = L._priced_reviews(shop)
+    return I.top_n(sales, "product_id", F.col("price"), 10, "revenue").select("product_id", r4("revenue"))
+
+
+@query("histogram_acctbal")
+def q_histogram_acctbal(spark, sf_dir):
+    return I.histogram(read_table(spark, sf_dir, "customer"), "c_acctbal", 10)
+
+
+@query("engagement_trend")
+def q_engagement_trend(spark, sf_dir):
+    return I.trend(read_table(spark, sf_dir, "events"), "ts", "day", ["event_type"])
+
+
+@query("pivot_status")
+def q_pivot_status(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").withColumn("yr", F.year("o_orderdate"))
+    return I.pivot_counts(o, "yr", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("corr_price_quantity")
+def q_corr_price_quantity(spark, sf_dir):
+    c = I.correlation(read_table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity")
+    return c.select(F.round(c.columns[0], 6).alias(c.columns[0]))
+
+
+@query("latest_order")
+def q_latest_order(spark, sf_dir):
+    return I.latest_row(read_table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey")
+
+
+@query("predictions_by_segment")
+def q_predictions_by_segment(spark, sf_dir):
+    shop, spec = _churn_spec(spark, sf_dir)
+    ans = PQ.answer(shop, spec)
+    pred = M.format_predictions(ans.predictions, "classification")
+    return I.aggregate_predictions(pred, shop["customer"], "customer_id", "segment")
+
+
+@query("rank_predictions")
+def q_rank_predictions(spark, sf_dir):
+    shop, spec = _churn_spec(spark, sf_dir)
+    pred = M.format_predictions(PQ.answer(shop, spec).predictions, "classification")
+    return I.rank_predictions(pred, 10)
+
+
+@query("table_profile")
+def q_table_profile(spark, sf_dir):
+    rdb = R.load_rdb(spark, sf_dir, tables=["customer", "orders", "lineitem", "part", "supplier"])
+    return R.table_profile(rdb).select("table_name", "n_rows", "column_name", "non_null")
+
+
+@query("relationship_integrity")
+def q_relationship_integrity(spark, sf_dir):
+    return R.key_integrity(AD.tpch(spark, sf_dir))
