@@ -247,6 +247,14 @@ def cumulative_aggregate(events: DataFrame, keys: list[str], time_col: str, anch
           .where(t.isNotNull() & ((t < last) if strict else (t <= last)))
           .withColumn(SLOT, first_anchor_index(t, anchors, strict)))
     partial = ev.groupBy(*keys, SLOT).agg(*[_partial(a) for a in aggs])
+    return running_from_partials(partial, keys, anchors, aggs)
+
+
+def running_from_partials(partial: DataFrame, keys: list[str], anchors, aggs: list[Agg]) -> DataFrame:
+    """Finish a cumulative aggregate from per-(key, slot) partials (also used by the
+    streaming maintainer, whose state holds exactly these partials)."""
+    anchors = _check(anchors)
+    m = len(anchors)
     w = Window.partitionBy(*keys).orderBy(SLOT)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = partial.select(

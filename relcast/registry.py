@@ -616,3 +616,18 @@ def q_table_profile(spark, sf_dir):
 @query("relationship_integrity")
 def q_relationship_integrity(spark, sf_dir):
     return R.key_integrity(AD.tpch(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- streaming
+
+@query("stream_activity_counts")
+def q_stream_activity_counts(spark, sf_dir):
+    """Per (user, anchor) click count and value sum up to the anchor, maintained by a
+    Structured Streaming job over the events files (forum-B anchors)."""
+    import os as _os
+    from .streaming.incremental import streamed_cumulative
+    schema = spark.read.parquet(_os.path.join(sf_dir, "events.parquet")).schema
+    out = streamed_cumulative(spark, sf_dir, schema, ["user_id"], "ts", anchors_for(spark, sf_dir, "forum_b"),
+                              [Agg("n_clicks", "count"), Agg("sum_value", "sum", "value")],
+                              where="event_type = 'click'", file_glob="events.parquet")
+    return out.select("user_id", "__timestamp", "n_clicks", r4("sum_value"))
