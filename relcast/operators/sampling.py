@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.hashing import epoch_seconds, unit_hash
+from ..functions.hashing import epoch_seconds, typed_part, unit_hash
 from ..plans.history import ANCHOR_IDX, TS, Agg, cumulative_aggregate, expand_created
 from ..sources import schema as S
 from ..sources.rdb import Rdb
@@ -92,7 +92,9 @@ def topk_per_group(df: DataFrame, group: str, bucket: Column, order: list[Column
             .withColumn("__before", F.col("__cum") - F.col("__n")))
     boundary = hist.where((F.col("__before") < F.col("__k")) & (F.col("__cum") >= F.col("__k"))).select(
         group, F.col("__b").alias("__bstar"), (F.col("__k") - F.col("__before")).alias("__need"))
-    tagged = b.join(F.broadcast(boundary), group).where(F.col("__b") <= F.col("__bstar"))
+    # coalesce keeps the condition null-tolerant: no IsNotNull(__b) is inferred and
+    # pushed below the projection (which would re-inline the score expression).
+    tagged = b.join(F.broadcast(boundary), group).where(F.coalesce(F.col("__b"), F.lit(-1)) <= F.col("__bstar"))
     rn = F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order))
     kept = tagged.withColumn("__rn", rn).where(
         (F.col("__b") < F.col("__bstar")) | (F.col("__rn") <= F.col("__need")))
@@ -106,7 +108,7 @@ def _k(rate: float):
 def proportional_sample(cands: DataFrame, id_col: str, rate: float = 0.3, seed: int = SEED,
                         group: str = TS) -> DataFrame:
     """Per anchor keep the first greatest(1, round(n * rate)) rows by u = hash(seed, t, id)."""
-    u = unit_hash(seed, epoch_seconds(F.col(group)), F.col(id_col))
+    u = unit_hash(seed, epoch_seconds(F.col(group)), typed_part(cands, id_col))
     c = cands.withColumn("__u", u)
     bucket = F.floor(F.col("__u") * N_BUCKETS).cast("int")
     return topk_per_group(c, group, bucket, [F.col("__u"), F.col(id_col)], _k(rate)).drop("__u")
@@ -116,7 +118,7 @@ def activity_biased_sample(cands: DataFrame, id_col: str, activity_col: str, rat
                            bias: float = 2.0, seed: int = SEED, group: str = TS) -> DataFrame:
     """Per anchor keep the first greatest(1, round(n * rate)) rows by
     pow(coalesce(activity, 1), bias) * u descending (ties by id)."""
-    u = unit_hash(seed, epoch_seconds(F.col(group)), F.col(id_col))
+    u = unit_hash(seed, epoch_seconds(F.col(group)), typed_part(cands, id_col))
     score = F.pow(F.coalesce(F.col(activity_col).cast("double"), F.lit(1.0)), F.lit(bias)) * u
     c = cands.withColumn("__s", score)
     # log-scale bucket, negated so that it grows as the score falls; zero scores last.
@@ -127,7 +129,7 @@ def activity_biased_sample(cands: DataFrame, id_col: str, activity_col: str, rat
 def placeholder_label(df: DataFrame, id_col: str, seed: int = SEED + 1, group: str | None = TS) -> DataFrame:
     """Random 0/1 label (parity demos only)."""
     parts = [epoch_seconds(F.col(group))] if group else []
-    return df.withColumn("__label__", (unit_hash(seed, *parts, F.col(id_col)) < 0.5).cast("int"))
+    return df.withColumn("__label__", (unit_hash(seed, *parts, typed_part(df, id_col)) < 0.5).cast("int"))
 
 
 def sample_labels(labels: DataFrame, rate: float = 0.3, seed: int = SEED,
@@ -144,14 +146,13 @@ def sample_labels(labels: DataFrame, rate: float = 0.3, seed: int = SEED,
 def cap_rows(df: DataFrame, n: int, key_cols: list[str], seed: int = SEED) -> DataFrame:
     """C11: at most ``n`` rows, a seeded random subset without replacement
     (global top-n by hash: each partition keeps n, the driver merges n per partition)."""
-    parts = [F.col(c) if not df.schema[c].dataType.simpleString().startswith("timestamp")
-             else epoch_seconds(F.col(c)) for c in key_cols]
+    parts = [typed_part(df, c) for c in key_cols]
     return df.withColumn("__u", unit_hash(seed, *parts)).orderBy("__u", *key_cols).limit(n).drop("__u")
 
 
 def random_rows(df: DataFrame, key_col: str, n: int = 5, seed: int = SEED) -> DataFrame:
     """``n`` seeded random rows of a table."""
-    return df.withColumn("__u", unit_hash(seed, F.col(key_col))).orderBy("__u", key_col).limit(n).drop("__u")
+    return df.withColumn("__u", unit_hash(seed, typed_part(df, key_col))).orderBy("__u", key_col).limit(n).drop("__u")
 
 
 def sampling_report(before: DataFrame, after: DataFrame, group: str = TS) -> DataFrame:

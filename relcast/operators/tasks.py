@@ -131,3 +131,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     best = F.coalesce(F.col("__in"), F.col("__prev"))
     out = u.select(*[F.col(c) for c in left.columns], *[best.getField(c).alias(c) for c in right_cols])
     return out
+
+
+def split_by_time(df: DataFrame, t1, t2, ts_col: str = TS) -> DataFrame:
+    """Temporal split label: train (ts <= T1), validation (T1 < ts <= T2), test (later)."""
+    t = F.col(ts_col)
+    return df.withColumn("split", F.when(t <= ts_lit(t1), "train").when(t <= ts_lit(t2), "validation")
+                         .otherwise("test"))

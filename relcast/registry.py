@@ -631,3 +631,57 @@ def q_stream_activity_counts(spark, sf_dir):
                               [Agg("n_clicks", "count"), Agg("sum_value", "sum", "value")],
                               where="event_type = 'click'", file_glob="events.parquet")
     return out.select("user_id", "__timestamp", "n_clicks", r4("sum_value"))
+
+
+# ---------------------------------------------------------------- more B / D / E / H
+
+@query("cached_anchors")
+def q_cached_anchors(spark, sf_dir):
+    """Distinct snapshot times strictly before T from the review snapshots."""
+    snap = _review_snapshots(spark, sf_dir)
+    return A.cached_anchors(snap, AD.SHOP_TODAY)
+
+
+@query("anchors_censored")
+def q_anchors_censored(spark, sf_dir):
+    """Anchors whose 91-day label window ends inside the data (data end = T)."""
+    anchors = A.censor_filter(anchors_for(spark, sf_dir, "shop"), H, AD.SHOP_TODAY)
+    return A.anchors_frame(spark, anchors, "__timestamp")
+
+
+USER_CHURN_SQL = """
+SELECT t.timestamp AS __timestamp, c.customer_id AS __id,
+  CAST(NOT EXISTS (SELECT 1 FROM review r WHERE r.customer_id = c.customer_id
+        AND r.review_time > t.timestamp AND r.review_time <= t.timestamp + INTERVAL '91' DAY) AS INT) AS __label
+FROM timestamps t, customer c
+WHERE EXISTS (SELECT 1 FROM review r WHERE r.customer_id = c.customer_id
+        AND r.review_time > t.timestamp - INTERVAL '91' DAY AND r.review_time <= t.timestamp)
+"""
+
+
+@query("label_user_sql")
+def q_label_user_sql(spark, sf_dir):
+    """D-12/D-13: user label code given as SQL text over the RDB views (+ ``timestamps``)."""
+    shop = AD.shop(spark, sf_dir)
+    return L.run_label_spec(USER_CHURN_SQL, shop.tables, anchors_for(spark, sf_dir, "shop"), spark)
+
+
+@query("split_by_time")
+def q_split_by_time(spark, sf_dir):
+    """Churn labels tagged train / validation / test by anchor time."""
+    labels = L.user_churn(AD.shop(spark, sf_dir), anchors_for(spark, sf_dir, "shop"), H)
+    return E.split_by_time(labels, dt.datetime(2000, 12, 31), dt.datetime(2001, 4, 30))
+
+
+@query("predict_batch")
+def q_predict_batch(spark, sf_dir):
+    """H7: model on (snapshot features x churn labels); ids = every customer; latest
+    snapshot before T, realigned, scored; ids without history keep a NULL prediction."""
+    from .operators.predictive import predict_batch
+    shop = AD.shop(spark, sf_dir)
+    snap = _review_snapshots(spark, sf_dir)
+    labels = L.user_churn(shop, anchors_for(spark, sf_dir, "shop"), H)
+    train = E.label_feature_join(snap, C.sample_labels(labels, 0.3))
+    fm = M.fit(train, "classification")
+    ids = shop["customer"].select(F.col("customer_id").alias("__id"))
+    return predict_batch(fm, snap, ids, AD.SHOP_TODAY)
