@@ -226,7 +226,17 @@ def _static(a: Agg):
     return _partial(a)
 
 
-def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key_alias: str) -> DataFrame:
+def _carry(rows: DataFrame, key_alias: str, carry: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """Attach columns that depend only on the key (e.g. the key's own parent and
+    creation slot) to child rows before aggregating; they become extra group keys."""
+    if carry is None:
+        return rows, [key_alias]
+    extra = [c for c in carry.columns if c != key_alias]
+    return rows.join(carry, key_alias), [key_alias] + extra
+
+
+def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key_alias: str,
+                carry: DataFrame | None = None) -> DataFrame:
     """All agg / where / tsl features of one (child, fk) edge in one slot aggregate."""
     s0 = specs[0]
     child_t = rdb.schema.table(s0.child)
@@ -252,8 +262,9 @@ def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key
         rows = rows.withColumn("__tmax", time_micros(F.col(time_col)))
         aggs.append(Agg("__tmax", "max", "__tmax"))
     rows = rows.withColumnRenamed(s0.fk, key_alias)
-    hist = _history(cfg, rows, [key_alias], time_col, anchors, aggs)
-    out = [F.col(key_alias), F.col(ANCHOR_IDX)]
+    rows, keys = _carry(rows, key_alias, carry)
+    hist = _history(cfg, rows, keys, time_col, anchors, aggs)
+    out = [F.col(k) for k in keys] + [F.col(ANCHOR_IDX)]
     for s in specs:
         if s.kind == "agg" and s.primitive == "count":
             out.append(F.col("__cnt").alias(s.name))
@@ -267,7 +278,8 @@ def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key
     return hist.select(*out)
 
 
-def _mode_block(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, anchors, key_alias: str) -> DataFrame:
+def _mode_block(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, anchors, key_alias: str,
+                carry: DataFrame | None = None) -> DataFrame:
     """MODE: counts per (key, value) over history, then the most frequent value per
     (key, anchor), smallest value on ties."""
     child_t = rdb.schema.table(spec.child)
@@ -275,8 +287,9 @@ def _mode_block(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, anchors, key_alias:
     rows = _rows_with_parents(rdb, spec.child, [spec.column], [spec.fk] + ([time_col] if time_col else []))
     rows = rows.select(F.col(spec.fk).alias(key_alias), F.col(f"`{spec.column}`").alias("__v"),
                        *([F.col(time_col)] if time_col else [])).where(F.col("__v").isNotNull())
-    hist = _history(cfg, rows, [key_alias, "__v"], time_col, anchors, [Agg("__c", "count")])
-    return hist.groupBy(key_alias, ANCHOR_IDX).agg(
+    rows, keys = _carry(rows, key_alias, carry)
+    hist = _history(cfg, rows, keys + ["__v"], time_col, anchors, [Agg("__c", "count")])
+    return hist.groupBy(*keys, ANCHOR_IDX).agg(
         F.min_by(F.col("__v"), F.struct(-F.col("__c"), F.col("__v"))).alias(spec.name))
 
 
@@ -286,35 +299,101 @@ def _fill_counts(df: DataFrame, specs: list[FeatureSpec]) -> DataFrame:
 
 
 def _entity_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec], anchors,
-                     key_alias: str) -> DataFrame | None:
-    """(key_alias, __a) frame with every backward feature in ``specs`` for ``table``."""
+                     key_alias: str, carry: DataFrame | None = None) -> DataFrame | None:
+    """(key_alias, [carry columns], __a) frame with every backward feature in ``specs``."""
     blocks = []
     edges: dict[tuple, list[FeatureSpec]] = {}
     for s in specs:
         if s.kind in ("agg", "where", "tsl"):
             edges.setdefault((s.child, s.fk), []).append(s)
     for _, es in edges.items():
-        blocks.append((_edge_block(rdb, cfg, es, anchors, key_alias), es))
+        blocks.append((_edge_block(rdb, cfg, es, anchors, key_alias, carry), es))
     for s in specs:
         if s.kind == "mode":
-            blocks.append((_mode_block(rdb, cfg, s, anchors, key_alias), [s]))
+            blocks.append((_mode_block(rdb, cfg, s, anchors, key_alias, carry), [s]))
     stacked: dict[tuple, list[FeatureSpec]] = {}
     for s in specs:
         if s.kind == "stacked":
             stacked.setdefault((s.child, s.fk), []).append(s)
     for (child, fk), ss in stacked.items():
-        blocks.append((_stacked_block(rdb, cfg, child, fk, ss, anchors, key_alias), ss))
+        b = _stacked_block(rdb, cfg, child, fk, ss, anchors, key_alias)
+        if carry is not None:
+            b = b.join(carry, key_alias)
+        blocks.append((b, ss))
     if not blocks:
         return None
-    keys = [key_alias, ANCHOR_IDX]
+    keys = [key_alias] + ([c for c in carry.columns if c != key_alias] if carry is not None else []) + [ANCHOR_IDX]
     frames = [b for b, _ in blocks]
     out = reduce(lambda a, b: a.join(b, keys, "full"), frames)
     return _fill_counts(out, [s for _, ss in blocks for s in ss])
 
 
+def _countlike(s: FeatureSpec) -> bool:
+    return s.kind in ("agg", "where") and s.primitive == "count"
+
+
 def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[FeatureSpec], anchors,
                    key_alias: str) -> DataFrame:
-    """Aggregate the child's own features, evaluated at each anchor, per parent key."""
+    """Aggregate the child's own features, evaluated at each anchor, per parent key.
+
+    The child's rows carry their parent key and creation slot into the inner
+    aggregation, so inner feature rows already know their parent; children
+    created but without rows of their own (count features = 0) are accounted for
+    from a cumulative count of created children -- no (child x anchor) join."""
+    child_t = rdb.schema.table(child)
+    tcol = child_t.time_column
+    if not (cfg.use_cutoff_time and tcol and cfg.lookback is None):
+        return _stacked_block_join(rdb, cfg, child, fk, specs, anchors, key_alias)
+    anchors = sorted(set(anchors))
+    strict = cfg.closed == "left"
+    cpk = child_t.primary_key
+    inner = list({s.inner.name: s.inner for s in specs}.values())
+    carry = (rdb[child].where(F.col(tcol).isNotNull())
+             .select(F.col(cpk).alias("__ck"), F.col(fk).alias(key_alias),
+                     first_anchor_index(F.col(tcol), anchors, strict).alias("__cidx")))
+    inner_df = _entity_features(rdb, cfg, child, inner, anchors, "__ck", carry)
+    inner_df = inner_df.where(F.col(ANCHOR_IDX) >= F.col("__cidx"))
+    aggs = [F.count(F.lit(1)).alias("__nrows")]
+    for i, s in enumerate(specs):
+        c = F.col(f"`{s.inner.name}`").cast("double") if _countlike(s.inner) else F.col(f"`{s.inner.name}`")
+        if _countlike(s.inner):
+            aggs += [F.sum(c).alias(f"__s{i}"), F.sum(c * c).alias(f"__q{i}"),
+                     F.max(c).alias(f"__mx{i}"), F.min(c).alias(f"__mn{i}")]
+        else:
+            aggs.append(P.stacked(s.primitive, c).alias(s.name))
+    agg = inner_df.groupBy(key_alias, ANCHOR_IDX).agg(*aggs)
+    created = cumulative_aggregate(rdb[child].select(F.col(fk).alias(key_alias), tcol), [key_alias], tcol,
+                                   anchors, [Agg("__nc", "count")], strict=strict)
+    out = created.select(key_alias, ANCHOR_IDX, "__nc").join(agg, [key_alias, ANCHOR_IDX], "left")
+    nc = F.col("__nc")
+    missing = nc - F.coalesce(F.col("__nrows"), F.lit(0))
+    cols = [F.col(key_alias), F.col(ANCHOR_IDX)]
+    for i, s in enumerate(specs):
+        if not _countlike(s.inner):
+            cols.append(F.col(f"`{s.name}`"))
+            continue
+        sm, sq = F.coalesce(F.col(f"__s{i}"), F.lit(0.0)), F.coalesce(F.col(f"__q{i}"), F.lit(0.0))
+        mx, mn = F.col(f"__mx{i}"), F.col(f"__mn{i}")
+        v = {"sum": sm, "mean": sm / nc,
+             "max": F.when(missing > 0, F.greatest(F.coalesce(mx, F.lit(0.0)), F.lit(0.0))).otherwise(mx),
+             "min": F.when(missing > 0, F.lit(0.0)).otherwise(mn),
+             "std": F.when(nc > 1, F.sqrt(F.greatest((sq - sm * sm / nc) / (nc - 1), F.lit(0.0)))),
+             "count": nc}[s.primitive]
+        if s.primitive in ("sum", "max", "min"):
+            v = v.cast(rdb_count_type())
+        cols.append(v.alias(s.name))
+    return out.select(*cols)
+
+
+def rdb_count_type() -> str:
+    """Stacked sum / min / max of counts stay integral (as summing counts would)."""
+    return "long"
+
+
+def _stacked_block_join(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[FeatureSpec], anchors,
+                        key_alias: str) -> DataFrame:
+    """General form (children without time column, lookback windows, no cutoff):
+    child rows visible at each anchor left-joined to the child's features."""
     child_t = rdb.schema.table(child)
     cpk = child_t.primary_key
     inner = list({s.inner.name: s.inner for s in specs}.values())

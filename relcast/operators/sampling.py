@@ -19,7 +19,7 @@ from ..plans.history import ANCHOR_IDX, TS, Agg, cumulative_aggregate, expand_cr
 from ..sources import schema as S
 from ..sources.rdb import Rdb
 
-N_BUCKETS = 4096
+N_BUCKETS = 1024
 SEED = 42
 
 
