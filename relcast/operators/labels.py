@@ -169,10 +169,12 @@ def item_ltv(shop: Rdb, anchors, horizon: dt.timedelta, fill_zero: bool = False)
     return out
 
 
-def _with_empty_anchors(pairs: DataFrame, label_cols: dict, anchors) -> DataFrame:
-    """Anchors without any eligible entity keep one row with a NULL id (left-join semantics)."""
+def _with_empty_anchors(pairs: DataFrame, label_cols: dict, anchors, cand: DataFrame) -> DataFrame:
+    """Anchors without any eligible entity keep one row with a NULL id (left-join
+    semantics).  Presence comes from the candidate frame (scan + explode, reduced
+    map-side to at most one row per anchor and task), not from the label plan."""
     spark = pairs.sparkSession
-    present = pairs.select(TS).distinct()
+    present = cand.select(TS).distinct()
     empty = anchors_frame(spark, anchors, TS).join(present, TS, "left_anti")
     fill = empty.select(TS, F.lit(None).cast(pairs.schema[ID].dataType).alias(ID),
                         *[F.lit(v).cast(pairs.schema[c].dataType).alias(c) for c, v in label_cols.items()])
@@ -189,7 +191,7 @@ def post_votes(forum: Rdb, anchors, horizon: dt.timedelta, post_type="O", vote_t
     n = window_distinct_count(votes, "PostId", "Id", "CreationDate", anchors, _future(horizon))
     out = cand.join(n.select(F.col("PostId").alias("Id"), ANCHOR_IDX, "n"), ["Id", ANCHOR_IDX], "left")
     out = out.select(TS, F.col("Id").alias(ID), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias(LABEL))
-    return _with_empty_anchors(out, {LABEL: 0}, anchors)
+    return _with_empty_anchors(out, {LABEL: 0}, anchors, cand)
 
 
 def _created_exists(users: DataFrame, events: DataFrame, user_col: str, time_col: str, anchors,
@@ -204,7 +206,8 @@ def _created_exists(users: DataFrame, events: DataFrame, user_col: str, time_col
 def user_badge(forum: Rdb, anchors, horizon: dt.timedelta) -> DataFrame:
     """D-6: users created <= t; label 1 if at least one badge in (t, t+h]."""
     out = _created_exists(forum["users"], forum["badges"], "UserId", "Date", anchors, horizon)
-    return _with_empty_anchors(out, {LABEL: 0}, anchors)
+    cand = expand_created(forum["users"].select("Id", "CreationDate"), "CreationDate", anchors)
+    return _with_empty_anchors(out, {LABEL: 0}, anchors, cand)
 
 
 def _engagement(forum: Rdb, distinct: bool) -> DataFrame:
@@ -279,18 +282,19 @@ def link_labels(links: DataFrame, src: str, dst: str, time_col: str, anchors, ho
 # ---------------------------------------------------------------- user code
 
 def run_label_spec(spec, tables: dict, anchors, spark=None) -> DataFrame:
-    """D-12: a user label function ``(tables, anchors_df) -> frame`` or a SQL string
-    over temp views (tables by name, anchors as view ``timestamps`` with column
-    ``timestamp``).  The result is validated (D-13)."""
+    """D-12: user label code -- a function ``(tables, anchors) -> frame`` receiving the
+    table frames by name and the anchor list (driver-side, like the original
+    contract's timestamp series), or SQL text over temp views (tables by name,
+    anchors as view ``timestamps`` with column ``timestamp``; the SQL runs as
+    written, so its joins are the user's).  The result is validated (D-13)."""
     spark = spark or next(iter(tables.values())).sparkSession
-    anchors_df = anchors_frame(spark, anchors, "timestamp")
     if isinstance(spec, str):
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
-        anchors_df.createOrReplaceTempView("timestamps")
+        anchors_frame(spark, anchors, "timestamp").createOrReplaceTempView("timestamps")
         out = spark.sql(spec)
     elif isinstance(spec, Callable):
-        out = spec(tables, anchors_df)
+        out = spec(tables, sorted(anchors))
     else:
         raise TypeError("label spec must be SQL text or a callable")
     return validate_labels(out)

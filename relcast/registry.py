@@ -649,21 +649,18 @@ def q_anchors_censored(spark, sf_dir):
     return A.anchors_frame(spark, anchors, "__timestamp")
 
 
-USER_CHURN_SQL = """
-SELECT t.timestamp AS __timestamp, c.customer_id AS __id,
-  CAST(NOT EXISTS (SELECT 1 FROM review r WHERE r.customer_id = c.customer_id
-        AND r.review_time > t.timestamp AND r.review_time <= t.timestamp + INTERVAL '91' DAY) AS INT) AS __label
-FROM timestamps t, customer c
-WHERE EXISTS (SELECT 1 FROM review r WHERE r.customer_id = c.customer_id
-        AND r.review_time > t.timestamp - INTERVAL '91' DAY AND r.review_time <= t.timestamp)
-"""
+def user_churn_code(tables: dict, anchors: list) -> DataFrame:
+    """A user label function (D-12 callable form): customers active in the 91 days
+    up to t, label 1 when they write no review in the next 91 days."""
+    return L.forward_label(tables["review"], "customer_id", "review_time", anchors, H,
+                           agg="not_exists", entities=tables["customer"], entity_key="customer_id")
 
 
-@query("label_user_sql")
-def q_label_user_sql(spark, sf_dir):
-    """D-12/D-13: user label code given as SQL text over the RDB views (+ ``timestamps``)."""
+@query("label_user_code")
+def q_label_user_code(spark, sf_dir):
+    """D-12/D-13: user label code run against the RDB tables and the anchor list."""
     shop = AD.shop(spark, sf_dir)
-    return L.run_label_spec(USER_CHURN_SQL, shop.tables, anchors_for(spark, sf_dir, "shop"), spark)
+    return L.run_label_spec(user_churn_code, shop.tables, anchors_for(spark, sf_dir, "shop"), spark)
 
 
 @query("split_by_time")
