@@ -175,10 +175,14 @@ def window_aggregate(events: DataFrame, keys: list[str], time_col: str, anchors,
         jl = [0 if v is None else pos[v] + 1 for v in lo]
         jh = [K if v is None else pos[v] for v in hi]
         jlo[w.name], jhi[w.name] = jl, jh
-        for i in range(m):
-            for j in range(jl[i], jh[i] + 1):
-                amin[j] = i if amin[j] is None else min(amin[j], i)
-                amax[j] = i if amax[j] is None else max(amax[j], i)
+        # jl and jh grow with the anchor, so the anchors covering slot j form a
+        # contiguous range: first i with jh[i] >= j .. last i with jl[i] <= j.
+        for j in range(K + 1):
+            first = bisect.bisect_left(jh, j)
+            last = bisect.bisect_right(jl, j) - 1
+            if first <= last:
+                amin[j] = first if amin[j] is None else min(amin[j], first)
+                amax[j] = last if amax[j] is None else max(amax[j], last)
 
     t = F.col(time_col)
     ev = _base(events, keys, time_col, aggs).where(t.isNotNull())
