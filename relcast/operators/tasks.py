@@ -138,3 +138,38 @@ def split_by_time(df: DataFrame, t1, t2, ts_col: str = TS) -> DataFrame:
     t = F.col(ts_col)
     return df.withColumn("split", F.when(t <= ts_lit(t1), "train").when(t <= ts_lit(t2), "validation")
                          .otherwise("test"))
+
+
+def task_metadata(rdb: Rdb, table: str, train: DataFrame, task_type: str = "classification",
+                  metric: str = "auroc") -> dict:
+    """Task record -- name, target table, task type, label / time column, metric and
+    the ordered column list with semantic types; empty training data raises."""
+    if train.isEmpty():
+        raise ValueError(f"no training data generated for table {table}")
+    ts = rdb.schema.table(table)
+    cols = []
+    if TS in train.columns:
+        cols.append({"name": TS, "dtype": S.DATETIME})
+    cols.append({"name": ID, "dtype": S.PRIMARY_KEY})
+    cols.append({"name": LABEL, "dtype": "category" if task_type == "classification" else "float"})
+    for c in ts.columns:
+        if c.name in train.columns and c.dtype not in (S.PRIMARY_KEY, S.FOREIGN_KEY) and c.name != ts.time_column:
+            cols.append({"name": c.name, "dtype": c.dtype})
+    return {"name": f"{table}-template", "target_table": table, "task_type": task_type,
+            "target_column": LABEL, "time_column": TS if TS in train.columns else None,
+            "evaluation_metric": metric, "format": "parquet",
+            "source": f"{table}-template/{{split}}", "columns": cols}
+
+
+def status(models: dict, snapshots: dict | None = None, today=None) -> dict:
+    """Which targets have a fitted model and how many cached anchors each has
+    (B3, counted from the snapshot frames -- a bounded distinct count)."""
+    from .anchors import cached_anchors
+    out = {}
+    for target, fm in models.items():
+        n = None
+        if snapshots and target in snapshots and today is not None:
+            n = cached_anchors(snapshots[target], today).count()
+        out[target] = {"fitted": fm is not None, "task_type": getattr(fm, "task", None),
+                       "n_features": len(getattr(fm, "feature_names", []) or []), "n_anchors": n}
+    return out

@@ -82,9 +82,11 @@ def load_rdb(spark: SparkSession, folder: str, schema: S.RdbSchema | None = None
     return Rdb(spark, out, schema or S.RdbSchema())
 
 
-def read_snapshots(spark: SparkSession, store: str, target: str) -> DataFrame:
-    """A3: all feature snapshots of one target table (Parquet feature store)."""
-    return spark.read.parquet(os.path.join(store, target))
+def read_snapshots(spark: SparkSession, store: str, target: str, ts_col: str = S.TS) -> DataFrame:
+    """A3: all feature snapshots of one target table (Parquet feature store; the
+    partition column is read back as timestamp_ntz)."""
+    df = spark.read.parquet(os.path.join(store, target))
+    return df.withColumn(ts_col, F.col(ts_col).cast("timestamp_ntz")) if ts_col in df.columns else df
 
 
 LABEL_SCHEMA = "__id string, __timestamp string, __label double"
@@ -97,9 +99,9 @@ def read_labels_csv(spark: SparkSession, path: str, id_type: str = "bigint",
     missing = {S.ID, S.TS, S.LABEL} - set(df.columns)
     if missing:
         raise ValueError(f"label file lacks columns {sorted(missing)}")
-    return df.select(F.col(S.ID).cast(id_type).alias(S.ID),
+    return df.select(F.expr(f"try_cast(`{S.ID}` AS {id_type})").alias(S.ID),
                      F.to_timestamp_ntz(F.col(S.TS)).alias(S.TS),
-                     F.col(S.LABEL).cast(label_type).alias(S.LABEL))
+                     F.expr(f"try_cast(`{S.LABEL}` AS {label_type})").alias(S.LABEL))
 
 
 def read_entity_ids(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
@@ -107,7 +109,8 @@ def read_entity_ids(spark: SparkSession, path: str, id_type: str = "bigint") ->
     df = spark.read.option("header", True).csv(path)
     if len(df.columns) != 1:
         raise ValueError(f"entity id file must have exactly one column, got {df.columns}")
-    return df.select(F.col(df.columns[0]).cast(id_type).alias(S.ID))
+    # try_cast: a text id for a numeric key becomes NULL (it can match no entity)
+    return df.select(F.expr(f"try_cast(`{df.columns[0]}` AS {id_type})").alias(S.ID))
 
 
 def write_task_tables(train: DataFrame, folder: str, table: str, mode: str = "overwrite") -> dict:
@@ -258,3 +261,12 @@ def cast_ids(df: DataFrame, col: str, key_type) -> DataFrame:
 
 
 ID_TYPES = {"bigint": LongType(), "string": StringType()}
+
+
+def write_snapshots(features: DataFrame, store: str, target: str, mode: str = "overwrite",
+                    ts_col: str = S.TS) -> str:
+    """Feature snapshots of one target written to the feature store (one
+    folder per target, partitioned by snapshot time so B3 / E5 read only what they need)."""
+    path = os.path.join(store, target)
+    features.write.mode(mode).partitionBy(ts_col).parquet(path)
+    return path
