@@ -48,6 +48,9 @@ class DfsConfig:
     use_cutoff_time: bool = True
     closed: str = "left"                                      # child time < cutoff
     lookback: dt.timedelta | None = None
+    # Accepted for compatibility; every synthesis primitive here is exact and
+    # decomposable over slots, so there is nothing to approximate in this stage.
+    use_approximate_aggregations: bool = False
 
     def merged(self, overrides: dict | None) -> "DfsConfig":
         """Per-query overrides (``dfs_depth`` maps to ``max_depth``); unknown keys raise."""
