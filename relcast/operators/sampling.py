@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import epoch_seconds, typed_part, unit_hash
-from ..plans.history import ANCHOR_IDX, TS, Agg, cumulative_aggregate, expand_created
+from ..plans.history import TS, Agg, cumulative_aggregate, expand_created
 from ..sources import schema as S
 from ..sources.rdb import Rdb
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+
 
 from pyspark.sql import DataFrame, Window, functions as F
 

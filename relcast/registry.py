@@ -15,6 +15,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .operators import anchors as A
 from .operators import labels as L
 from .sources import adapters as AD
+from .operators import attribution as X
+from .operators import explore as I
+from .operators import features as G
+from .operators import model as M
+from .operators import predictive as PQ
+from .operators import sampling as C
+from .operators import tasks as E
+from .operators import transforms as T
+from .plans.history import Win, window_aggregate
+from .plans.history import Agg, cumulative_aggregate
+from .sources import rdb as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -139,10 +150,6 @@ def q_link_bounded(spark, sf_dir):
 
 # ---------------------------------------------------------------- group C
 
-from .operators import sampling as C  # noqa: E402
-from .operators import tasks as E  # noqa: E402
-from .plans.history import Agg, cumulative_aggregate  # noqa: E402
-
 
 @query("candidates_static")
 def q_candidates_static(spark, sf_dir):
@@ -276,8 +283,6 @@ def q_entity_filter(spark, sf_dir):
 
 # ---------------------------------------------------------------- group G
 
-from .operators import features as G  # noqa: E402
-
 
 def _churn_target(spark, sf_dir):
     return L.user_churn(AD.shop(spark, sf_dir), anchors_for(spark, sf_dir, "shop"), H)
@@ -405,8 +410,6 @@ def q_dfs_array_mean(spark, sf_dir):
 
 # ---------------------------------------------------------------- group F
 
-from .operators import transforms as T  # noqa: E402
-
 
 @query("canonicalize_numeric")
 def q_canonicalize_numeric(spark, sf_dir):
@@ -444,10 +447,6 @@ def q_transform_pipeline(spark, sf_dir):
 
 # ---------------------------------------------------------------- group H
 
-from .operators import attribution as X  # noqa: E402
-from .operators import model as M  # noqa: E402
-from .operators import predictive as PQ  # noqa: E402
-from .plans.history import ANCHOR_IDX, Win, window_aggregate  # noqa: E402
 
 CNT, SUMP, MEANP = "COUNT(orders)", "SUM(orders.o_totalprice)", "MEAN(orders.o_totalprice)"
 
@@ -554,9 +553,6 @@ def q_holdout_validation(spark, sf_dir):
 
 # ---------------------------------------------------------------- group I and A
 
-from .operators import explore as I  # noqa: E402
-from .sources import rdb as R  # noqa: E402
-
 
 @query("top_products")
 def q_top_products(spark, sf_dir):
