@@ -678,3 +678,18 @@ def q_predict_batch(spark, sf_dir):
     fm = M.fit(train, "classification")
     ids = shop["customer"].select(F.col("customer_id").alias("__id"))
     return predict_batch(fm, snap, ids, AD.SHOP_TODAY)
+
+
+ADHOC_SQL = """
+SELECT c.c_mktsegment AS segment, count(DISTINCT o.o_custkey) AS n_customers,
+       count(*) AS n_orders, round(sum(o.o_totalprice), 4) AS revenue
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+WHERE o.o_orderstatus = 'F'
+GROUP BY c.c_mktsegment
+"""
+
+
+@query("adhoc_sql")
+def q_adhoc_sql(spark, sf_dir):
+    """Ad-hoc SQL over the RDB tables registered as views."""
+    return AD.tpch(spark, sf_dir).sql(ADHOC_SQL)
