@@ -450,16 +450,36 @@ def _direct_block(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec]
     return out.drop(*fks)
 
 
-def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors, cfg: DfsConfig | None = None,
+def target_cutoffs(target: DataFrame, ts_col: str = TS) -> list:
+    """The distinct cutoff times of an external target frame, size-checked
+    (at most ``MAX_ANCHORS`` values are read to the driver)."""
+    from .anchors import MAX_ANCHORS
+    rows = (target.select(F.col(ts_col).cast("timestamp_ntz").alias("c")).where(F.col("c").isNotNull())
+            .distinct().limit(MAX_ANCHORS + 1).collect())
+    if len(rows) > MAX_ANCHORS:
+        raise ValueError(f"more than {MAX_ANCHORS} distinct cutoffs: round them to shared anchors first")
+    return sorted(r["c"] for r in rows)
+
+
+def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg: DfsConfig | None = None,
                      specs: list[FeatureSpec] | None = None, id_col: str = S.ID,
                      ts_col: str = TS) -> DataFrame:
     """Features for the rows of ``target`` (``id_col`` -> ``table``'s PK,
-    ``ts_col`` = cutoff, one of ``anchors``).  Rows are preserved (left joins);
+    ``ts_col`` = cutoff).  Cutoffs must be among ``anchors``; with ``anchors=None``
+    the target's own distinct cutoffs are used (G12).  A cutoff outside the anchor
+    list fails the job instead of being shifted.  Rows are preserved (left joins);
     G17: pass the train spec list again to get the same columns for test rows."""
     cfg = cfg or DfsConfig()
     specs = specs if specs is not None else enumerate_features(rdb.schema, table, cfg)
-    anchors = sorted(set(anchors))
-    tgt = target.withColumn(ANCHOR_IDX, first_anchor_index(F.col(ts_col), anchors))
+    anchors = sorted(set(anchors)) if anchors is not None else target_cutoffs(target, ts_col)
+    if not anchors:
+        anchors = [dt.datetime(1970, 1, 1)]
+    ts = F.col(ts_col).cast("timestamp_ntz")
+    idx = first_anchor_index(ts, anchors)
+    exact = F.when(ts.isNull(), F.lit(None).cast("int")).when(
+        anchor_ts(idx, anchors) == ts, idx).otherwise(
+        F.raise_error(F.lit(f"cutoff in {ts_col} is not one of the anchors")).cast("int"))
+    tgt = target.withColumn(ANCHOR_IDX, exact)
     out = tgt
     back = [s for s in specs if s.kind != "direct"]
     if back:

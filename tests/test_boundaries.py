@@ -150,3 +150,19 @@ def test_sinks_and_metadata_round_trip(spark, rdb):
     back = R.read_snapshots(spark, os.path.join(d, "store"), "users")
     assert back.schema["__timestamp"].dataType.simpleString() == "timestamp_ntz" and os.path.isdir(store)
     assert S.schema_from_dict(S.schema_to_dict(rdb.schema)) == rdb.schema
+
+
+def test_external_target_with_arbitrary_cutoffs(spark, rdb):
+    """Cutoffs that are not shared anchors use the target's own cutoff list."""
+    cut = [(1, D(2020, 1, 6)), (1, D(2020, 2, 3, 12)), (2, D(2020, 3, 1)), (1, None)]
+    tgt = spark.createDataFrame(cut, "__id long, __timestamp timestamp_ntz")
+    cfg = G.DfsConfig(max_depth=1, agg_primitives=("count", "sum"))
+    got = {(r["__id"], r["__timestamp"]): (r["COUNT(posts)"], r["SUM(posts.Score)"])
+           for r in G.compute_features(rdb, tgt, "users", None, cfg).collect()}
+    posts = [(1, 1.0, D(2020, 1, 1)), (1, 2.0, D(2020, 1, 10)), (1, None, D(2020, 2, 1)), (1, 4.0, D(2020, 2, 5))]
+    for (uid, t) in [c for c in cut if c[1] is not None]:
+        rows = [p for p in posts if p[0] == uid and p[2] < t]
+        s = sum(p[1] for p in rows if p[1] is not None) if any(p[1] is not None for p in rows) else None
+        assert got[(uid, t)] == (len(rows), s)
+    with pytest.raises(Exception):
+        G.compute_features(rdb, tgt.where("__timestamp IS NOT NULL"), "users", ANCH, cfg).collect()
