@@ -132,7 +132,7 @@ def user_churn(shop: Rdb, anchors, horizon: dt.timedelta) -> DataFrame:
 
 
 def item_churn(shop: Rdb, anchors, horizon: dt.timedelta, polarity: str = "not_exists") -> DataFrame:
-    """D-2: products active in (t-h, t]; label follows the reference SQL (1 = not bought)."""
+    """D-2: products active in (t-h, t]; label 1 = not bought in (t, t+h] (``polarity`` flips it)."""
     return forward_label(shop["review"], "product_id", "review_time", anchors, horizon,
                          agg=polarity, entities=shop["product"], entity_key="product_id")
 
