@@ -283,8 +283,8 @@ def link_labels(links: DataFrame, src: str, dst: str, time_col: str, anchors, ho
 
 def run_label_spec(spec, tables: dict, anchors, spark=None) -> DataFrame:
     """D-12: user label code -- a function ``(tables, anchors) -> frame`` receiving the
-    table frames by name and the anchor list (driver-side, like the original
-    contract's timestamp series), or SQL text over temp views (tables by name,
+    table frames by name and the anchor list (a plain driver-side list of
+    timestamps), or SQL text over temp views (tables by name,
     anchors as view ``timestamps`` with column ``timestamp``; the SQL runs as
     written, so its joins are the user's).  The result is validated (D-13)."""
     spark = spark or next(iter(tables.values())).sparkSession
