@@ -420,17 +420,18 @@ def _stacked_block_join(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: li
     return joined.groupBy(key_alias, ANCHOR_IDX).agg(*aggs)
 
 
-def _direct_block(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec], target: DataFrame,
-                  id_col: str, anchors) -> DataFrame:
-    """Parent columns through the target's FKs; values of parents created at or after
-    the cutoff are masked (the parent did not exist yet)."""
+def _direct_block(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec],
+                  id_col: str) -> tuple[DataFrame, dict]:
+    """Parent columns through the target table's FKs, keyed by the target id only
+    (they do not depend on the cutoff).  For parents with a time column the parent
+    time is carried along as ``__pt<i>`` so the caller can mask values of parents
+    created at or after each row's cutoff.  Returns (frame, {feature: time column})."""
     t = rdb.schema.table(table)
     pk = t.primary_key
     fks = sorted({s.fk for s in specs})
-    trows = rdb[table].select(F.col(pk).alias(id_col), *fks)
-    out = target.select(id_col, ANCHOR_IDX).distinct().join(trows, id_col, "left")
-    cut = anchor_ts(F.col(ANCHOR_IDX), sorted(set(anchors)))
-    for fk in fks:
+    out = rdb[table].select(F.col(pk).alias(id_col), *fks)
+    masks: dict = {}
+    for i, fk in enumerate(fks):
         ss = [s for s in specs if s.fk == fk]
         parent = ss[0].child
         ptab = rdb.schema.table(parent)
@@ -439,15 +440,12 @@ def _direct_block(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec]
         prow = _rows_with_parents(rdb, parent, [s.column for s in ss], [ppk] + extra)
         sel = [F.col(ppk).alias("__pk")]
         if extra:
-            sel.append(F.col(extra[0]).alias("__pt"))
+            sel.append(F.col(extra[0]).alias(f"__pt{i}"))
+            masks.update({s.name: f"__pt{i}" for s in ss})
         sel += [F.col(f"`{s.column}`").alias(s.name) for s in ss]
         prow = prow.select(*sel)
         out = out.join(prow, out[fk] == prow["__pk"], "left").drop("__pk")
-        if extra:
-            visible = F.col("__pt") < cut if cfg.closed == "left" else F.col("__pt") <= cut
-            out = out.select(*[c for c in out.columns if c not in [s.name for s in ss] + ["__pt"]],
-                             *[F.when(visible, F.col(f"`{s.name}`")).alias(s.name) for s in ss])
-    return out.drop(*fks)
+    return out.drop(*fks), masks
 
 
 def target_cutoffs(target: DataFrame, ts_col: str = TS) -> list:
@@ -488,7 +486,15 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
         out = _fill_counts(out, back)
     direct = [s for s in specs if s.kind == "direct"]
     if direct:
-        out = out.join(_direct_block(rdb, cfg, table, direct, tgt, id_col, anchors), [id_col, ANCHOR_IDX], "left")
+        dframe, masks = _direct_block(rdb, cfg, table, direct, id_col)
+        out = out.join(dframe, id_col, "left")
+        if masks:
+            cut = F.col(ts_col).cast("timestamp_ntz")
+            repl = {}
+            for name, tcol in masks.items():
+                visible = F.col(tcol) < cut if cfg.closed == "left" else F.col(tcol) <= cut
+                repl[name] = F.when(visible, F.col(f"`{name}`"))
+            out = out.withColumns(repl).drop(*sorted(set(masks.values())))
     for p in cfg.trans_primitives:
         out = out.withColumn(f"{p.upper()}({ts_col})", datetime_part(F.col(ts_col), p))
     return out.drop(ANCHOR_IDX)

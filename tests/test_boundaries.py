@@ -166,3 +166,22 @@ def test_external_target_with_arbitrary_cutoffs(spark, rdb):
         assert got[(uid, t)] == (len(rows), s)
     with pytest.raises(Exception):
         G.compute_features(rdb, tgt.where("__timestamp IS NOT NULL"), "users", ANCH, cfg).collect()
+
+
+def test_direct_feature_masked_until_parent_exists(spark):
+    """A parent created at or after the cutoff contributes no direct feature value."""
+    shops = spark.createDataFrame([(1, 10.0, D(2020, 2, 10)), (2, 20.0, D(2019, 1, 1))],
+                                  "sid long, rating double, opened timestamp_ntz")
+    items = spark.createDataFrame([(100, 1), (101, 2), (102, None)], "iid long, sid long")
+    schema = S.RdbSchema((
+        S.TableSchema("shops", (S.ColumnSchema("sid", S.PRIMARY_KEY), S.ColumnSchema("rating", "float"),
+                                S.ColumnSchema("opened", S.DATETIME)), "opened"),
+        S.TableSchema("items", (S.ColumnSchema("iid", S.PRIMARY_KEY),
+                                S.ColumnSchema("sid", S.FOREIGN_KEY, "shops.sid"))),
+    ))
+    rdb2 = R.Rdb(spark, {"shops": shops, "items": items}, schema)
+    tgt = spark.createDataFrame([(100, ANCH[1]), (100, ANCH[2]), (101, ANCH[0]), (102, ANCH[0])],
+                                "__id long, __timestamp timestamp_ntz")
+    got = {(r["__id"], r["__timestamp"]): r["shops.rating"]
+           for r in G.compute_features(rdb2, tgt, "items", ANCH, G.DfsConfig(max_depth=1)).collect()}
+    assert got == {(100, ANCH[1]): None, (100, ANCH[2]): 10.0, (101, ANCH[0]): 20.0, (102, ANCH[0]): None}
