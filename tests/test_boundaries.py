@@ -185,3 +185,24 @@ def test_direct_feature_masked_until_parent_exists(spark):
     got = {(r["__id"], r["__timestamp"]): r["shops.rating"]
            for r in G.compute_features(rdb2, tgt, "items", ANCH, G.DfsConfig(max_depth=1)).collect()}
     assert got == {(100, ANCH[1]): None, (100, ANCH[2]): 10.0, (101, ANCH[0]): 20.0, (102, ANCH[0]): None}
+
+
+def test_fused_modes_keep_type_order(spark):
+    """Two MODE features of one edge are computed together; an int category with a
+    9 / 10 tie picks 9 (numeric order), the text one picks the smaller string."""
+    users = spark.createDataFrame([(1,)], "uid long")
+    ev = spark.createDataFrame([(1, 10, "b", D(2020, 1, 1)), (1, 9, "a", D(2020, 1, 2)),
+                                (1, 10, "a", D(2020, 1, 3)), (1, 9, "b", D(2020, 1, 4))],
+                               "uid long, code int, kind string, t timestamp_ntz")
+    schema = S.RdbSchema((
+        S.TableSchema("users", (S.ColumnSchema("uid", S.PRIMARY_KEY),)),
+        S.TableSchema("ev", (S.ColumnSchema("uid", S.FOREIGN_KEY, "users.uid"),
+                             S.ColumnSchema("code", "category"), S.ColumnSchema("kind", "category"),
+                             S.ColumnSchema("t", S.DATETIME)), "t"),
+    ))
+    rdb3 = R.Rdb(spark, {"users": users, "ev": ev}, schema)
+    tgt = spark.createDataFrame([(1, ANCH[0])], "__id long, __timestamp timestamp_ntz")
+    r = G.compute_features(rdb3, tgt, "users", ANCH, G.DfsConfig(max_depth=1, agg_primitives=("mode",))).first()
+    assert r["MODE(ev.code)"] == 9 and r["MODE(ev.kind)"] == "a"
+    assert G.compute_features(rdb3, tgt, "users", ANCH, G.DfsConfig(max_depth=1, agg_primitives=("mode",))
+                              ).schema["MODE(ev.code)"].dataType.typeName() == "integer"
