@@ -44,3 +44,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["__timestamp", "__id", "__label"]
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "boolean": "BOOLEAN",
+                 "array<double>": "DOUBLE[]", "date": "DATE"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_types_match_oracle(spark, con, name):
+    """Column types agree too (the gate compares schemas, not only values)."""
+    st = {f.name: f.dataType.simpleString() for f in QUERIES[name](spark, SF_SMALL).schema.fields}
+    rel = con.sql(ORACLES[name])
+    for col, dtype in zip(rel.columns, rel.types):
+        assert SPARK_TO_DUCK.get(st[col], st[col]) == str(dtype), (col, st[col], str(dtype))
