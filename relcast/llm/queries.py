@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, secrets, sharding
+from . import decontam, mixing, ngram_join, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": decontam.op5_decontamination,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": decontam.ORACLE_OP5,
+    "op9_ngram_join": ngram_join.ORACLE_OP9,
 }
