@@ -14,9 +14,10 @@ is every document's component under these links.
    last, so a passage that many documents share makes no cell of its own unless it makes up most of a text.
 3. Inside a cell the smallest node is the pivot document, and each member is compared with it: linear in the
    cell.  Then components are formed, and only cells whose other members are still in different components go on.
-4. Such a region, if large, is cut again: its members' distances to a new pivot document make rings of
-   width 0.2, a member is replicated from its ring to the next (the triangle-inequality window), and the parts
-   are joined in the same way; small parts compare the pairs that are in different components.
+4. Small cells compare the pairs that are in different components.  Large cells with the same pivot document are
+   one region, that document's.  A region that is still large is cut again: its members' distances to a new pivot
+   document make rings of width 0.2, a member is replicated from its ring to the next (the triangle-inequality
+   window), and the parts are joined in the same way.
 
 Pairs are sifted by size, then by the prefixes' common part (an upper bound of the overlap), and only then
 compared exactly; pairs inside one component are never compared, as they cannot change the result.
@@ -43,16 +44,19 @@ from .shingles import distinct_per_row, list_column, mix, shingle_hashes
 
 LINK = "9 * common >= 4 * (na + nb)"
 NEAR_SIZE = "5 * least(na, nb) >= 4 * greatest(na, nb)"
-HOT_PART, HOT_COUNT = 8, 8  # shingles in the prefixes of 8 documents in one eighth of the corpus count as frequent
-LARGE = 128  # members of a region above which it is cut again
+HOT_PART, HOT_COUNT = 16, 3  # shingles of 3 texts in one sixteenth of the corpus count as frequent
+HOT_KEYS = 2_000_000  # the count is doubled until no more shingles than this are frequent
+LARGE = 128  # members of a cell above which its pivot document's region takes its place
+CUT = 4096  # members of a region above which it is cut into rings
 
 
 def _pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t")
 
 
-def shingle_sets(picked: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """id, n, s1, s2 (signature of the set) and its first n // 5 + 1 shingles in the order (frequent, hash)."""
+def shingle_sets(picked: DataFrame, frequent: np.ndarray | None, whole: bool = False) -> DataFrame:
+    """id, n, s1, s2 (signature of the set) and its first n // 5 + 1 shingles (all, if ``whole``) in the order
+    (frequent, hash); last_often and last give the place of the prefix's last shingle in that order."""
     hot = picked.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,32 +66,40 @@ def shingle_sets(picked: DataFrame, frequent: np.ndarray | None) -> DataFrame:
             h, r = distinct_per_row(*shingle_hashes(b.column("t")))
             n = np.bincount(r, minlength=rows).astype(np.int64)
             s1, s2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            last_often, last = np.zeros(rows, bool), np.zeros(rows, np.uint64)
             if len(h):
                 has = np.flatnonzero(n)
                 at = (np.cumsum(n) - n)[has]
                 s1[has] = np.add.reduceat(mix(h ^ np.uint64(0x1F83D9ABFB41BD6B)), at)
                 s2[has] = np.add.reduceat(mix(h + np.uint64(0x5BE0CD19137E2179)), at)
+                often = np.zeros(len(h), bool)
                 if words is not None:
                     often = bloom.contains(words, h)
-                    if often.any():
-                        order = np.lexsort((often, r))  # stable: by row, then frequent last, then hash
-                        h = h[order]
-                keep = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < (n // 5 + 1)[r]
-                h, r = h[keep], r[keep]
+                    order = np.lexsort((often, r))  # stable: by row, then frequent last, then hash
+                    h, often = h[order], often[order]
+                if not whole:
+                    keep = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < (n // 5 + 1)[r]
+                    h, r, often = h[keep], r[keep], often[keep]
+                ends = np.append(np.flatnonzero(r[1:] != r[:-1]), len(r) - 1)
+                last_often[r[ends]], last[r[ends]] = often[ends], h[ends]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), list_column(h, r, rows)],
-                ["id", "n", "s1", "s2", "prefix"])
+                [b.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), list_column(h, r, rows),
+                 pa.array(last_often), pa.array((last ^ np.uint64(1 << 63)).view(np.int64))],
+                ["id", "n", "s1", "s2", "prefix", "last_often", "last"])
 
-    return picked.mapInArrow(run, "id long, n long, s1 long, s2 long, prefix array<long>")
+    return picked.mapInArrow(run, "id long, n long, s1 long, s2 long, prefix array<long>, last_often boolean, last long")
 
 
 def frequent_shingles(picked: DataFrame) -> np.ndarray | None:
-    """Bloom filter of shingles that come often in prefixes; it only orders the pivots and cannot change the result."""
+    """Bloom filter of shingles that come often; it only orders the pivots and cannot change the result."""
     part = picked.where(F.pmod(F.xxhash64("id"), F.lit(HOT_PART)) == 0)
-    sets = shingle_sets(part, None).where("n > 0").dropDuplicates(["s1", "s2", "n"])
+    sets = shingle_sets(part, None, whole=True).where("n > 0").dropDuplicates(["s1", "s2", "n"])
     often = sets.select(F.explode("prefix").alias("cell")).groupBy("cell").count().where(F.col("count") >= HOT_COUNT)
-    often = shared_table(often.select("cell"), "frequent")
-    return None if often.isEmpty() else bloom.build(often, "cell")
+    often = shared_table(often, "frequent")
+    least = HOT_COUNT
+    while (keys := often.where(F.col("count") >= least).count()) > HOT_KEYS:
+        least *= 2
+    return bloom.build(often.where(F.col("count") >= least), "cell") if keys else None
 
 
 def whole_sets(picked: DataFrame, ids: DataFrame, col: str) -> DataFrame:
@@ -117,8 +129,11 @@ def _both(pairs: DataFrame, of: DataFrame, cols: dict[str, str]) -> DataFrame:
 def _sift(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that sizes and prefixes allow to link, with the common part of the prefixes."""
     sized = _both(pairs, nodes, {"n": "n"}).where(NEAR_SIZE).select("a", "b")
-    both = _both(sized, nodes, {"n": "n", "prefix": "p"}).withColumn("k", F.size(F.array_intersect("pa", "pb")))
-    rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    both = (_both(sized, nodes, {"n": "n", "prefix": "p", "last_often": "o", "last": "l"})
+            .withColumn("k", F.size(F.array_intersect("pa", "pb"))))
+    # common shingles up to the lesser of the two prefix ends are in both prefixes; that end's set has few others
+    lesser = F.struct("oa", "la") <= F.struct(F.col("ob").alias("oa"), F.col("lb").alias("la"))
+    rest = F.when(lesser, F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
     return both.where(9 * (F.col("k") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "k")
 
 
@@ -154,9 +169,9 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(several, "region")
 
 
-def _cut(picked: DataFrame, large: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rings round a new pivot document per region: (links found, members of the parts)."""
-    pivots = large.groupBy("region").agg(F.min_by("node", F.xxhash64("region", "node")).alias("pivot"))
+def _cut(picked: DataFrame, large: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Rings round a new pivot document per region (the same one in overlapping regions): (links found, members of the parts)."""
+    pivots = large.groupBy("region").agg(F.min_by("node", F.xxhash64(F.lit(depth), "node")).alias("pivot"))
     at = large.join(pivots, "region")
     pairs = at.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     seen = _compare(picked, pairs)
@@ -186,7 +201,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("node"))
     classes = shared_table(classes, "classes")
     nodes = (sets.where("n > 0").withColumnRenamed("id", "node").join(classes, [*key, "node"], "left_semi")
-             .select("node", "n", "prefix"))
+             .select("node", "n", "prefix", "last_often", "last"))
     nodes = shared_table(nodes, "nodes")
 
     cells = nodes.select("node", F.explode("prefix").alias("region"))
@@ -205,25 +220,31 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_links(_compare(picked, left)))
         labels = components(links)
 
-    # regions whose members other than the pivot are in different components
-    regions = members.where("node != pivot").select("region", "node")
-    for depth in range(rounds + 1):
+    # cells whose members other than the pivot are in different components: small ones compare their open pairs,
+    # large ones with the same pivot document become its region
+    def compare_open(found: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = shared_table(_open_pairs(_sift(_small_pairs(found, nodes), nodes).select("a", "b"), labels), "pairs")
+        if pairs.isEmpty():
+            return links, labels
+        links = links.unionByName(_links(_compare(picked, pairs)))
+        return links, components(links)
+
+    mixed = shared_table(_mixed(members.where("node != pivot"), labels), "mixed")
+    large = mixed.where(F.col("size") > LARGE)
+    regions = shared_table(large.select(F.col("pivot").alias("region"), "node").distinct(), "regions")
+    links, labels = compare_open(mixed.where(F.col("size") <= LARGE), links, labels)
+    depth = 0
+    while not regions.isEmpty():
         mixed = shared_table(_mixed(regions, labels), "mixed")
-        small = mixed if depth == rounds else mixed.where(F.col("size") <= LARGE)
-        pairs = shared_table(_open_pairs(_sift(_small_pairs(small, nodes), nodes).select("a", "b"), labels), "pairs")
-        more = [] if pairs.isEmpty() else [_links(_compare(picked, pairs))]
-        large = mixed.where(F.col("size") > LARGE).select("region", "node")
-        done = depth == rounds or large.isEmpty()
-        if not done:
-            found, regions = _cut(picked, large, nodes)
-            more.append(found)
-            regions = shared_table(regions, "regions")
-        for m in more:
-            links = links.unionByName(m)
-        if more:
-            labels = components(links)
-        if done:
+        cut = mixed.where(F.col("size") > CUT).select("region", "node") if depth < rounds else mixed.limit(0)
+        again = not cut.isEmpty()
+        links, labels = compare_open(mixed.where(F.col("size") <= CUT) if depth < rounds else mixed, links, labels)
+        if not again:
             break
+        found, regions = _cut(picked, cut, depth)
+        links, regions = links.unionByName(found), shared_table(regions, "regions")
+        labels = components(links)
+        depth += 1
 
     named = _labelled(classes, labels, "node", "component_id")
     full = sets.where("n > 0").select("id", *key).join(named.select(*key, "component_id"), key)
