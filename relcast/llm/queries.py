@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, secrets, sharding
+from . import ann, decontam, mixing, ngram_join, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_warc": warc.op2_warc,
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": decontam.op5_decontamination,
+    "op8_ann": ann.op8_ann,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE_OP2,
     "op5_decontamination": decontam.ORACLE_OP5,
     "op9_ngram_join": ngram_join.ORACLE_OP9,
 }
