@@ -7,7 +7,7 @@ smaller) until the cells hold the candidate budget; the candidates are then rank
 product of the original vectors in double precision.
 
 The codebooks come from a hash sample of at most about ``sample`` rows; every row is indexed.  Search
-work is grouped by the first half's centroid: rows and query visits of one centroid meet in one group,
+work is grouped by runs of the first half's centroids: rows and query visits of one run meet in one group,
 and large groups are split by hash on both sides, so no group grows with the data.  The budget is a share of
 the rows: on vectors without clusters (64 dimensions, nearest products near 0.4) recall 0.9 needs about a third
 of them, at every size; lower it for clustered vectors.  With no more rows than ``least`` all candidates are looked at.
@@ -34,6 +34,7 @@ SAMPLE = 20_000
 LEAST = 2_000
 CELLS = 128  # centroids of a half
 SHARE = 0.42  # candidate budget as a share of the rows
+GROUPS = 16  # search groups before splitting: runs of first-half centroids
 GROUP = 8_192  # rows, and query visits, of one search group
 
 
@@ -84,33 +85,38 @@ def traverse(left: np.ndarray, right: np.ndarray, counts: np.ndarray, budget: in
 
 
 def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of one query with rows of v, each summed component by component."""
+    """Inner products of the rows of q and v, each summed component by component."""
     out = np.zeros(len(v))
-    for d in range(len(q)):
-        out += q[d] * v[:, d]
+    for d in range(v.shape[1]):
+        out += q[:, d] * v[:, d]
     return out
 
 
 def _search_group(vecs: pd.DataFrame, visits: pd.DataFrame, k: int, cells: int) -> pd.DataFrame:
     """Each visit's k nearest among the group's rows in the cells that it visits."""
-    out: list[tuple[int, int, float]] = []
+    out: list[pd.DataFrame] = []
     if len(vecs) and len(visits):
-        v, ids, j = np.stack(vecs["v"].to_numpy()), vecs["id"].to_numpy(np.int64), vecs["j"].to_numpy()
+        v, ids, cell = np.stack(vecs["v"].to_numpy()), vecs["id"].to_numpy(np.int64), vecs["cell"].to_numpy()
         for at in range(0, len(visits), 128):
             part = visits.iloc[at:at + 128]
             queries, q = part["query_id"].to_numpy(np.int64), np.stack(part["q"].to_numpy())
             visited = np.zeros((len(part), cells), bool)
-            for r, js in enumerate(part["js"]):
-                visited[r, js] = True
-            rough = np.where(visited[:, j] & (ids[None, :] != queries[:, None]), q @ v.T, -np.inf)
-            cut = np.partition(rough, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
-            for r, query in enumerate(queries):
-                pick = np.flatnonzero((rough[r] >= cut[r] - 1e-9 * (1 + abs(cut[r]))) & (rough[r] > -np.inf)
-                                      if cut[r] > -np.inf else rough[r] > -np.inf)
-                score = inner(q[r], v[pick])
-                best = np.lexsort((ids[pick], -score))[:k]
-                out += zip([int(query)] * len(best), ids[pick[best]].tolist(), score[best].tolist())
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            for r, seen in enumerate(part["cells"]):
+                visited[r, seen] = True
+            rough = np.where(visited[:, cell] & (ids[None, :] != queries[:, None]), q @ v.T, -np.inf)
+            last = max(0, len(v) - k)
+            cut = np.partition(rough, last, axis=1)[:, last]
+            low = np.where(cut > -np.inf, cut - 1e-9 * (1 + np.abs(cut)), -np.inf)
+            rr, pp = np.nonzero((rough >= low[:, None]) & (rough > -np.inf))
+            score = inner(q[rr], v[pp])
+            order = np.lexsort((ids[pp], -score, rr))
+            rr, pp, score = rr[order], pp[order], score[order]
+            nth = np.arange(len(rr)) - np.searchsorted(rr, rr, "left")
+            best = nth < k
+            out.append(pd.DataFrame({"query_id": queries[rr[best]], "vec_id": ids[pp[best]], "score": score[best]}))
+    if out:
+        return pd.concat(out, ignore_index=True)
+    return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -125,6 +131,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], schema)
     budget = max(least, math.ceil(share * n))
     size = cells or max(4, min(CELLS, round(math.sqrt(n))))
+    span = -(-size // GROUPS)
     part = min(1 << 20, math.ceil(sample / n * (1 << 20)))
     fit = np.stack(rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part).select("v").toPandas()["v"].to_numpy())
     half = fit.shape[1] // 2
@@ -149,21 +156,25 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         for b in batches:
             got = []
             for query, q in zip(b["id"], b["v"]):
-                path = traverse(-(left @ q[:half]), -(right @ q[half:]), table_.value, budget)
-                got += [(query, q, i, js) for i, js in path.items()]
-            yield pd.DataFrame(got, columns=["query_id", "q", "i", "js"])
+                path: dict[int, list[int]] = {}
+                for i, js in traverse(-(left @ q[:half]), -(right @ q[half:]), table_.value, budget).items():
+                    path.setdefault(i // span, []).extend(i % span * size + j for j in js)
+                got += [(query, q, g, seen) for g, seen in path.items()]
+            yield pd.DataFrame(got, columns=["query_id", "q", "g", "cells"])
 
     visits = shared_table(rows.where(F.pmod("id", F.lit(every)) == 0).repartition(F.col("id"))
-                          .mapInPandas(visit, "query_id long, q array<double>, i int, js array<int>"), "visits")
-    seen = {r["i"]: r["count"] for r in visits.groupBy("i").count().collect()}  # at most size rows
-    parts = F.create_map(*[F.lit(int(x)) for i in range(size) for x in (i, -(-int(counts[i].sum()) // group) or 1)])
-    chunks = F.create_map(*[F.lit(int(x)) for i in range(size) for x in (i, -(-seen.get(i, 0) // group) or 1)])
-    a = (index.withColumn("p", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("i"))).cast("int"))
-         .withColumn("c", F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("i")) - 1))))
-    b = (visits.withColumn("c", F.pmod(F.xxhash64("query_id"), F.element_at(chunks, F.col("i"))).cast("int"))
-         .withColumn("p", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("i")) - 1))))
-    found = a.groupBy("i", "p", "c").cogroup(b.groupBy("i", "p", "c")).applyInPandas(
-        lambda x, y: _search_group(x, y, k, size), "query_id long, vec_id long, score double")
+                          .mapInPandas(visit, "query_id long, q array<double>, g int, cells array<int>"), "visits")
+    held = np.add.reduceat(counts.sum(1), np.arange(0, size, span))
+    seen = {r["g"]: r["count"] for r in visits.groupBy("g").count().collect()}  # at most GROUPS rows
+    parts = F.create_map(*[F.lit(int(x)) for g, c in enumerate(held) for x in (g, -(-int(c) // group) or 1)])
+    chunks = F.create_map(*[F.lit(int(x)) for g in range(len(held)) for x in (g, -(-seen.get(g, 0) // group) or 1)])
+    of, to = F.element_at(parts, F.col("g")), F.element_at(chunks, F.col("g"))
+    a = (index.select("id", "v", F.expr(f"i div {span}").cast("int").alias("g"), F.expr(f"i % {span} * {size} + j").alias("cell"))
+         .withColumn("p", F.pmod(F.xxhash64("id"), of).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), to - 1))))
+    b = (visits.withColumn("c", F.pmod(F.xxhash64("query_id"), to).cast("int"))
+         .withColumn("p", F.explode(F.sequence(F.lit(0), of - 1))))
+    found = a.groupBy("g", "p", "c").cogroup(b.groupBy("g", "p", "c")).applyInPandas(
+        lambda x, y: _search_group(x, y, k, span * size), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
