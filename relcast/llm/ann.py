@@ -162,7 +162,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                 got += [(query, q, g, seen) for g, seen in path.items()]
             yield pd.DataFrame(got, columns=["query_id", "q", "g", "cells"])
 
-    visits = shared_table(rows.where(F.pmod("id", F.lit(every)) == 0).repartition(F.col("id"))
+    # few bytes but much work: as many tasks as cores at least, which a size-based choice would not give
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-n // group))
+    visits = shared_table(rows.where(F.pmod("id", F.lit(every)) == 0).repartition(tasks, "id")
                           .mapInPandas(visit, "query_id long, q array<double>, g int, cells array<int>"), "visits")
     held = np.add.reduceat(counts.sum(1), np.arange(0, size, span))
     seen = {r["g"]: r["count"] for r in visits.groupBy("g").count().collect()}  # at most GROUPS rows
@@ -173,7 +175,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
          .withColumn("p", F.pmod(F.xxhash64("id"), of).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), to - 1))))
     b = (visits.withColumn("c", F.pmod(F.xxhash64("query_id"), to).cast("int"))
          .withColumn("p", F.explode(F.sequence(F.lit(0), of - 1))))
-    found = a.groupBy("g", "p", "c").cogroup(b.groupBy("g", "p", "c")).applyInPandas(
+    key = ["g", "p", "c"]
+    a, b = a.repartition(tasks, *key), b.repartition(tasks, *key)
+    found = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(
         lambda x, y: _search_group(x, y, k, span * size), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
