@@ -32,7 +32,7 @@ BITS = 19
 SIZES = (3, 4, 5)
 SELECTED = 6_000  # features with the largest chi-square statistic
 SMOOTH = 1.0
-PENALTY = 2e-3
+PENALTY = 2e-4
 TASKS = 16
 
 _FLAGS: dict[str, np.ndarray] = {}
