@@ -30,6 +30,8 @@ gives no rows.  Extra columns are passed through by ``mix_documents``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ from .common import table
 BLOCK_ROWS = 16
 RESOLUTION = 100
 ALPHA = 0.7
-ROWS_PER_BUCKET = 20_000
+LEAST_BUCKET = 1_000
 
 
 def source_weights(sizes: DataFrame, weights: dict[str, int] | None, alpha: float, resolution: int) -> DataFrame:
@@ -101,12 +103,12 @@ def cycle_patterns(blocks: DataFrame) -> DataFrame:
             .withColumnRenamed("c", "first_cycle").withColumnRenamed("until", "until_cycle"))
 
 
-def ranked_rows(rows: DataFrame, of_key: DataFrame, key: list[str], order: list[str | Column], rows_per_bucket: int,
+def ranked_rows(rows: DataFrame, of_key: DataFrame, key: list[str], order: list[str | Column], rows_per_bucket: int | None,
                 total: int) -> DataFrame:
     """Adds ``rank`` (from 0) within ``key`` by hash ``h`` and ``order``, without a window over a whole key.
 
     The columns of ``of_key`` (one row per key) come along with the histogram, so no join is on ``key`` alone."""
-    buckets = max(1, -(-total // rows_per_bucket))
+    buckets = max(1, -(-total // (rows_per_bucket or max(LEAST_BUCKET, math.isqrt(total)))))
     rows = rows.withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     per = rows.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +119,7 @@ def ranked_rows(rows: DataFrame, of_key: DataFrame, key: list[str], order: list[
 
 
 def pfair_order(rows: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA,
-                resolution: int = RESOLUTION, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                resolution: int = RESOLUTION, rows_per_bucket: int | None = None) -> DataFrame:
     """``rows`` with source, no_source, doc_id, text_crc32, h get weight, block, slot (of the whole stream) and nth (in the block)."""
     key = ["no_source", "source"]
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, mixing, ngram_join, secrets, sharding, warc
+from . import ann, decontam, html_text, mixing, ngram_join, quality, secrets, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op2_warc": warc.op2_warc,
+    "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": decontam.op5_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html_text": html_text.op7_html_text,
     "op8_ann": ann.op8_ann,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mixing": mixing.op10_mixing,

@@ -19,12 +19,14 @@ some shards empty.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-ROWS_PER_BUCKET = 20_000
+LEAST_BUCKET = 1_000
 
 
 def _offsets(counts: DataFrame, part: list[str], order: str) -> DataFrame:
@@ -35,7 +37,7 @@ def _offsets(counts: DataFrame, part: list[str], order: str) -> DataFrame:
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id",
                source_col: str = "source", text_col: str = "text",
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+               rows_per_bucket: int | None = None) -> DataFrame:
     """id, size, text_crc32, source, position (from 0), shard, slot for every row."""
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
@@ -46,7 +48,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
         F.crc32(raw.cast("binary")).alias("text_crc32"),
     )
     total = docs.count()
-    buckets = max(1, -(-total // rows_per_bucket))
+    # buckets of about sqrt(rows): neither a bucket nor the list of buckets becomes one task's burden
+    buckets = max(1, -(-total // (rows_per_bucket or max(LEAST_BUCKET, math.isqrt(total)))))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
     rows = rows.withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     # order within a source: (b, h, doc_id, ...): any order that the seed fixes will do
