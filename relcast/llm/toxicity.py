@@ -27,10 +27,10 @@ from .common import prepare, shared_table, table
 from .labelled import held_out, sigmoid, training_labels
 
 THRESHOLD = 0.5
-SAMPLE = 12_000
+SAMPLE = 10_000
 BITS = 19
 SIZES = (3, 4, 5)
-SELECTED = 6_000  # features with the largest chi-square statistic
+SELECTED = 4_000  # features with the largest chi-square statistic
 SMOOTH = 1.0
 PENALTY = 2e-4
 TASKS = 16
@@ -89,7 +89,7 @@ def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | float:
         return float(n.get(1, 0) > 0)
     # every feature of the table at most: 2 ** BITS rows
     df = (texts.repartition(TASKS).mapInPandas(count, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-          .where("n0 + n1 >= 3").toPandas())
+          .where("n0 + n1 >= 5").toPandas())
     p, q = (df["n1"] + SMOOTH) / (n[1] + 2 * SMOOTH), (df["n0"] + SMOOTH) / (n[0] + 2 * SMOOTH)
     base = (df["n0"] + df["n1"]) / (n[0] + n[1])
     chi = ((df["n1"] - base * n[1]) ** 2 / (base * n[1]) + (df["n0"] - base * n[0]) ** 2 / (base * n[0])) / np.maximum(1e-9, 1 - base)
