@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -126,15 +126,19 @@ def _both(pairs: DataFrame, of: DataFrame, cols: dict[str, str]) -> DataFrame:
     return pairs
 
 
+def _may_link() -> Column:
+    """Whether the prefixes' common part allows a link.  Common shingles up to the lesser of the two prefix ends are in
+    both prefixes, and that end's set has few others."""
+    lesser = F.struct("oa", "la") <= F.struct(F.col("ob").alias("oa"), F.col("lb").alias("la"))
+    rest = F.when(lesser, F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
+    return 9 * (F.size(F.array_intersect("pa", "pb")) + rest) >= 4 * (F.col("na") + F.col("nb"))
+
+
 def _sift(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that sizes and prefixes allow to link, with the common part of the prefixes."""
     sized = _both(pairs, nodes, {"n": "n"}).where(NEAR_SIZE).select("a", "b")
-    both = (_both(sized, nodes, {"n": "n", "prefix": "p", "last_often": "o", "last": "l"})
-            .withColumn("k", F.size(F.array_intersect("pa", "pb"))))
-    # common shingles up to the lesser of the two prefix ends are in both prefixes; that end's set has few others
-    lesser = F.struct("oa", "la") <= F.struct(F.col("ob").alias("oa"), F.col("lb").alias("la"))
-    rest = F.when(lesser, F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
-    return both.where(9 * (F.col("k") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "k")
+    both = _both(sized, nodes, {"n": "n", "prefix": "p", "last_often": "o", "last": "l"})
+    return both.where(_may_link()).select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("k"))
 
 
 def _compare(picked: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -185,12 +189,19 @@ def _cut(picked: DataFrame, large: DataFrame, depth: int) -> tuple[DataFrame, Da
 
 
 def _small_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components inside the same region, near in size."""
-    sized = members.join(nodes.select("node", "n"), "node")
+    """Pairs of different components inside the same region that sizes and prefixes allow to link.
+
+    The bounds are part of the join's condition, so of the pairs looked at only the promising ones become rows."""
+    full = members.select("region", "node", "label").join(nodes, "node")
     ring = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-9)).cast("int")
-    left = sized.select("region", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.explode(F.array(ring, ring + 1)).alias("ring"))
-    right = sized.select("region", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.explode(F.array(ring, ring + 1)).alias("ring"))
-    return (left.join(right, ["region", "ring"]).where("a < b and la != lb").where(NEAR_SIZE).select("a", "b").distinct())
+
+    def side(x: str) -> DataFrame:
+        return full.select("region", F.col("node").alias(x), F.col("label").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"),
+                           F.col("last_often").alias(f"o{x}"), F.col("last").alias(f"l{x}"), ring.alias("ring"))
+
+    left = side("a").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    pairs = left.join(side("b"), ["region", "ring"]).where("a < b and ca != cb").where(NEAR_SIZE).where(_may_link())
+    return pairs.select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
@@ -223,7 +234,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # cells whose members other than the pivot are in different components: small ones compare their open pairs,
     # large ones with the same pivot document become its region
     def compare_open(found: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = shared_table(_open_pairs(_sift(_small_pairs(found, nodes), nodes).select("a", "b"), labels), "pairs")
+        pairs = shared_table(_small_pairs(found, nodes), "pairs")
         if pairs.isEmpty():
             return links, labels
         links = links.unionByName(_links(_compare(picked, pairs)))
