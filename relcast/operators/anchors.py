@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import reduce
+from itertools import count, takewhile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,26 +40,17 @@ def earliest_value(rdb: Rdb) -> dt.datetime | None:
 
 
 def backoff_anchors(today, earliest) -> list[dt.datetime]:
-    """B2: start at ``today``, step back 1 day; after every 7 anchors double the step.
+    """B2: anchors back from ``today``, seven at each spacing of 1, 2, 4, ... days.
 
-    Stops once the next anchor would fall before ``earliest``.  Returned in
-    descending order; empty when either bound is missing.
+    Anchor i lies 7 (2^k - 1) + (i mod 7) 2^k days before ``today``, with k = i div 7;
+    the list holds those not before ``earliest``, latest first.  Empty when either
+    bound is missing.
     """
     if today is None or earliest is None:
         return []
-    current = to_datetime(today)
-    earliest = to_datetime(earliest)
-    out: list[dt.datetime] = []
-    step, count = 1, 0
-    while current >= earliest:
-        out.append(current)
-        current = current - dt.timedelta(days=step)
-        count += 1
-        if count == 7:
-            step, count = step * 2, 0
-        if len(out) > MAX_ANCHORS:
-            raise ValueError("anchor list exceeds MAX_ANCHORS")
-    return out
+    start, span = to_datetime(today), (to_datetime(today) - to_datetime(earliest))
+    offsets = (dt.timedelta(days=7 * (2 ** (i // 7) - 1) + i % 7 * 2 ** (i // 7)) for i in count())
+    return [start - d for d in takewhile(lambda d: d <= span, offsets)]
 
 
 def make_anchors(rdb: Rdb, today, lookback_days: float | None = None,

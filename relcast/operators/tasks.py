@@ -46,20 +46,15 @@ def test_table(rdb: Rdb, table: str, today, entity_ids=None) -> DataFrame:
     return ents.select(ID, ts_lit(today).alias(TS), F.lit(None).cast(label_type).alias(LABEL), *cols)
 
 
-def entity_filter(df: DataFrame, entity_ids, id_col: str = ID, small_list_max: int = 10_000) -> DataFrame:
-    """Keep ids in ``entity_ids``: a short Python list becomes ``isin``; a frame
-    (first column = id) becomes a left-semi join."""
+def entity_filter(df: DataFrame, entity_ids, id_col: str = ID) -> DataFrame:
+    """Keep ids in ``entity_ids`` (a list, or a frame whose first column is the id) by a
+    left-semi join; ids that the key's type cannot hold match nothing."""
     if entity_ids is None:
         return df
-    if isinstance(entity_ids, DataFrame):
-        ids = entity_ids.select(F.col(entity_ids.columns[0]).cast(df.schema[id_col].dataType).alias(id_col))
-        return df.join(ids, id_col, "left_semi")
-    ids = list(entity_ids)
-    if len(ids) > small_list_max:
-        spark = df.sparkSession
-        frame = spark.createDataFrame([(i,) for i in ids], f"{id_col} {df.schema[id_col].dataType.simpleString()}")
-        return df.join(frame, id_col, "left_semi")
-    return df.where(F.col(id_col).isin(ids))
+    if not isinstance(entity_ids, DataFrame):
+        entity_ids = df.sparkSession.createDataFrame([(None if i is None else str(i),) for i in entity_ids], "id string")
+    first = entity_ids.columns[0]
+    return df.join(entity_ids.select(F.col(first).try_cast(df.schema[id_col].dataType).alias(id_col)), id_col, "left_semi")
 
 
 def label_feature_join(features: DataFrame, labels: DataFrame) -> DataFrame:
