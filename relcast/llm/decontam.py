@@ -17,8 +17,8 @@ verified by a join on (document, shingle); both ways give the same rows.
 
 Defined cases: null and empty texts have no shingles and match nothing; an item with fewer
 than five words has one shingle, its whole word sequence, and is contained only in documents
-with the very same words; repeated ids are rows of their own for documents and one item for
-items (their shingles together); no items or no documents give no rows; extra columns are ignored.
+with the very same words; rows with the same document id are matched one by
+one and reported once per item, by their best row; rows with the same item id are one item (their shingles together); no items or no documents give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +38,19 @@ MAX_BROADCAST = 2_000_000  # hash values of all items together: 16 MB
 
 
 def shingle_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash), the distinct shingles of each row."""
+    """(id, of, h): the distinct shingles h of each row; ``of`` tells texts with the same id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, r = distinct_per_row(*shingle_hashes(b.column("t")))
             yield pa.RecordBatch.from_arrays([b.column("id"), list_column(h, r, len(b.column("t")))], ["id", "h"])
 
     picked = df.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t")
-    return picked.mapInArrow(run, "id long, h array<long>").select("id", F.explode("h").alias("h"))
+    return picked.mapInArrow(run, "id long, h array<long>").select("id", F.xxhash64("h").alias("of"), F.explode("h").alias("h"))
 
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """item_id, h, n (the item's shingles), sketch (whether h is among its k minima)."""
-    rows = shingle_rows(items, id_col, text_col).distinct()
+    rows = shingle_rows(items, id_col, text_col).select("id", "h").distinct()
     lists = rows.groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("hs"))  # one test item's words
     n = F.size("hs")
     upper = F.pow(F.lit(2), F.ceil(F.log2(n)))  # its size partition: (u / 2, u]
@@ -111,12 +111,13 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     if size <= max_broadcast:
         found = _probe(picked, index.collect(), threshold)
     else:
-        rows = shingle_rows(picked.withColumn("row", F.monotonically_increasing_id()), "i", "t")
-        cand = rows.join(index.where("sketch").select("h", "item_id"), "h").select("id", "item_id").distinct()
-        held = (rows.join(index.select("h", "item_id", "n"), "h").groupBy("id", "item_id")
+        rows = shingle_rows(picked, "i", "t")
+        cand = rows.join(index.where("sketch").select("h", "item_id"), "h").select("id", "of", "item_id").distinct()
+        held = (rows.join(index.select("h", "item_id", "n"), "h").groupBy("id", "of", "item_id")
                 .agg(F.max("n").cast("long").alias("n_item"), F.count_distinct("h").alias("n_shared")))
-        found = (held.join(cand, ["id", "item_id"], "left_semi").where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item") - F.lit(1e-9)))
+        found = (held.join(cand, ["id", "of", "item_id"], "left_semi").where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item") - F.lit(1e-9)))
                  .select(F.col("id").alias("doc_id"), "item_id", "n_item", "n_shared"))
+    found = found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
@@ -149,7 +150,8 @@ s AS (
 d AS (SELECT DISTINCT id, row, g FROM s WHERE kind = 'd'),
 i AS (SELECT DISTINCT id, g FROM s WHERE kind = 'i'),
 n AS (SELECT id, count(*) AS n_item FROM i GROUP BY id),
-m AS (SELECT d.row, d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM d JOIN i USING (g) GROUP BY ALL)
+r AS (SELECT d.row, d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM d JOIN i USING (g) GROUP BY ALL),
+m AS (SELECT doc_id, item_id, max(shared) AS n_shared FROM r GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM m JOIN n ON n.id = item_id WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
 """
