@@ -188,8 +188,15 @@ def _cut(picked: DataFrame, large: DataFrame, depth: int) -> tuple[DataFrame, Da
     return found.where("link").select("a", "b"), parts
 
 
-def _small_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components inside the same region that sizes and prefixes allow to link.
+def _cell_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components inside the same small cell that sizes and prefixes allow to link."""
+    side = lambda x: members.select("region", F.col("node").alias(x), F.col("label").alias(f"c{x}"))
+    pairs = side("a").join(side("b"), "region").where("a < b and ca != cb").select("a", "b").distinct()
+    return _sift(pairs, nodes).select("a", "b")
+
+
+def _region_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for large regions, of which there are few.
 
     The bounds are part of the join's condition, so of the pairs looked at only the promising ones become rows."""
     full = members.select("region", "node", "label").join(nodes, "node")
@@ -234,7 +241,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # cells whose members other than the pivot are in different components: small ones compare their open pairs,
     # large ones with the same pivot document become its region
     def compare_open(found: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = shared_table(_small_pairs(found, nodes), "pairs")
+        pairs = shared_table(found, "pairs")
         if pairs.isEmpty():
             return links, labels
         links = links.unionByName(_links(_compare(picked, pairs)))
@@ -243,13 +250,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = shared_table(_mixed(members.where("node != pivot"), labels), "mixed")
     large = mixed.where(F.col("size") > LARGE)
     regions = shared_table(large.select(F.col("pivot").alias("region"), "node").distinct(), "regions")
-    links, labels = compare_open(mixed.where(F.col("size") <= LARGE), links, labels)
+    links, labels = compare_open(_cell_pairs(mixed.where(F.col("size") <= LARGE), nodes), links, labels)
     depth = 0
     while not regions.isEmpty():
         mixed = shared_table(_mixed(regions, labels), "mixed")
         cut = mixed.where(F.col("size") > CUT).select("region", "node") if depth < rounds else mixed.limit(0)
         again = not cut.isEmpty()
-        links, labels = compare_open(mixed.where(F.col("size") <= CUT) if depth < rounds else mixed, links, labels)
+        links, labels = compare_open(_region_pairs(mixed.where(F.col("size") <= CUT) if depth < rounds else mixed, nodes), links, labels)
         if not again:
             break
         found, regions = _cut(picked, cut, depth)
