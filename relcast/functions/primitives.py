@@ -1,8 +1,8 @@
 """Aggregation and transform primitives for feature synthesis.
 
 Decomposable numeric primitives are produced from the partial sums the slot
-plans keep per (key, slot): n (non-null count), s (sum), ss (sum of squares),
-mn, mx.  ``mode`` and distinct counts need value-level plans and live in
+plans keep per (key, slot): n (non-null count), s (sum), m (count, mean and sum of
+squared deviations), mn, mx.  ``mode`` and distinct counts need value-level plans and live in
 ``operators.features``.
 """
 
@@ -27,25 +27,24 @@ def partials_for(col: str, prims) -> list[Agg]:
         elif p == "mean":
             need |= {"s", "n"}
         elif p == "std":
-            need |= {"s", "n", "ss"}
+            need |= {"m"}
         elif p == "min":
             need |= {"mn"}
         elif p == "max":
             need |= {"mx"}
-    kinds = {"n": "count_nonnull", "s": "sum", "ss": "sumsq", "mn": "min", "mx": "max"}
-    return [Agg(f"{col}__{k}", kinds[k], col) for k in ("n", "s", "ss", "mn", "mx") if k in need]
+    kinds = {"n": "count_nonnull", "s": "sum", "m": "moments", "mn": "min", "mx": "max"}
+    return [Agg(f"{col}__{k}", kinds[k], col) for k in ("n", "s", "m", "mn", "mx") if k in need]
 
 
 def finish(col: str, prim: str) -> Column:
     """Final value of a numeric primitive from the merged partial columns."""
-    n, s, ss = F.col(f"`{col}__n`"), F.col(f"`{col}__s`"), F.col(f"`{col}__ss`")
+    n, s, m = F.col(f"`{col}__n`"), F.col(f"`{col}__s`"), F.col(f"`{col}__m`")
     if prim == "sum":
         return F.col(f"`{col}__s`")
     if prim == "mean":
         return F.when(n > 0, s / n)
     if prim == "std":
-        var = (ss - s * s / n) / (n - 1)
-        return F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+        return F.when(m["n"] > 1, F.sqrt(F.greatest(m["m2"] / (m["n"] - 1), F.lit(0.0))))
     if prim == "min":
         return F.col(f"`{col}__mn`")
     if prim == "max":

@@ -17,13 +17,12 @@ import random
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources import schema as S
-from .model import FittedModel, _safe
+from .model import FittedModel, _inputs
 
 
 def _score(fm: FittedModel, df: DataFrame, cls: int | None) -> DataFrame:
-    ren = {c: _safe(c) for c in fm.feature_names}
     keep = [c for c in df.columns if c.startswith("__")]
-    data = fm.pre.transform(df).select(*keep, *[F.col(f"`{c}`").alias(ren[c]) for c in fm.feature_names])
+    data = fm.pre.transform(df).select(*keep, *_inputs(df, fm.num_cols, fm.cat_cols))
     out = fm.model.transform(data)
     if fm.task == "classification":
         from pyspark.ml.functions import vector_to_array

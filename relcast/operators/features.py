@@ -8,6 +8,8 @@ turns the spec list into a handful of DataFrame plans:
   sum / mean / min / max / std / time-since-last / where-count of that edge in
   a single ``groupBy(key, slot)`` + running window (``plans.history``);
 * ``mode`` uses the same plan keyed by (key, value) and a ``min_by`` pick;
+* a value taken from a parent of the child row counts from the later of the
+  child's and that parent's own time on (a line can be older than its order);
 * stacked features (depth >= 2) evaluate the child's own features at the
   *target's* anchors, keyed by (child key, anchor), then aggregate them per
   (parent key, anchor) -- the cutoff is applied at every level;
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import primitives as P
 from ..functions.timeparts import datetime_part, epoch_nanos
-from ..plans.history import (ANCHOR_IDX, TS, Agg, Win, anchor_ts, cumulative_aggregate,
-                             expand_created, first_anchor_index, time_micros, window_aggregate)
+from ..plans.history import (ANCHOR_IDX, TS, Agg, Win, anchor_ts, cumulative_aggregate, expand_created,
+                             first_anchor_index, last_anchor_index, range_aggregate, time_micros, window_aggregate)
 from ..sources import schema as S
 from ..sources.rdb import Rdb
 
@@ -92,6 +94,12 @@ def _edge_label(schema: S.RdbSchema, child: str, fk: str, parent: str) -> str:
     return child if n == 1 else f"{child}[{fk}]"
 
 
+def _parent_label(t: S.TableSchema, fk) -> str:
+    """Parent table name, with the FK column where several FKs of ``t`` lead to that table."""
+    parent = fk.link[0]
+    return parent if sum(1 for f in t.foreign_keys if f.link[0] == parent) == 1 else f"{parent}[{fk.name}]"
+
+
 def _allowed(cfg: DfsConfig, table: str) -> bool:
     if table in cfg.ignore_entities:
         return False
@@ -111,8 +119,9 @@ def row_columns(schema: S.RdbSchema, table: str, depth: int, cfg: DfsConfig,
             if pt == came_from or pt == table or not _allowed(cfg, pt):
                 continue
             pn, pcats = row_columns(schema, pt, depth - 1, cfg, came_from=table)
-            nums += [f"{pt}.{c}" for c in pn]
-            cats += [f"{pt}.{c}" for c in pcats]
+            label = _parent_label(t, fkcol)
+            nums += [f"{label}.{c}" for c in pn]
+            cats += [f"{label}.{c}" for c in pcats]
     return nums, cats
 
 
@@ -178,9 +187,7 @@ def enumerate_features(schema: S.RdbSchema, target: str, cfg: DfsConfig,
             continue
         pn, pc = row_columns(schema, pt, depth, cfg, came_from=target)
         for c in pn + pc:
-            multi = sum(1 for f in t.foreign_keys if f.link[0] == pt) > 1
-            specs.append(FeatureSpec(f"{pt}[{fkcol.name}].{c}" if multi else f"{pt}.{c}",
-                                     "direct", target, pt, fkcol.name, c, None, depth=1 + c.count(".")))
+            specs.append(FeatureSpec(f"{_parent_label(t, fkcol)}.{c}", "direct", target, pt, fkcol.name, c, None, depth=1 + c.count(".")))
     if came_from is None and cfg.max_features is not None:
         specs = sorted(specs, key=lambda s: (s.depth, s.name))[: cfg.max_features]
     return specs
@@ -190,7 +197,9 @@ def enumerate_features(schema: S.RdbSchema, target: str, cfg: DfsConfig,
 
 def _rows_with_parents(rdb: Rdb, table: str, cols: list[str], extra: list[str]) -> DataFrame:
     """Rows of ``table`` with the requested columns; ``parent.col`` names are
-    resolved by equi-joins on the FK (recursively for deeper chains)."""
+    resolved by equi-joins on the FK (recursively for deeper chains).  For each parent
+    chain with a time column, ``__vt:<chain>`` is the latest time along it (NULL where
+    one is missing): its values are known after that time only."""
     t = rdb.schema.table(table)
     own = [c for c in cols if "." not in c]
     needed = list(dict.fromkeys(extra + own))
@@ -202,26 +211,81 @@ def _rows_with_parents(rdb: Rdb, table: str, cols: list[str], extra: list[str])
             by_parent.setdefault(p, []).append(rest)
     out = df.select(*[F.col(c) for c in dict.fromkeys(needed + [f.name for f in t.foreign_keys])])
     for p, rest in by_parent.items():
-        fk = next(f for f in t.foreign_keys if f.link[0] == p)
-        pk = rdb.schema.table(p).primary_key
-        prow = _rows_with_parents(rdb, p, rest, [pk])
-        prow = prow.select(F.col(pk).alias("__pk_" + p), *[F.col(f"`{r}`").alias(f"{p}.{r}") for r in rest])
-        out = out.join(prow, out[fk.name] == prow["__pk_" + p], "left").drop("__pk_" + p)
+        fk = next(f for f in t.foreign_keys if _parent_label(t, f) == p)
+        ptab = rdb.schema.table(fk.link[0])
+        pk, ptime = ptab.primary_key, ptab.time_column
+        prow = _rows_with_parents(rdb, ptab.name, rest, [pk] + ([ptime] if ptime else []))
+        own_time = [F.col(f"`{ptime}`").cast("timestamp_ntz")] if ptime else []
+        times = [_latest(own_time).alias(f"__vt:{p}")] if ptime else []
+        for chain in sorted({_chain(r) for r in rest} - {""}):
+            known = own_time + [F.col(f"`{c}`") for c in prow.columns if c == f"__vt:{chain}"]
+            if known:
+                times.append(_latest(known).alias(f"__vt:{p}.{chain}"))
+        key = f"__pk_{p}"
+        prow = prow.select(F.col(pk).alias(key), *[F.col(f"`{r}`").alias(f"{p}.{r}") for r in rest], *times)
+        out = out.join(prow, out[fk.name] == prow[f"`{key}`"], "left").drop(key)
     return out
 
 
+def _chain(column: str | None) -> str:
+    """``a.b`` of the column name ``a.b.c``; empty for a column of the row itself."""
+    return column.rpartition(".")[0] if column else ""
+
+
+def _latest(times: list):
+    """The latest of the times; NULL when one is NULL."""
+    known = reduce(lambda a, b: a & b, [t.isNotNull() for t in times])
+    return F.when(known, F.greatest(*times) if len(times) > 1 else times[0])
+
+
+def _source_column(s: FeatureSpec) -> str | None:
+    """The column a feature's value or condition comes from; None for the child row itself."""
+    return s.where[0] if s.kind == "where" else None if s.kind == "tsl" else s.column
+
+
+def _child_rows(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, cols: list[str],
+                chain: str) -> tuple[DataFrame, str | None, str | None]:
+    """Child rows with ``cols`` (all of one parent chain), the column holding the time
+    they become visible, and the child's own time column when that is another one."""
+    tcol = rdb.schema.table(child).time_column
+    rows = _rows_with_parents(rdb, child, cols, [fk] + ([tcol] if tcol else []))
+    vt = f"__vt:{chain}"
+    if not chain or vt not in rows.columns or not cfg.use_cutoff_time:
+        return rows, tcol, None
+    own = [F.col(f"`{tcol}`").cast("timestamp_ntz")] if tcol else []
+    return rows.withColumn("__vis", _latest(own + [F.col(f"`{vt}`")])), "__vis", tcol
+
+
 def _history(cfg: DfsConfig, events: DataFrame, keys: list[str], time_col: str | None, anchors,
-             aggs: list[Agg]) -> DataFrame:
-    """(keys, __a) aggregates of child rows visible at each anchor."""
+             aggs: list[Agg], carry: DataFrame | None = None, own_time: str | None = None) -> DataFrame:
+    """(keys, carry columns, __a) aggregates of child rows visible at each anchor.
+
+    ``carry`` (columns that depend on the first key only) is joined after the rows are
+    combined per key and slot, so a hot key is never joined row by row.  ``own_time`` is
+    the child's time where ``time_col`` is a later one: a lookback window is about it."""
+    strict = cfg.closed == "left"
+    names = [a.name for a in aggs]
     if time_col is None or not cfg.use_cutoff_time:
         static = events.groupBy(*keys).agg(*[_static(a) for a in aggs])
-        return expand_created(static, None, anchors).select(*keys, ANCHOR_IDX, *[a.name for a in aggs])
-    if cfg.lookback is not None:
+        df = expand_created(static, None, anchors)
+    elif cfg.lookback is not None and own_time is not None:
+        df = range_aggregate(events.where(F.col(time_col).isNotNull()), keys,
+                             first_anchor_index(F.col(time_col), anchors, strict),
+                             last_anchor_index(F.col(own_time), cfg.lookback, anchors, strict), anchors, aggs)
+    elif cfg.lookback is not None:
         win = Win("w", -cfg.lookback, dt.timedelta(0))
         df = window_aggregate(events, keys, time_col, anchors, [win], aggs, closed=cfg.closed)
-        return df.select(*keys, ANCHOR_IDX, *[F.col(f"w__{a.name}").alias(a.name) for a in aggs])
-    df = cumulative_aggregate(events, keys, time_col, anchors, aggs, strict=(cfg.closed == "left"))
-    return df.select(*keys, ANCHOR_IDX, *[F.col(f"`{a.name}`") for a in aggs])
+        df = df.select(*keys, ANCHOR_IDX, *[F.col(f"w__{n}").alias(n) for n in names])
+    else:
+        df = cumulative_aggregate(events, keys, time_col, anchors, aggs, strict=strict, carry=carry)
+        return df.select(*_with_carry(keys, carry), ANCHOR_IDX, *names)
+    if carry is not None:
+        df = df.join(carry, keys[0])
+    return df.select(*_with_carry(keys, carry), ANCHOR_IDX, *names)
+
+
+def _with_carry(keys: list[str], carry: DataFrame | None) -> list[str]:
+    return keys + ([c for c in carry.columns if c not in keys] if carry is not None else [])
 
 
 def _static(a: Agg):
@@ -229,25 +293,14 @@ def _static(a: Agg):
     return _partial(a)
 
 
-def _carry(rows: DataFrame, key_alias: str, carry: DataFrame | None) -> tuple[DataFrame, list[str]]:
-    """Attach columns that depend only on the key (e.g. the key's own parent and
-    creation slot) to child rows before aggregating; they become extra group keys."""
-    if carry is None:
-        return rows, [key_alias]
-    extra = [c for c in carry.columns if c != key_alias]
-    return rows.join(carry, key_alias), [key_alias] + extra
-
-
 def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key_alias: str,
                 carry: DataFrame | None = None) -> DataFrame:
-    """All agg / where / tsl features of one (child, fk) edge in one slot aggregate."""
+    """All agg / where / tsl features of one (child, fk) edge and parent chain in one slot aggregate."""
     s0 = specs[0]
-    child_t = rdb.schema.table(s0.child)
-    time_col = child_t.time_column
     cols = sorted({s.column for s in specs if s.kind == "agg" and s.column})
     wsrc = sorted({s.where[0] for s in specs if s.kind == "where"})
-    rows = _rows_with_parents(rdb, s0.child, sorted(set(cols) | set(wsrc)),
-                              [s0.fk] + ([time_col] if time_col else []))
+    rows, time_col, own_time = _child_rows(rdb, cfg, s0.child, s0.fk, sorted(set(cols) | set(wsrc)),
+                                           _chain(_source_column(s0)))
     safe = {c: f"__c{i}" for i, c in enumerate(cols)}
     rows = rows.select(*[F.col(f"`{c}`").alias(safe.get(c, c)) for c in rows.columns])
     aggs = [Agg("__cnt", "count")]
@@ -265,9 +318,8 @@ def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key
         rows = rows.withColumn("__tmax", time_micros(F.col(time_col)))
         aggs.append(Agg("__tmax", "max", "__tmax"))
     rows = rows.withColumnRenamed(s0.fk, key_alias)
-    rows, keys = _carry(rows, key_alias, carry)
-    hist = _history(cfg, rows, keys, time_col, anchors, aggs)
-    out = [F.col(k) for k in keys] + [F.col(ANCHOR_IDX)]
+    hist = _history(cfg, rows, [key_alias], time_col, anchors, aggs, carry, own_time)
+    out = [F.col(k) for k in _with_carry([key_alias], carry)] + [F.col(ANCHOR_IDX)]
     for s in specs:
         if s.kind == "agg" and s.primitive == "count":
             out.append(F.col("__cnt").alias(s.name))
@@ -285,14 +337,11 @@ def _mode_block(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, anchors, key_alias:
                 carry: DataFrame | None = None) -> DataFrame:
     """MODE: counts per (key, value) over history, then the most frequent value per
     (key, anchor), smallest value on ties."""
-    child_t = rdb.schema.table(spec.child)
-    time_col = child_t.time_column
-    rows = _rows_with_parents(rdb, spec.child, [spec.column], [spec.fk] + ([time_col] if time_col else []))
+    rows, time_col, own_time = _child_rows(rdb, cfg, spec.child, spec.fk, [spec.column], _chain(spec.column))
     rows = rows.select(F.col(spec.fk).alias(key_alias), F.col(f"`{spec.column}`").alias("__v"),
-                       *([F.col(time_col)] if time_col else [])).where(F.col("__v").isNotNull())
-    rows, keys = _carry(rows, key_alias, carry)
-    hist = _history(cfg, rows, keys + ["__v"], time_col, anchors, [Agg("__c", "count")])
-    return hist.groupBy(*keys, ANCHOR_IDX).agg(
+                       *[F.col(c) for c in (time_col, own_time) if c]).where(F.col("__v").isNotNull())
+    hist = _history(cfg, rows, [key_alias, "__v"], time_col, anchors, [Agg("__c", "count")], carry, own_time)
+    return hist.groupBy(*_with_carry([key_alias], carry), ANCHOR_IDX).agg(
         F.min_by(F.col("__v"), F.struct(-F.col("__c"), F.col("__v"))).alias(spec.name))
 
 
@@ -308,7 +357,7 @@ def _entity_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSp
     edges: dict[tuple, list[FeatureSpec]] = {}
     for s in specs:
         if s.kind in ("agg", "where", "tsl"):
-            edges.setdefault((s.child, s.fk), []).append(s)
+            edges.setdefault((s.child, s.fk, _chain(_source_column(s))), []).append(s)
     for _, es in edges.items():
         blocks.append((_edge_block(rdb, cfg, es, anchors, key_alias, carry), es))
     for s in specs:
@@ -360,7 +409,7 @@ def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[Fe
     for i, s in enumerate(specs):
         c = F.col(f"`{s.inner.name}`").cast("double") if _countlike(s.inner) else F.col(f"`{s.inner.name}`")
         if _countlike(s.inner):
-            aggs += [F.sum(c).alias(f"__s{i}"), F.sum(c * c).alias(f"__q{i}"),
+            aggs += [F.sum(c).alias(f"__s{i}"), (F.var_pop(c) * F.count(c)).alias(f"__q{i}"), F.count(c).alias(f"__k{i}"),
                      F.max(c).alias(f"__mx{i}"), F.min(c).alias(f"__mn{i}")]
         else:
             aggs.append(P.stacked(s.primitive, c).alias(s.name))
@@ -377,10 +426,12 @@ def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[Fe
             continue
         sm, sq = F.coalesce(F.col(f"__s{i}"), F.lit(0.0)), F.coalesce(F.col(f"__q{i}"), F.lit(0.0))
         mx, mn = F.col(f"__mx{i}"), F.col(f"__mn{i}")
+        k = F.coalesce(F.col(f"__k{i}"), F.lit(0))
         v = {"sum": sm, "mean": sm / nc,
              "max": F.when(missing > 0, F.greatest(F.coalesce(mx, F.lit(0.0)), F.lit(0.0))).otherwise(mx),
              "min": F.when(missing > 0, F.lit(0.0)).otherwise(mn),
-             "std": F.when(nc > 1, F.sqrt(F.greatest((sq - sm * sm / nc) / (nc - 1), F.lit(0.0)))),
+             # squared deviations of the k children with rows and of the nc - k that count 0, taken together
+             "std": F.when(nc > 1, F.sqrt((sq + F.when(k > 0, sm * sm / k * (nc - k) / nc).otherwise(0.0)) / (nc - 1))),
              "count": nc}[s.primitive]
         if s.primitive in ("sum", "max", "min"):
             v = v.cast(rdb_count_type())
@@ -423,9 +474,9 @@ def _stacked_block_join(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: li
 def _direct_block(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec],
                   id_col: str) -> tuple[DataFrame, dict]:
     """Parent columns through the target table's FKs, keyed by the target id only
-    (they do not depend on the cutoff).  For parents with a time column the parent
-    time is carried along as ``__pt<i>`` so the caller can mask values of parents
-    created at or after each row's cutoff.  Returns (frame, {feature: time column})."""
+    (they do not depend on the cutoff).  For parents with a time column the latest
+    time along the chain to each value is carried along as ``__pt<i>_<j>`` so the caller
+    can mask values not yet known at a row's cutoff.  Returns (frame, {feature: time column})."""
     t = rdb.schema.table(table)
     pk = t.primary_key
     fks = sorted({s.fk for s in specs})
@@ -439,9 +490,12 @@ def _direct_block(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec]
         extra = [ptab.time_column] if ptab.time_column and cfg.use_cutoff_time else []
         prow = _rows_with_parents(rdb, parent, [s.column for s in ss], [ppk] + extra)
         sel = [F.col(ppk).alias("__pk")]
-        if extra:
-            sel.append(F.col(extra[0]).alias(f"__pt{i}"))
-            masks.update({s.name: f"__pt{i}" for s in ss})
+        own = [F.col(extra[0]).cast("timestamp_ntz")] if extra else []
+        for j, chain in enumerate(sorted({_chain(s.column) for s in ss})):
+            known = own + [F.col(f"`{c}`") for c in prow.columns if cfg.use_cutoff_time and c == f"__vt:{chain}"]
+            if known:
+                sel.append(_latest(known).alias(f"__pt{i}_{j}"))
+                masks.update({s.name: f"__pt{i}_{j}" for s in ss if _chain(s.column) == chain})
         sel += [F.col(f"`{s.column}`").alias(s.name) for s in ss]
         prow = prow.select(*sel)
         out = out.join(prow, out[fk] == prow["__pk"], "left").drop("__pk")
@@ -533,6 +587,7 @@ def drop_key_features(specs: list[FeatureSpec], schema: S.RdbSchema) -> list[Fea
         table, col = s.child, s.column
         while "." in col:
             table, col = col.split(".", 1)
+            table = table.partition("[")[0]
         try:
             c = schema.table(table).column(col)
         except KeyError:

@@ -91,9 +91,10 @@ def realign(df: DataFrame, today, ts_col: str = "__timestamp__") -> DataFrame:
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-              right_cols: list[str], bucket: str = "day") -> DataFrame:
+              right_cols: list[str], bucket: str = "day", tie_col: str | None = None) -> DataFrame:
     """Each left row gets the latest right row with the same key and
-    ``right_ts <= left_ts`` (NULLs when none).
+    ``right_ts <= left_ts`` (NULLs when none); of right rows at one time the one with
+    the largest ``tie_col`` (one of ``right_cols``; the first of them by default).
 
     Skew-safe plan: time is cut into coarse buckets.  Per (key, bucket) the last
     right row is found by an aggregate and carried forward across buckets with
@@ -106,7 +107,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     R = right.select(key, right_ts, *right_cols).withColumn(
         "__bk", F.date_trunc(bucket, rt.cast("timestamp")).cast("timestamp_ntz"))
     packed = F.struct(rt.alias("__rts"), *[F.col(c) for c in right_cols])
-    summ = R.groupBy(key, "__bk").agg(F.max_by(packed, rt).alias("__last"))
+    tie = tie_col or right_cols[0]
+    summ = R.groupBy(key, "__bk").agg(F.max_by(packed, F.struct(rt, F.col(tie))).alias("__last"))
     w = Window.partitionBy(key).orderBy("__bk")
     # latest right row from buckets strictly before each bucket of interest
     allb = L.select(key, "__bk").unionByName(summ.select(key, "__bk")).distinct()
@@ -120,7 +122,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
                      packed.alias("__r"))
     u = lrows.withColumn("__r", F.lit(None).cast(rrows.schema["__r"].dataType)).unionByName(
         rrows, allowMissingColumns=True)
-    wb = Window.partitionBy(key, "__bk").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(key, "__bk").orderBy("__t", "__side", F.col("__r")[tie]).rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("__in", F.last("__r", ignorenulls=True).over(wb)).where(F.col("__side") == 1)
     u = u.join(prev, [key, "__bk"], "left")
     best = F.coalesce(F.col("__in"), F.col("__prev"))

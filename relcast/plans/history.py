@@ -103,7 +103,8 @@ class Win:
 
 @dataclass(frozen=True)
 class Agg:
-    """Decomposable aggregate: kind in count, count_nonnull, sum, sumsq, min, max."""
+    """Decomposable aggregate: kind in count, count_nonnull, sum, min, max, or moments, whose
+    value is a struct (n, mean, m2) with m2 the sum of squared deviations from the mean."""
     name: str
     kind: str
     col: str | None = None
@@ -120,8 +121,10 @@ def _partial(a: Agg) -> Column:
         return F.count(c).alias(a.name)
     if a.kind == "sum":
         return F.sum(c).alias(a.name)
-    if a.kind == "sumsq":
-        return F.sum(c.cast("double") * c.cast("double")).alias(a.name)
+    if a.kind == "moments":
+        x = c.cast("double")
+        return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"),
+                        (F.var_pop(x) * F.count(x)).alias("m2")).alias(a.name)
     if a.kind == "min":
         return F.min(c).alias(a.name)
     if a.kind == "max":
@@ -129,8 +132,20 @@ def _partial(a: Agg) -> Column:
     raise ValueError(f"unknown aggregate kind {a.kind}")
 
 
+def _add_moments(x: Column, y: Column) -> Column:
+    """Moments of two disjoint sets of values together (no squares of large values are subtracted)."""
+    n = x["n"] + y["n"]
+    d = y["mean"] - x["mean"]
+    both = F.struct(n.alias("n"), (x["mean"] + d * y["n"] / n).alias("mean"),
+                    (x["m2"] + y["m2"] + d * d * x["n"] * y["n"] / n).alias("m2"))
+    return F.when(y["n"] == 0, x).when(x["n"] == 0, y).otherwise(both)
+
+
 def _merge(a: Agg, c: Column) -> Column:
-    if a.kind in ("count", "count_nonnull", "sum", "sumsq"):
+    if a.kind == "moments":  # one partial per slot at most, so the list is short
+        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+        return F.aggregate(F.collect_list(c), zero, _add_moments)
+    if a.kind in ("count", "count_nonnull", "sum"):
         return F.sum(c)
     if a.kind == "min":
         return F.min(c)
@@ -234,10 +249,19 @@ def first_anchor_index(time: Column, anchors: list, strict: bool = False) -> Col
     return bisect_expr(time_micros(time), cuts, "right" if strict else "left")
 
 
+def last_anchor_index(time: Column, span: dt.timedelta, anchors: list, strict: bool = False) -> Column:
+    """Index of the last anchor t with time > t - span (strict: time >= t - span); -1 if none."""
+    cuts = [_us(a) for a in anchors]
+    return bisect_expr(time_micros(time) + F.lit(_td_us(span)), cuts, "right" if strict else "left") - 1
+
+
 def cumulative_aggregate(events: DataFrame, keys: list[str], time_col: str, anchors,
-                         aggs: list[Agg], strict: bool = False) -> DataFrame:
+                         aggs: list[Agg], strict: bool = False, carry: DataFrame | None = None) -> DataFrame:
     """Per (keys, anchor) aggregates over all events with time <= t (strict: < t).
 
+    ``carry`` holds further columns of the first key (one row per key value); they are
+    joined to the partials, never to the events, and become part of the output keys.
+
     Dense from the key's first event on: one row per anchor at or after it.
     Plan: slot = first anchor covering the event; ``groupBy(key, slot)``
     partials; running merge over ``Window.partitionBy(key).orderBy(slot)``;
@@ -251,9 +275,24 @@ def cumulative_aggregate(events: DataFrame, keys: list[str], time_col: str, anch
           .where(t.isNotNull() & ((t < last) if strict else (t <= last)))
           .withColumn(SLOT, first_anchor_index(t, anchors, strict)))
     partial = ev.groupBy(*keys, SLOT).agg(*[_partial(a) for a in aggs])
+    if carry is not None:
+        partial = partial.join(carry, keys[0])
+        keys = keys + [c for c in carry.columns if c not in keys]
     return running_from_partials(partial, keys, anchors, aggs)
 
 
+def range_aggregate(events: DataFrame, keys: list[str], first: Column, last: Column, anchors,
+                    aggs: list[Agg]) -> DataFrame:
+    """Per (keys, anchor) aggregates where each event counts at the anchors with index
+    ``first`` .. ``last``.  Events are combined per (keys, first, last) before any shuffle."""
+    anchors = _check(anchors)
+    ev = events.withColumns({"__lo": first, "__hi": F.least(last, F.lit(len(anchors) - 1))})
+    ev = ev.where(F.col("__lo") <= F.col("__hi"))
+    partial = ev.groupBy(*keys, "__lo", "__hi").agg(*[_partial(a) for a in aggs])
+    out = partial.withColumn(ANCHOR_IDX, F.explode(F.sequence("__lo", "__hi")))
+    return out.groupBy(*keys, ANCHOR_IDX).agg(*[_merge(a, F.col(a.name)).alias(a.name) for a in aggs])
+
+
 def running_from_partials(partial: DataFrame, keys: list[str], anchors, aggs: list[Agg]) -> DataFrame:
     """Finish a cumulative aggregate from per-(key, slot) partials (also used by the
     streaming maintainer, whose state holds exactly these partials)."""
@@ -261,9 +300,23 @@ def running_from_partials(partial: DataFrame, keys: list[str], anchors, aggs: li
     m = len(anchors)
     w = Window.partitionBy(*keys).orderBy(SLOT)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moments = [a.name for a in aggs if a.kind == "moments"]
+    if moments:  # deviations are taken from the mean of the key's first slot with values
+        partial = partial.withColumns({
+            f"__r_{c}": F.first(F.col(f"{c}.mean"), ignorenulls=True).over(run) for c in moments})
+
+    def merged(a: Agg) -> Column:
+        if a.kind != "moments":
+            return _merge(a, F.col(a.name)).over(run).alias(a.name)
+        p, r = F.col(a.name), F.col(f"__r_{a.name}")
+        d = p["mean"] - r
+        n, s1 = F.sum(p["n"]).over(run), F.sum(p["n"] * d).over(run)
+        s2 = F.sum(p["m2"] + p["n"] * d * d).over(run)
+        return F.struct(n.alias("n"), (r + s1 / n).alias("mean"), (s2 - s1 * s1 / n).alias("m2")).alias(a.name)
+
     running = partial.select(
         *keys, SLOT,
-        *[_merge(a, F.col(a.name)).over(run).alias(a.name) for a in aggs],
+        *[merged(a) for a in aggs],
         F.lead(SLOT, 1, m).over(w).alias("__next"))
     out = running.withColumn(ANCHOR_IDX, F.explode(F.sequence(F.col(SLOT), F.col("__next") - 1)))
     return out.select(*keys, ANCHOR_IDX, anchor_ts(F.col(ANCHOR_IDX), anchors).alias(TS),

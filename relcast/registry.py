@@ -24,7 +24,7 @@ from .operators import sampling as C
 from .operators import tasks as E
 from .operators import transforms as T
 from .plans.history import Win, window_aggregate
-from .plans.history import Agg, cumulative_aggregate
+from .plans.history import Agg, cumulative_aggregate, expand_created
 from .sources import rdb as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,6 +371,20 @@ def q_dfs_depth3(spark, sf_dir):
     return _customer_features(spark, sf_dir, cfg, DEPTH3)
 
 
+@query("dfs_parent_cutoff")
+def q_dfs_parent_cutoff(spark, sf_dir):
+    """Order values over each supplier's lines, known only once line and order both exist (a third
+    to a half of the lines are older than their order)."""
+    rdb = AD.tpch(spark, sf_dir)
+    anchors = anchors_for(spark, sf_dir, "shop")
+    tgt = expand_created(rdb["supplier"].select(F.col("s_suppkey").alias("__id")), None, anchors, keep_index=False)
+    cfg = G.DfsConfig(max_depth=2, include_entities=("lineitem", "orders"),
+                      agg_primitives=("count", "sum", "max", "std"))
+    specs = [s for s in G.enumerate_features(rdb.schema, "supplier", cfg)
+             if s.kind == "agg" and s.column in (None, "l_quantity", "orders.o_totalprice")]
+    return _round_doubles(G.compute_features(rdb, tgt, "supplier", anchors, cfg, specs))
+
+
 @query("dfs_direct")
 def q_dfs_direct(spark, sf_dir):
     """Orders at each anchor (creation-based) with their customer's columns."""
@@ -507,7 +521,8 @@ def _churn_spec(spark, sf_dir, task="classification"):
     cfg = G.DfsConfig(max_depth=2, include_entities=("orders", "lineitem"),
                       agg_primitives=("count", "sum", "mean", "max", "time_since_last"),
                       stack_primitives=("mean", "max"))
-    spec = PQ.QuerySpec("customer", label_fn, AD.SHOP_TODAY, task, dfs=cfg, feature_rdb=AD.tpch(spark, sf_dir))
+    spec = PQ.QuerySpec("customer", label_fn, AD.SHOP_TODAY, task, horizon_days=H.days, dfs=cfg,
+                        feature_rdb=AD.tpch(spark, sf_dir))
     return shop, spec
 
 
@@ -544,7 +559,7 @@ def q_explain_top_features(spark, sf_dir):
 def q_holdout_validation(spark, sf_dir):
     """H9: 80/20 hash split of the training features, accuracy on the hold-out."""
     shop, spec = _churn_spec(spark, sf_dir)
-    anchors = A.make_anchors(shop, spec.ts_current)
+    anchors = A.make_anchors(shop, spec.ts_current, horizon=H, data_end=spec.ts_current)
     labels = C.sample_labels(L.user_churn(shop, anchors, H), 0.3)
     train = G.compute_features(spec.feature_rdb, labels, "customer", anchors, spec.dfs)
     res = M.validate(train, "classification")
@@ -557,8 +572,10 @@ def q_holdout_validation(spark, sf_dir):
 @query("top_products")
 def q_top_products(spark, sf_dir):
     shop = AD.shop(spark, sf_dir)
-    sales = L._priced_reviews(shop)
-    return I.top_n(sales, "product_id", F.col("price"), 10, "revenue").select("product_id", r4("revenue"))
+    sold = shop["review"].groupBy("product_id").agg(F.count(F.lit(1)).alias("n_sold"))
+    sales = sold.join(shop["product"].select("product_id", "price"), "product_id")
+    return I.top_n(sales, "product_id", F.col("price") * F.col("n_sold"), 10, "revenue").select(
+        "product_id", r4("revenue"))
 
 
 @query("histogram_acctbal")
@@ -629,6 +646,23 @@ def q_stream_activity_counts(spark, sf_dir):
     return out.select("user_id", "__timestamp", "n_clicks", r4("sum_value"))
 
 
+@query("stream_late_events")
+def q_stream_late_events(spark, sf_dir):
+    """The same aggregates from eight files, latest times first, one file a batch: events arrive
+    months late, in batches that know nothing of each other."""
+    import os as _os
+    import uuid as _uuid
+    from .session import ensure_checkpoint_dir
+    from .streaming.incremental import streamed_cumulative
+    events = read_table(spark, sf_dir, "events")
+    files = _os.path.join(ensure_checkpoint_dir(spark), "relcast-late-" + _uuid.uuid4().hex)
+    events.repartitionByRange(8, F.col("ts").desc()).write.parquet(files)
+    out = streamed_cumulative(spark, files, events.schema, ["user_id"], "ts", anchors_for(spark, sf_dir, "forum_b"),
+                              [Agg("n_clicks", "count"), Agg("sum_value", "sum", "value")],
+                              where="event_type = 'click'", files_per_batch=1)
+    return out.select("user_id", "__timestamp", "n_clicks", r4("sum_value"))
+
+
 # ---------------------------------------------------------------- more B / D / E / H
 
 @query("cached_anchors")
@@ -673,7 +707,8 @@ def q_predict_batch(spark, sf_dir):
     from .operators.predictive import predict_batch
     shop = AD.shop(spark, sf_dir)
     snap = _review_snapshots(spark, sf_dir)
-    labels = L.user_churn(shop, anchors_for(spark, sf_dir, "shop"), H)
+    known = A.censor_filter(anchors_for(spark, sf_dir, "shop"), H, AD.SHOP_TODAY)
+    labels = L.user_churn(shop, known, H)
     train = E.label_feature_join(snap, C.sample_labels(labels, 0.3))
     fm = M.fit(train, "classification")
     ids = shop["customer"].select(F.col("customer_id").alias("__id"))
