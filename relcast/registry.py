@@ -27,6 +27,9 @@ from .plans.history import Win, window_aggregate
 from .plans.history import Agg, cumulative_aggregate, expand_created
 from .sources import rdb as R
 
+ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+              "pages", "benchmark", "labels", "conversations"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -622,8 +625,33 @@ def q_rank_predictions(spark, sf_dir):
 
 @query("table_profile")
 def q_table_profile(spark, sf_dir):
-    rdb = R.load_rdb(spark, sf_dir, tables=["customer", "orders", "lineitem", "part", "supplier"])
-    return R.table_profile(rdb).select("table_name", "n_rows", "column_name", "non_null")
+    """A15 over every table and column: least and greatest value as a number (floating columns) or as text (others)."""
+    floating = F.col("dtype").isin("double", "float")
+    prof = R.table_profile(R.load_rdb(spark, sf_dir, tables=ALL_TABLES))
+
+    def number(c):
+        return F.when(floating, F.round(F.expr(f"try_cast({c} AS double)"), 4))
+
+    def text(c):
+        return F.when(~floating, F.col(c))
+    return prof.select("table_name", "n_rows", "column_name", "non_null",
+                       number("min_value").alias("min_number"), number("max_value").alias("max_number"),
+                       text("min_value").alias("min_text"), text("max_value").alias("max_text"))
+
+
+@query("feature_columns")
+def q_feature_columns(spark, sf_dir):
+    """Orders under a composite row key, without keys and time column."""
+    rdb = AD.tpch(spark, sf_dir)
+    keyed = R.with_row_index(rdb["orders"], "row_key", ["o_custkey", "o_orderkey"])
+    return R.drop_excluded(keyed, rdb.schema.table("orders")).withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@query("trans_primitives")
+def q_trans_primitives(spark, sf_dir):
+    """Time parts of each event's own time."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return G.transform_features(ev, "ts")
 
 
 @query("relationship_integrity")
