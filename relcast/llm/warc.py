@@ -9,10 +9,11 @@ lost tasks.  That sink ends each row with a separator; here the separator is the
 of a member (the top byte of its length field).  A member of 16 MB and more would end otherwise: an empty member follows it.
 
 Reading.  The text source splits files into byte ranges at any place and cuts at a separator, here the gzip magic
-(1f 8b 08): a task gets the stretches that begin inside its range.  A stretch is a record's start if it
-inflates to a WARC header; the magic also occurs by chance inside compressed data, and such a stretch is fed to the
-record before it until that one ends.  What a range cannot finish itself (a record broken by chance magic at the range's
-end, and the pieces after it) is put together per file from those pieces only.
+(1f 8b 08): a task gets the stretches that begin inside its range.  A stretch is a record's start if it,
+with those after it where needed, inflates to a WARC header; the magic also occurs by chance inside compressed data, and such
+a stretch is fed to the record before it until that one ends.  What a range cannot finish itself (a record broken by chance
+magic at the range's end, and the pieces after it) is put together per file from those pieces only; a piece that fits no
+record is an error.
 
 Defined cases: a null html is an empty payload; a null id is written as an empty id, and such a page is always a
 response; a null url is read back as null; repeated rows give repeated records; an empty table gives no records;
@@ -106,35 +107,54 @@ def parse(data: bytes) -> tuple:
             int(head["x-payload-length"]), payload)
 
 
+START = b"WARC/"
+
+
 class Assembler:
-    """Feeds stretches (without their magic) in file order; finished records come out of ``feed``."""
+    """Puts stretches (without their magic), fed in file order, together to records.
+
+    A stretch opens a record as long as what it and the stretches after it inflate to can still begin with ``START``:
+    the first block's Huffman tables come before any output, and chance magic may lie in them.  When that fails, the first
+    stretch held is given back as of no use and the others are tried again, as any of them may be a record's start."""
 
     def __init__(self) -> None:
-        self.open: list[bytes] | None = None  # stretches of the record being read
+        self.open: list[tuple] | None = None  # (tag, stretch) of the record being read
         self.unzip, self.data = None, b""
 
-    def starts(self, stretch: bytes) -> bool:
+    def _fits(self, stretch: bytes) -> bool:
+        data = MAGIC + stretch
         try:
-            return zlib.decompressobj(31).decompress(MAGIC + stretch[:65536], 64).startswith(b"WARC/")
+            if len(self.data) < len(START):  # most stretches that are no start fail here
+                self.data += self.unzip.decompress(data, 64)
+                data = self.unzip.unconsumed_tail
+            if self.data[:len(START)] != START[:len(self.data)]:
+                return False
+            self.data += self.unzip.decompress(data)
         except zlib.error:
             return False
+        return self.data[:len(START)] == START[:len(self.data)] and (len(self.data) >= len(START) or not self.unzip.eof)
+
+    def take(self, stretch: bytes, tag: object = None) -> tuple[list[bytes], list[tuple]]:
+        """(finished records, (tag, stretch) of the stretches that belong to none of this reader's records)."""
+        done, unused, queue = [], [], [(tag, stretch)]
+        while queue:
+            tag, stretch = queue.pop()
+            if self.open is None:
+                self.open, self.unzip, self.data = [], zlib.decompressobj(31), b""
+            self.open.append((tag, stretch))
+            if not self._fits(stretch):
+                unused.append(self.open[0])
+                queue += reversed(self.open[1:])
+                self.open = None
+            elif self.unzip.eof:
+                done.append(self.data)
+                self.open = None
+        return done, unused
 
     def feed(self, stretch: bytes) -> tuple[bytes | None, bool]:
-        """(a finished record or None, whether the stretch was of use)."""
-        if self.open is None:
-            if not self.starts(stretch):
-                return None, False
-            self.open, self.unzip, self.data = [], zlib.decompressobj(31), b""
-        self.open.append(stretch)
-        try:
-            self.data += self.unzip.decompress(MAGIC + stretch)
-        except zlib.error:  # chance magic that looked like a header
-            self.open = None
-            return None, False
-        if self.unzip.eof:
-            self.open = None
-            return self.data, True
-        return None, True
+        """(a finished record or None, whether all stretches were of use)."""
+        done, unused = self.take(stretch)
+        return (done[0] if done else None), not unused
 
 
 def _filler(stretch: bytes) -> bool:
@@ -162,7 +182,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         none, own, at, seq, asm = (None,) * 7, (None,) * 4, None, 0, Assembler()
 
         def left() -> list[tuple]:
-            return [none + (*at, seq + i - len(asm.open), p) for i, p in enumerate(asm.open)] if asm.open else []
+            return [none + (*at, i, p) for i, p in asm.open or []]
 
         for b in batches:
             rows = []
@@ -170,12 +190,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 if (file, start) != at:
                     rows += left()
                     at, seq, asm = (file, start), 0, Assembler()
-                stretch = bytes(value)
-                done, used = asm.feed(stretch)
-                if done is not None:
-                    rows.append(parse(done) + own)
-                elif not used and not _filler(stretch):
-                    rows.append(none + (file, start, seq, stretch))
+                done, unused = asm.take(bytes(value), seq)
+                rows += [parse(d) + own for d in done]
+                rows += [none + (*at, i, p) for i, p in unused if not _filler(p)]
                 seq += 1
             if rows:
                 yield frame(rows)
@@ -183,11 +200,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             yield frame(rest)
 
     def join_pieces(pieces: pd.DataFrame) -> pd.DataFrame:
-        asm, rows = Assembler(), []
+        asm, rows, lost = Assembler(), [], []
         for p in pieces.sort_values(["start", "seq"])["piece"]:
-            done, _ = asm.feed(bytes(p))
-            if done is not None:
-                rows.append(parse(done) + (None,) * 4)
+            done, unused = asm.take(bytes(p))
+            rows += [parse(d) + (None,) * 4 for d in done]
+            lost += [p for _, p in unused if not _filler(p)]
+        lost += [p for _, p in asm.open or []]
+        if lost:
+            raise ValueError(f"{pieces['file'].iloc[0]}: {len(lost)} stretches ({sum(map(len, lost))} bytes) belong to no whole record")
         return frame(rows)[[c.split()[0] for c in COLUMNS.split(", ")]]
 
     scanned = lines.mapInPandas(scan, f"{COLUMNS}, {PIECES}")
