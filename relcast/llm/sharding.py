@@ -15,13 +15,20 @@ source is a source of its own.  Null ids and repeated rows are rows like others.
 Ties of the seeded hash are broken by id, crc32, size; rows equal in all of these
 are interchangeable.  An empty table gives no rows.  Fewer rows than shards leave
 some shards empty.  Extra columns are ignored.
+
+``stream_manifest`` shards rows that already come in an order, such as the mixed stream of
+operator 10: it deals them out in turn, so that every shard's slots follow the stream and
+its weights, and a source's blocks of as many rows as there are shards give each shard one
+row.  The order is that of the Parquet files (by part number, then path) and of the rows in
+them; a histogram over the files is all that is needed to count places.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -35,18 +42,20 @@ def _offsets(counts: DataFrame, part: list[str], order: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
+def _fields(id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> list[Column]:
+    raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+            F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
+            F.col(f"`{source_col}`").isNull().alias("no_source"),
+            (F.octet_length(raw) + 1).cast("long").alias("size"),
+            F.crc32(raw.cast("binary")).alias("text_crc32")]
+
+
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id",
                source_col: str = "source", text_col: str = "text",
                rows_per_bucket: int | None = None) -> DataFrame:
     """id, size, text_crc32, source, position (from 0), shard, slot for every row."""
-    raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
-        F.col(f"`{source_col}`").isNull().alias("no_source"),
-        (F.octet_length(raw) + 1).cast("long").alias("size"),
-        F.crc32(raw.cast("binary")).alias("text_crc32"),
-    )
+    rows = docs.select(*_fields(id_col, source_col, text_col))
     total = docs.count()
     # buckets of about sqrt(rows): neither a bucket nor the list of buckets becomes one task's burden
     buckets = max(1, -(-total // (rows_per_bucket or max(LEAST_BUCKET, math.isqrt(total)))))
@@ -80,6 +89,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_manifest(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
-    out = interleave(docs, shards, seed)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                      F.lit(None).cast("int").alias("grown_shard"), "source", "position")
+    return _manifest(interleave(docs, shards, seed))
+
+
+def stream_manifest(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The manifest of rows dealt out in the order of ``docs``' Parquet files; of rows without files, ``shard_manifest``."""
+    try:
+        rows = docs.select(*_fields(), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return shard_manifest(docs, shards)
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("order", F.struct(part.alias("part"), "file"))
+    start = _offsets(files, [], "order").select("file", "before")
+    placed = rows.join(start, "file").withColumn("position", F.col("before") + F.col("at"))
+    placed = placed.withColumn("shard", (F.col("position") % shards).cast("int")).withColumn("slot", F.expr(f"position div {shards}"))
+    return _manifest(placed.withColumn("source", F.when(~F.col("no_source"), F.col("source"))))
+
+
+def _manifest(placed: DataFrame) -> DataFrame:
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "source", "position")
