@@ -13,9 +13,12 @@ leftmost non-overlapping matches of each kind that are long enough.
 
 Defined cases: a null or empty text has no findings (counts 0, the SHA-256 of the empty
 string, spans ''); repeated rows give repeated results; an empty table gives no rows;
-extra columns are ignored.  A layer whose decompressed form exceeds ``max_layer`` code
-units is scanned up to there, and the row says so in ``cut_layers``: a guard against
-decompression bombs, never applied to the text itself.
+extra columns are ignored.  Bytes that are not UTF-8 are read as Latin-1.  All members of
+compressed data are inflated, and bytes after them are kept; damaged data gives what comes
+before the damage, then its bytes as they are.  Base64 is decoded line by line and also joined over line breaks.  A layer
+whose decompressed form exceeds ``max_layer`` bytes is scanned whole, but in stretches of that
+size that overlap by ``OVERLAP``, and the row says so in ``cut_layers``: a guard against the
+memory of decompression bombs, never applied to the text itself.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,6 +38,8 @@ from .common import prepare, table
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
+OVERLAP = 1 << 20  # at most a quarter of the stretch
+CHUNK = 1 << 16
 
 # The base patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -45,6 +51,8 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 
 Finding = tuple[int, int, str]  # start, end, kind
 
@@ -97,11 +105,15 @@ def _replace(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), at, layer.depth + 1)
 
 
-def _percent(s: str) -> str | None:
+def _read(data: bytes) -> str:
     try:
-        return bytes.fromhex(s.replace("%", "")).decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
+        return data.decode("latin-1")
+
+
+def _percent(s: str) -> str:
+    return _read(bytes.fromhex(s.replace("%", "")))
 
 
 def _escape(s: str) -> str | None:
@@ -112,42 +124,107 @@ def _escape(s: str) -> str | None:
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """Decompressed gzip or zlib data and whether it was cut at ``most``; None if it is neither."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    unzip = zlib.decompressobj(47)
-    try:
-        out = unzip.decompress(data, most)
-    except zlib.error:
-        return None
-    return out, not unzip.eof and bool(unzip.unconsumed_tail)
-
-
-def _printable(data: bytes) -> str | None:
-    try:
-        s = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return s if s and sum(c.isprintable() or c in "\t\r\n" for c in s) >= 0.9 * len(s) else None
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
+
+
+def _members(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Inflated chunks of all gzip or zlib members in a row, then the bytes after them as they are."""
+    unzip, data = zlib.decompressobj(47), b""
+    for more in chunks:
+        data += more
+        while data:
+            if unzip is None:  # between members
+                if len(data) < 3 and (more := next(chunks, b"")):
+                    data += more
+                    continue
+                if not _packed(data):
+                    yield data
+                    yield from chunks
+                    return
+                unzip = zlib.decompressobj(47)
+            try:
+                out = unzip.decompress(data, CHUNK)
+            except zlib.error:
+                yield data
+                yield from chunks
+                return
+            if out:
+                yield out
+            if unzip.eof:
+                data, unzip = unzip.unused_data, None
+            else:
+                data = unzip.unconsumed_tail
+                while not data and len(out) == CHUNK:  # output held back
+                    if out := unzip.decompress(b"", CHUNK):
+                        yield out
+                    if unzip.eof:
+                        data, unzip = unzip.unused_data, None
+                        break
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """``data`` in chunks, inflated as long as it is compressed (compressed data may hold compressed data)."""
+    chunks = iter([data])
+    for _ in range(64):
+        head = b""
+        while len(head) < 3 and (more := next(chunks, b"")):
+            head += more
+        if not _packed(head):
+            return itertools.chain([head], chunks)
+        inner = _members(itertools.chain([head], chunks))
+        first = next(inner, b"")
+        chunks = itertools.chain([first], inner)
+        if first[:64] == head[:64]:  # neither gzip nor zlib after all, or data that inflates to itself
+            break
+    return chunks
 
 
-def _base64(s: str, most: int) -> tuple[str, bool] | None:
+def _base64(s: str, most: int) -> Iterator[tuple[str, bool]]:
+    """The decoded text in stretches of at most ``most`` bytes; True with those beyond the first."""
     body = s.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]  # no byte in it
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
-    cut = False
-    for _ in range(64):  # compressed data may hold compressed data
-        if (got := _inflate(data, most)) is None:
-            break
-        data, now = got
-        cut |= now
-    text = _printable(data)
-    return None if text is None else (text, cut)
+        return
+    held, again = bytearray(), False
+    overlap = min(OVERLAP, most // 4)
+    for chunk in _unpacked(data):
+        held += chunk
+        while len(held) > most:
+            yield _read(bytes(held[:most])), again
+            again = True
+            del held[:most - overlap]
+    if held:
+        yield _read(bytes(held)), again
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, base64 characters) of every run, and of lines that go on in the next: lines of one
+    length with the shorter one after them, and all lines that follow each other."""
+    for m in BASE64.finditer(text):
+        yield m.start(), m.end(), m[0]
+    if "\n" not in text:
+        return
+    for m in WRAPPED.finditer(text):
+        lines = [(x.start(), x.end(), x[0]) for x in LINE.finditer(text, m.start(), m.end())]
+        groups, group = [], []
+        for x in lines:
+            if group and len(x[2]) > len(group[0][2]):
+                groups.append(group)
+                group = []
+            group.append(x)
+            if len(x[2]) < len(group[0][2]):
+                groups.append(group)
+                group = []
+        groups.append(group)
+        if len(groups) > 1:
+            groups.append(lines)
+        for g in groups:
+            if len(g) > 1:
+                yield g[0][0], g[-1][1], "".join(x[2] for x in g)
 
 
 def scan_text(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Finding], list[Finding], int, int]:
@@ -174,10 +251,12 @@ def scan_text(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Findin
             queue(_replace(layer, PERCENT, _percent))
         if "\\" in layer.text or "&#" in layer.text:
             queue(_replace(layer, ESCAPE, _escape))
-        for m in BASE64.finditer(layer.text):
-            if (got := _base64(m[0], max_layer)) is not None:
-                cut += got[1]
-                queue(Layer(got[0], layer.span(*m.span()), layer.depth + 1))
+        for start, end, run in _runs(layer.text):
+            again = 0
+            for part, more in _base64(run, max_layer):
+                again |= more
+                queue(Layer(part, layer.span(start, end), layer.depth + 1))
+            cut += again
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(found, key=lambda f: (f[0], order[f[2]], f[1])), layers, cut
 
