@@ -3,7 +3,7 @@
 A page becomes its leaf blocks in page order: the text directly inside one block-level element, with the tags,
 classes, ids and roles of its ancestors.  The chain labels each block as article text or not, from ancestor and text
 features and from the label before it; Viterbi finds the best labelling.  Text of scripts, styles, titles and other
-elements that are never shown is no block.
+elements that are never shown is no block; those of them that can nest end at their own close, and without one hide nothing.
 
 The field is trained on labelled pages: pages laid out by ``labelled_pages`` in common ways (with and without
 article elements, with menus, notices, adverts, forms, side columns, comments inside and outside the article),
@@ -34,6 +34,8 @@ TRAIN_PAGES = 400
 
 # HTML element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style title textarea xmp iframe".split())  # text up to the close, whatever it holds
+FOREIGN = frozenset("svg math".split())
 HIDDEN = frozenset("script style title textarea template noscript iframe svg math object audio video canvas xmp noembed noframes".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
  h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th
@@ -66,6 +68,31 @@ class Paths:
         return at
 
 
+def _raw_end(page: str, at: int, tag: str) -> int:
+    """The end of the raw element ``tag`` whose start tag ends at ``at``."""
+    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
+def hidden_ends(page: str, at: int) -> dict[int, int]:
+    """Ends of the start tag -> end of the element, for the hidden elements from ``at`` on that are closed, in one pass."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in HIDDEN - RAW}
+    while m := TAG.search(page, at):
+        at = m.end()
+        tag = m[2].lower() if m[2] else ""
+        if m[1]:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = at
+        elif m[3] and m[3].endswith("/") and (tag in FOREIGN or tag in RAW and any(opened[t] for t in FOREIGN)):
+            continue
+        elif tag in RAW:
+            at = _raw_end(page, at, tag)
+        elif tag in opened:
+            opened[tag].append(at)
+    return ends
+
+
 def leaf_blocks(page: str | None, paths: Paths) -> list[tuple[int, str, int, str]]:
     """(path, text, characters inside links, x-label) of each leaf block, in page order."""
     page = page or ""
@@ -74,6 +101,7 @@ def leaf_blocks(page: str | None, paths: Paths) -> list[tuple[int, str, int, str
     buf: list[str] = []
     links = linked = 0
     where, mark = 0, ""
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal buf, linked
@@ -126,10 +154,12 @@ def leaf_blocks(page: str | None, paths: Paths) -> list[tuple[int, str, int, str
             buf.append(" ") if buf else None
             continue
         if tag in HIDDEN:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if tag in ("object", "video", "audio", "canvas") and not close:
-                continue
-            at = close.end() if close else end
+            if tag in RAW:
+                at = _raw_end(page, at, tag)
+            elif tag not in FOREIGN or not m[3].endswith("/"):
+                if ends is None:
+                    ends = hidden_ends(page, m.start())
+                at = ends.get(at, at)
             continue
         if tag in BLOCK:
             flush()
@@ -346,10 +376,11 @@ DEFAULT_WORDS = "the of and to in is that for it with as was on are by this be f
 
 
 def sample_words(pages: DataFrame, html_col: str, sample: int) -> list[str]:
-    """Words of the visible blocks of a hash sample of about ``sample`` pages."""
-    n = pages.count()
+    """Words of the visible blocks of a hash sample of about ``sample`` different pages."""
+    h = F.col(f"`{html_col}`").cast("string")
+    n = pages.select(F.xxhash64(h).alias("x")).distinct().count()
     part = min(1 << 20, -(-sample * (1 << 20) // max(1, n)))
-    rows = pages.select(F.col(f"`{html_col}`").alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < part).toPandas()
+    rows = pages.select(h.alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < part).distinct().toPandas()
     paths = Paths()
     words = sorted({w for h in rows["h"].dropna() for b in leaf_blocks(h, paths) for w in b[1].split()})
     return words or DEFAULT_WORDS
