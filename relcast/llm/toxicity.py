@@ -6,7 +6,8 @@ a feature present in a text has value r.  A logistic model with an L2 penalty is
 
 Learning uses at most about ``sample`` labelled rows outside the held-out fold, chosen by a hash of the id.
 Document frequencies are counted in tasks and summed by Spark; the driver gets one row per hashed feature (fixed
-table size) and the training rows' few thousand selected features.  Scoring reads each text once.
+table size) and, in two bytes an entry, which training rows have it.  Every feature seen in training has its own
+weight.  Scoring reads each text once.
 
 Defined cases: a null or empty text has no features and gets the model's base score; null labels and labels other
 than 0 and 1 are ignored; an id labelled twice counts once (toxic if either label says so); repeated rows give
@@ -30,10 +31,10 @@ THRESHOLD = 0.5
 SAMPLE = 10_000
 BITS = 19
 SIZES = (3, 4, 5)
-SELECTED = 4_000  # features with the largest chi-square statistic
 SMOOTH = 1.0
 PENALTY = 2e-4
 TASKS = 16
+ENTRIES = 1 << 20  # entries of the training matrix looked at together
 
 _FLAGS: dict[str, np.ndarray] = {}
 
@@ -55,23 +56,91 @@ def grams(text: str | None) -> np.ndarray:
     return out
 
 
-def _fit_weights(y: np.ndarray, rows: list[np.ndarray], r: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and offset of the penalised logistic model on values r, by gradient descent with Nesterov steps."""
-    col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    scale = 1 / np.sqrt(np.maximum(1.0, np.array([float((r[x] ** 2).sum()) for x in rows])))  # rows of unit length
-    val = r[col] * scale[row]
+def pack(x: np.ndarray) -> bytes:
+    """Sorted features in two bytes each: how many have each value of the high bits, then the low 16 bits."""
+    ends = np.searchsorted(x, np.arange(1, (1 << BITS >> 16) + 1) << 16)
+    return np.diff(ends, prepend=0).astype("<u4").tobytes() + (x & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    high = 1 << BITS >> 16
+    counts = np.frombuffer(data, "<u4", high)
+    return (np.repeat(np.arange(high, dtype=np.int32) << 16, counts) | np.frombuffer(data, "<u2", offset=4 * high)).astype(np.int32)
+
+
+class Matrix:
+    """Which of ``rows`` texts have each feature: the texts of feature j are ``of[start[j]:start[j + 1]]``."""
+
+    def __init__(self, packed: list[bytes], place: np.ndarray, counts: np.ndarray):
+        self.rows, self.counts = len(packed), counts
+        self.start = np.concatenate([[0], np.cumsum(counts)])
+        self.of = np.empty(self.start[-1], np.uint16 if self.rows <= 1 << 16 else np.uint32)
+        free, block, held = self.start[:-1].copy(), [], 0
+        for i, data in enumerate(packed):
+            block.append(place[unpack(data)])
+            held += len(block[-1])
+            if held >= ENTRIES or i + 1 == self.rows:
+                col = np.concatenate(block)
+                row = np.repeat(np.arange(i + 1 - len(block), i + 1), [len(x) for x in block])
+                order = np.argsort(col, kind="stable")
+                col, n = col[order], np.bincount(col, minlength=len(counts))
+                self.of[free[col] + np.arange(len(col)) - (np.cumsum(n) - n)[col]] = row[order]
+                free += n
+                block, held = [], 0
+        cuts, self.parts = 0, []  # runs of features with about ENTRIES entries
+        while cuts < len(counts):
+            stop = max(cuts + 1, int(np.searchsorted(self.start, self.start[cuts] + ENTRIES, "right")) - 1)
+            self.parts.append((cuts, stop))
+            cuts = stop
+
+    def by_row(self, u: np.ndarray) -> np.ndarray:
+        """Per text the sum of its features' values."""
+        out = np.zeros(self.rows)
+        for a, b in self.parts:
+            out += np.bincount(self.of[self.start[a]:self.start[b]], np.repeat(u[a:b], self.counts[a:b]), self.rows)
+        return out
+
+    def by_feature(self, e: np.ndarray) -> np.ndarray:
+        """Per feature the sum of its texts' values."""
+        return np.concatenate([np.add.reduceat(e[self.of[self.start[a]:self.start[b]]], self.start[a:b] - self.start[a]) for a, b in self.parts])
+
+
+def _fit_weights(y: np.ndarray, x: Matrix, r: np.ndarray, rounds: int = 200, memory: int = 6) -> tuple[np.ndarray, float]:
+    """Weights and offset of the penalised logistic model on values r, by limited-memory BFGS."""
+    scale = 1 / np.sqrt(np.maximum(1.0, x.by_row(r ** 2)))  # rows of unit length
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    weight = np.where(y == 1, 0.5 / p, 0.5 / (1 - p))  # both classes count the same
-    w, b, v, step = np.zeros(len(r)), 0.0, np.zeros(len(r) + 1), 4.0
-    for t in range(rounds):
-        m = t / (t + 3)
-        at, off = w + m * v[:-1], b + m * v[-1]
-        e = weight * (sigmoid(np.bincount(row, val * at[col], len(rows)) + off) - y) / len(y)
-        g = np.bincount(col, val * e[row], len(r)) + PENALTY * at
-        nw, nb = at - step * g, off - step * e.sum()
-        v, w, b = np.append(nw - w, nb - b), nw, nb
-    return w * r, float(b)
+    weight = np.where(y == 1, 0.5 / p, 0.5 / (1 - p)) / len(y)  # both classes count the same
+
+    def value(at: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x.by_row(at[:-1] * r) * scale + at[-1]
+        e = weight * (sigmoid(z) - y)
+        g = np.append(x.by_feature(e * scale) * r + PENALTY * at[:-1], e.sum())
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + PENALTY / 2 * (at[:-1] ** 2).sum()), g
+
+    at = np.zeros(len(r) + 1)
+    f, g = value(at)
+    enough, past = 1e-4 * np.sqrt(g @ g), []
+    for _ in range(rounds):
+        if np.sqrt(g @ g) <= enough:
+            break
+        d, used = -g, []
+        for s, q in reversed(past):
+            k = (s @ d) / (s @ q)
+            used.append(k)
+            d = d - k * q
+        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 4.0)
+        for (s, q), k in zip(past, reversed(used)):
+            d = d + (k - (q @ d) / (s @ q)) * s
+        step, slope = 1.0, g @ d
+        while True:
+            nf, ng = value(at + step * d)
+            if nf <= f + 1e-4 * step * slope or step < 1e-8:
+                break
+            step /= 2
+        if step * d @ (ng - g) > 0:
+            past = [*past, (step * d, ng - g)][-memory:]
+        at, f, g = at + step * d, nf, ng
+    return at[:-1] * r, float(at[-1])
 
 
 def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | float:
@@ -89,23 +158,19 @@ def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | float:
         return float(n.get(1, 0) > 0)
     # every feature of the table at most: 2 ** BITS rows
     df = (texts.repartition(TASKS).mapInPandas(count, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-          .where("n0 + n1 >= 5").toPandas())
+          .toPandas().sort_values("at"))
     p, q = (df["n1"] + SMOOTH) / (n[1] + 2 * SMOOTH), (df["n0"] + SMOOTH) / (n[0] + 2 * SMOOTH)
-    base = (df["n0"] + df["n1"]) / (n[0] + n[1])
-    chi = ((df["n1"] - base * n[1]) ** 2 / (base * n[1]) + (df["n0"] - base * n[0]) ** 2 / (base * n[0])) / np.maximum(1e-9, 1 - base)
-    df = df.assign(r=np.log(p / q), chi=chi).sort_values(["chi", "at"], ascending=[False, True]).head(SELECTED)
-    at = df["at"].to_numpy(np.int64)
-    place = np.full(1 << BITS, -1, np.int32)
+    at, r = df["at"].to_numpy(np.int64), np.log(p / q).to_numpy(float)
+    place = np.zeros(1 << BITS, np.int32)
     place[at] = np.arange(len(at))
 
-    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [place[grams(t)] for t in b["t"]]
-            yield pd.DataFrame({"y": b["y"], "x": [g[g >= 0] for g in got]})
+            yield pd.DataFrame({"y": b["y"], "x": [pack(grams(t)) for t in b["t"]]})
 
-    rows = texts.mapInPandas(select, "y int, x array<int>").toPandas()
-    r = df["r"].to_numpy(float)
-    w, b = _fit_weights(rows["y"].to_numpy(float), [np.asarray(x, np.int64) for x in rows["x"]], r)
+    rows = texts.mapInPandas(present, "y int, x binary").toPandas()
+    y, packed = rows["y"].to_numpy(float), rows.pop("x").tolist()
+    w, b = _fit_weights(y, Matrix(packed, place, (df["n0"] + df["n1"]).to_numpy(np.int64)), r)
     weights, squares = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     weights[at], squares[at] = w, r ** 2
     return weights, squares, b
