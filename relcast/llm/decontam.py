@@ -128,10 +128,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that contain an item (null ids are kept unless they match by id)."""
-    bad = find_contaminated(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()
+    """``docs`` without the rows that contain an item; every row is judged by its own text, whatever its id."""
+    key = F.xxhash64("text")
+    texts = docs.where("text is not null").select(key.alias("doc_id"), "text")
+    bad = find_contaminated(texts, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()
     bad = shared_table(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti").select(*docs.columns)
+    return docs.join(bad, F.when(docs["text"].isNotNull(), key) == bad["__bad"], "left_anti").select(*docs.columns)
 
 
 # Items' and documents' distinct shingles in DuckDB; the whole tables, no subset.

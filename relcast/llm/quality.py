@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +158,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows the classifier rejects; rows with the same id share its worst score."""
-    bad = score_quality(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = shared_table(bad, "rejected")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti").select(*docs.columns)
+    """``docs`` without the rows the classifier rejects; every row is judged by its own text, whatever its id."""
+    stats = shared_table(document_statistics(docs), "statistics")
+    model = fit(stats.join(training_labels(labels, "quality"), "doc_id"))
+    at = docs.columns.index("text")
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if isinstance(model, float):
+                s = np.full(len(b), model)
+            else:
+                s = model.score(np.stack([statistics(t) for t in b.column(at).to_pylist()])) if len(b) else np.zeros(0)
+            yield b.filter(pa.array(s >= THRESHOLD))
+
+    return docs.mapInArrow(accepted, docs.schema)
