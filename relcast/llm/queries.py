@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html_text, mixing, ngram_join, quality, secrets, sharding, toxicity, warc
+from . import ann, decontam, html_text, mixing, ngram_join, quality, secrets, sharding, stream_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": ann.op8_ann,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mixing": mixing.op10_mixing,
+    "op13_stream_dedup": stream_dedup.op13_stream_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE_OP2,
     "op5_decontamination": decontam.ORACLE_OP5,
     "op9_ngram_join": ngram_join.ORACLE_OP9,
+    "op13_stream_dedup": stream_dedup.ORACLE_OP13,
 }
