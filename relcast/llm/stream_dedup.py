@@ -32,7 +32,9 @@ from .counted_join import join_counted
 PLACE = "struct<id: bigint, file: string, row: bigint>"
 DIGESTS = f"digest string, place {PLACE}"
 GROUPS = f"digest string, rows bigint, keep {PLACE}"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a commit writes what has changed
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # no preallocated files: there are many small stores
 BATCH_BYTES = 1 << 38  # input of one micro-batch
 
 
@@ -82,7 +84,7 @@ def absorb(spark: SparkSession, source: str, state: str, id_col: str = "doc_id",
     _run(_rows(docs, id_col, text_col, digest).drop("content"), "append", f"{state}/digests", f"{state}/seen")
     rows = spark.readStream.schema(f"{DIGESTS}, batch bigint").parquet(f"{state}/digests")
     kept = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.max("place").alias("keep"))
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKS}):
+    with _settings(spark, ROCKS):
         _run(kept, "update", f"{state}/groups", f"{state}/state")
 
 
