@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import primitives as P
 from ..functions.timeparts import datetime_part, epoch_nanos
+from ..plans.asof import CUT, prefix_aggregate, windowed_aggregate
 from ..plans.history import (ANCHOR_IDX, TS, Agg, Win, anchor_ts, cumulative_aggregate, expand_created,
-                             first_anchor_index, last_anchor_index, range_aggregate, time_micros, window_aggregate)
+                             first_anchor_index, last_anchor_index, range_aggregate, running_best, time_micros, window_aggregate)
+from ..session import materialize
 from ..sources import schema as S
 from ..sources.rdb import Rdb
 
@@ -167,10 +169,10 @@ def enumerate_features(schema: S.RdbSchema, target: str, cfg: DfsConfig,
                 continue
             for v in values:
                 for p in cfg.where_primitives:
-                    if p == "count":
-                        specs.append(FeatureSpec(f"COUNT({lab} WHERE {col} = {v})", "where", target,
-                                                 r.child_table, r.child_column, None, "count",
-                                                 where=(col, v), depth=1))
+                    for c in [None] if p == "count" else _numeric(child, set(cfg.ignore_columns.get(r.child_table, []))):
+                        of = lab if c is None else f"{lab}.{c}"
+                        specs.append(FeatureSpec(f"{p.upper()}({of} WHERE {col} = {v})", "where", target, r.child_table,
+                                                 r.child_column, c, p, where=(col, v), depth=1))
         if depth >= 2:
             inner = enumerate_features(schema, r.child_table, cfg, came_from=target, depth=depth - 1)
             for f in inner:
@@ -238,9 +240,9 @@ def _latest(times: list):
     return F.when(known, F.greatest(*times) if len(times) > 1 else times[0])
 
 
-def _source_column(s: FeatureSpec) -> str | None:
-    """The column a feature's value or condition comes from; None for the child row itself."""
-    return s.where[0] if s.kind == "where" else None if s.kind == "tsl" else s.column
+def _source_chain(s: FeatureSpec) -> str:
+    """The parent chain that a feature's value or condition comes from; empty for the child row itself."""
+    return _chain(s.where[0] if s.kind == "where" else None if s.kind == "tsl" else s.column)
 
 
 def _child_rows(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, cols: list[str],
@@ -293,55 +295,101 @@ def _static(a: Agg):
     return _partial(a)
 
 
-def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key_alias: str,
-                carry: DataFrame | None = None) -> DataFrame:
-    """All agg / where / tsl features of one (child, fk) edge and parent chain in one slot aggregate."""
+@dataclass(frozen=True)
+class _EdgePlan:
+    """What one (child, fk) edge and parent chain needs, whichever engine aggregates it."""
+    rows: DataFrame
+    time_col: str | None
+    own_time: str | None
+    aggs: list[Agg]
+    specs: list[FeatureSpec]
+    safe: dict
+    wheres: dict
+
+    def features(self, cut) -> list:
+        """Feature columns from the merged aggregates; ``cut`` is the cutoff in epoch microseconds."""
+        out = []
+        for s in self.specs:
+            if s.kind == "agg" and s.primitive == "count":
+                out.append(F.col("__cnt").alias(s.name))
+            elif s.kind == "agg":
+                out.append(P.finish(self.safe[s.column], s.primitive).alias(s.name))
+            elif s.kind == "where":
+                out.append(F.col(self.wheres[s.name]).alias(s.name) if s.primitive == "count"
+                           else P.finish(self.wheres[s.name], s.primitive).alias(s.name))
+            elif s.kind == "tsl":
+                out.append(((cut - F.col("__tmax")) / F.lit(1e6)).alias(s.name))
+        return out
+
+
+def _edge_plan(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], key_alias: str) -> _EdgePlan:
     s0 = specs[0]
     cols = sorted({s.column for s in specs if s.kind == "agg" and s.column})
-    wsrc = sorted({s.where[0] for s in specs if s.kind == "where"})
-    rows, time_col, own_time = _child_rows(rdb, cfg, s0.child, s0.fk, sorted(set(cols) | set(wsrc)),
-                                           _chain(_source_column(s0)))
+    wcols = sorted({c for s in specs if s.kind == "where" for c in (s.where[0], s.column) if c})
+    rows, time_col, own_time = _child_rows(rdb, cfg, s0.child, s0.fk, sorted(set(cols) | set(wcols)), _source_chain(s0))
     safe = {c: f"__c{i}" for i, c in enumerate(cols)}
-    rows = rows.select(*[F.col(f"`{c}`").alias(safe.get(c, c)) for c in rows.columns])
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{c}`").alias(n) for c, n in safe.items()])
     aggs = [Agg("__cnt", "count")]
     for c in cols:
         prims = [s.primitive for s in specs if s.kind == "agg" and s.column == c]
         aggs += [Agg(a.name, a.kind, a.col) for a in P.partials_for(safe[c], prims)]
-    wcols = {}
-    for i, s in enumerate(s for s in specs if s.kind == "where"):
-        wc, wv = s.where
+    wheres: dict = {}
+    for i, (key, ss) in enumerate(_by(specs, lambda s: (s.where, s.column) if s.kind == "where" else None).items()):
+        (wc, wv), column = key
         name = f"__where{i}"
-        rows = rows.withColumn(name, F.when(F.col(f"`{wc}`") == F.lit(wv), F.lit(1)))
-        aggs.append(Agg(name, "count_nonnull", name))
-        wcols[s.name] = name
+        value = F.lit(1) if column is None else F.col(f"`{column}`")
+        rows = rows.withColumn(name, F.when(F.col(f"`{wc}`") == F.lit(wv), value))
+        if column is None:
+            aggs.append(Agg(name, "count_nonnull", name))
+        else:
+            aggs += P.partials_for(name, [s.primitive for s in ss])
+        wheres.update({s.name: name for s in ss})
     if any(s.kind == "tsl" for s in specs):
         rows = rows.withColumn("__tmax", time_micros(F.col(time_col)))
         aggs.append(Agg("__tmax", "max", "__tmax"))
-    rows = rows.withColumnRenamed(s0.fk, key_alias)
-    hist = _history(cfg, rows, [key_alias], time_col, anchors, aggs, carry, own_time)
-    out = [F.col(k) for k in _with_carry([key_alias], carry)] + [F.col(ANCHOR_IDX)]
-    for s in specs:
-        if s.kind == "agg" and s.primitive == "count":
-            out.append(F.col("__cnt").alias(s.name))
-        elif s.kind == "agg":
-            out.append(P.finish(safe[s.column], s.primitive).alias(s.name))
-        elif s.kind == "where":
-            out.append(F.col(wcols[s.name]).alias(s.name))
-        elif s.kind == "tsl":
-            cut = time_micros(anchor_ts(F.col(ANCHOR_IDX), sorted(set(anchors))))
-            out.append(((cut - F.col("__tmax")) / F.lit(1e6)).alias(s.name))
-    return hist.select(*out)
+    return _EdgePlan(rows.withColumnRenamed(s0.fk, key_alias), time_col, own_time, aggs, specs, safe, wheres)
 
 
-def _mode_block(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, anchors, key_alias: str,
+def _by(items: list, key) -> dict:
+    """Items grouped by a key that is not None, in order of appearance."""
+    out: dict = {}
+    for x in items:
+        if key(x) is not None:
+            out.setdefault(key(x), []).append(x)
+    return out
+
+
+def _edge_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key_alias: str,
                 carry: DataFrame | None = None) -> DataFrame:
-    """MODE: counts per (key, value) over history, then the most frequent value per
-    (key, anchor), smallest value on ties."""
+    """All agg / where / tsl features of one (child, fk) edge and parent chain in one slot aggregate."""
+    plan = _edge_plan(rdb, cfg, specs, key_alias)
+    hist = _history(cfg, plan.rows, [key_alias], plan.time_col, anchors, plan.aggs, carry, plan.own_time)
+    cut = time_micros(anchor_ts(F.col(ANCHOR_IDX), sorted(set(anchors))))
+    return hist.select(*[F.col(k) for k in _with_carry([key_alias], carry)], ANCHOR_IDX, *plan.features(cut))
+
+
+def _mode_rows(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, key_alias: str) -> tuple[DataFrame, str | None, str | None]:
+    """Child rows (key, ``__v``) of a MODE feature, the time they become visible, and their own time if another."""
     rows, time_col, own_time = _child_rows(rdb, cfg, spec.child, spec.fk, [spec.column], _chain(spec.column))
     rows = rows.select(F.col(spec.fk).alias(key_alias), F.col(f"`{spec.column}`").alias("__v"),
                        *[F.col(c) for c in (time_col, own_time) if c]).where(F.col("__v").isNotNull())
+    return rows, time_col, own_time
+
+
+def _mode_block(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, anchors, key_alias: str,
+                carry: DataFrame | None = None) -> DataFrame:
+    """MODE: the most frequent value per (key, anchor), smallest value on ties.
+
+    Counts only grow, so the best pair (count, value) among the (key, value, slot) rows seen so far is the mode:
+    a running minimum over at most one row per (key, slot), and no value is carried to anchors it has no event at.
+    A look-back window loses events again, so there the counts of each value are taken per anchor."""
+    rows, time_col, own_time = _mode_rows(rdb, cfg, spec, key_alias)
+    keys = _with_carry([key_alias], carry)
+    if cfg.use_cutoff_time and time_col is not None and cfg.lookback is None:
+        best = running_best(rows, [key_alias], "__v", time_col, sorted(set(anchors)), strict=cfg.closed == "left", carry=carry)
+        return best.select(*keys, ANCHOR_IDX, F.col("__best.v").alias(spec.name))
     hist = _history(cfg, rows, [key_alias, "__v"], time_col, anchors, [Agg("__c", "count")], carry, own_time)
-    return hist.groupBy(*_with_carry([key_alias], carry), ANCHOR_IDX).agg(
+    return hist.groupBy(*keys, ANCHOR_IDX).agg(
         F.min_by(F.col("__v"), F.struct(-F.col("__c"), F.col("__v"))).alias(spec.name))
 
 
@@ -357,7 +405,7 @@ def _entity_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSp
     edges: dict[tuple, list[FeatureSpec]] = {}
     for s in specs:
         if s.kind in ("agg", "where", "tsl"):
-            edges.setdefault((s.child, s.fk, _chain(_source_column(s))), []).append(s)
+            edges.setdefault((s.child, s.fk, _source_chain(s)), []).append(s)
     for _, es in edges.items():
         blocks.append((_edge_block(rdb, cfg, es, anchors, key_alias, carry), es))
     for s in specs:
@@ -461,7 +509,7 @@ def _stacked_block_join(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: li
     elif tcol is not None:
         cand = expand_created(base, tcol, anchors, strict=(cfg.closed == "left"))
         lo = anchor_ts(F.col(ANCHOR_IDX), sorted(set(anchors))) - F.lit(cfg.lookback)
-        cand = cand.where(F.col(tcol) >= lo)
+        cand = cand.where(F.col(tcol) >= lo if cfg.closed == "left" else F.col(tcol) > lo)
     else:
         cand = expand_created(base, None, anchors)
     cand = cand.select("__ck", key_alias, ANCHOR_IDX)
@@ -502,42 +550,99 @@ def _direct_block(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec]
     return out.drop(*fks), masks
 
 
-def target_cutoffs(target: DataFrame, ts_col: str = TS) -> list:
-    """The distinct cutoff times of an external target frame, size-checked
-    (at most ``MAX_ANCHORS`` values are read to the driver)."""
-    from .anchors import MAX_ANCHORS
-    rows = (target.select(F.col(ts_col).cast("timestamp_ntz").alias("c")).where(F.col("c").isNotNull())
-            .distinct().limit(MAX_ANCHORS + 1).collect())
-    if len(rows) > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} distinct cutoffs: round them to shared anchors first")
-    return sorted(r["c"] for r in rows)
+def _row_history(cfg: DfsConfig, cuts: DataFrame, rows: DataFrame, key: str, time_col: str | None, own_time: str | None,
+                 aggs: list[Agg]) -> DataFrame:
+    """(key, ``CUT``, aggregates) of the child rows visible at each of the (key, cutoff) pairs in ``cuts``."""
+    names = [a.name for a in aggs]
+    if time_col is None or not cfg.use_cutoff_time:
+        return cuts.join(rows.groupBy(key).agg(*[_static(a) for a in aggs]), key)
+    inclusive = cfg.closed != "left"
+    if cfg.lookback is None:
+        return prefix_aggregate(cuts, rows, [key], CUT, time_col, aggs, inclusive=inclusive)
+    if own_time is None:
+        return windowed_aggregate(cuts, rows, [key], CUT, time_col, aggs, cfg.lookback, cfg.closed)
+    # visible by one time, in the window by another: rows meet the cutoffs of their own and the next bucket of the window's length
+    span = int(cfg.lookback.total_seconds() * 1_000_000)
+    bucket = lambda c: F.expr(f"{c} div {span}")
+    of = cuts.withColumn("__ct", time_micros(F.col(CUT))).withColumn("__bk", F.explode(F.array(bucket("__ct"), bucket("__ct") - 1)))
+    ev = rows.withColumns({"__vt": time_micros(F.col(time_col)), "__ot": time_micros(F.col(own_time))}).withColumn("__bk", bucket("__ot"))
+    seen = F.col("__vt") <= F.col("__ct") if inclusive else F.col("__vt") < F.col("__ct")
+    since = F.col("__ot") > F.col("__ct") - span if inclusive else F.col("__ot") >= F.col("__ct") - span
+    return of.join(ev, [key, "__bk"]).where(seen & since).groupBy(key, CUT).agg(*[_static(a) for a in aggs]).select(key, CUT, *names)
+
+
+def _row_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec], cuts: DataFrame, key: str) -> DataFrame:
+    """(key, ``CUT``) frame with every backward feature in ``specs``, for distinct (key, cutoff) pairs."""
+    out = cuts
+    for es in _by(specs, lambda s: (s.child, s.fk, _source_chain(s)) if s.kind in ("agg", "where", "tsl") else None).values():
+        plan = _edge_plan(rdb, cfg, es, key)
+        hist = _row_history(cfg, cuts, plan.rows, key, plan.time_col, plan.own_time, plan.aggs)
+        out = out.join(hist.select(key, CUT, *plan.features(time_micros(F.col(CUT)))), [key, CUT], "left")
+    for s in (s for s in specs if s.kind == "mode"):
+        rows, time_col, own_time = _mode_rows(rdb, cfg, s, key)
+        if time_col is not None and cfg.use_cutoff_time and cfg.lookback is None:
+            # each value's count from its own events' cutoffs on; the best (count, value) so far is the mode
+            own = rows.select(key, "__v", F.col(time_col).alias(CUT)).distinct()
+            counts = prefix_aggregate(own, rows, [key, "__v"], CUT, time_col, [Agg("__c", "count")], inclusive=True)
+            best = counts.select(key, CUT, F.struct((-F.col("__c")).alias("c"), F.col("__v").alias("v")).alias("__best"))
+            hist = prefix_aggregate(cuts, best.withColumnRenamed(CUT, "__at"), [key], CUT, "__at", [Agg("__best", "min", "__best")],
+                                    inclusive=cfg.closed != "left").select(key, CUT, F.col("__best.v").alias(s.name))
+        else:
+            values = cuts.join(rows.select(key, "__v").distinct(), key)
+            part = values.select(F.struct(key, "__v").alias("__kv"), CUT)
+            ev = rows.withColumn("__kv", F.struct(F.col(key), F.col("__v"))).drop(key)
+            hist = _row_history(cfg, part, ev, "__kv", time_col, own_time, [Agg("__c", "count")]).where(F.col("__c") > 0)
+            hist = hist.groupBy(F.col(f"__kv.{key}").alias(key), CUT).agg(
+                F.min_by(F.col("__kv.__v"), F.struct(-F.col("__c"), F.col("__kv.__v"))).alias(s.name))
+        out = out.join(hist, [key, CUT], "left")
+    for (child, fk), ss in _by(specs, lambda s: (s.child, s.fk) if s.kind == "stacked" else None).items():
+        ct = rdb.schema.table(child)
+        tcol = ct.time_column if cfg.use_cutoff_time else None
+        rows = rdb[child].select(F.col(ct.primary_key).alias("__ck"), F.col(fk).alias(key), *([F.col(tcol).alias("__born")] if tcol else []))
+        own = cuts.join(rows, key)  # every child that a target row has by its cutoff: what a stacked feature is made of
+        if tcol:
+            born, cut = F.col("__born").cast("timestamp_ntz"), F.col(CUT)
+            own = own.where(born < cut if cfg.closed == "left" else born <= cut)
+            if cfg.lookback is not None:
+                own = own.where(born >= cut - F.lit(cfg.lookback) if cfg.closed == "left" else born > cut - F.lit(cfg.lookback))
+        inner = list({s.inner.name: s.inner for s in ss}.values())
+        pairs = materialize(own.select(key, CUT, "__ck"))
+        feats = _row_features(rdb, cfg, child, inner, pairs.select("__ck", CUT).distinct(), "__ck")
+        joined = _fill_counts(pairs.join(feats, ["__ck", CUT], "left"), inner)
+        hist = joined.groupBy(key, CUT).agg(*[P.stacked(s.primitive, F.col(f"`{s.inner.name}`")).alias(s.name) for s in ss])
+        out = out.join(hist, [key, CUT], "left")
+    return _fill_counts(out, specs)
 
 
 def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg: DfsConfig | None = None,
                      specs: list[FeatureSpec] | None = None, id_col: str = S.ID,
                      ts_col: str = TS) -> DataFrame:
     """Features for the rows of ``target`` (``id_col`` -> ``table``'s PK,
-    ``ts_col`` = cutoff).  Cutoffs must be among ``anchors``; with ``anchors=None``
-    the target's own distinct cutoffs are used (G12).  A cutoff outside the anchor
-    list fails the job instead of being shifted.  Rows are preserved (left joins);
+    ``ts_col`` = cutoff).  With a list of shared ``anchors`` the slot plans are used and
+    a cutoff outside the list fails the job instead of being shifted; with ``anchors=None``
+    every row has its own cutoff, any number of them (G12; ``plans.asof``).  Rows are
+    preserved (left joins);
     G17: pass the train spec list again to get the same columns for test rows."""
     cfg = cfg or DfsConfig()
     specs = specs if specs is not None else enumerate_features(rdb.schema, table, cfg)
-    anchors = sorted(set(anchors)) if anchors is not None else target_cutoffs(target, ts_col)
-    if not anchors:
-        anchors = [dt.datetime(1970, 1, 1)]
-    ts = F.col(ts_col).cast("timestamp_ntz")
-    idx = first_anchor_index(ts, anchors)
-    exact = F.when(ts.isNull(), F.lit(None).cast("int")).when(
-        anchor_ts(idx, anchors) == ts, idx).otherwise(
-        F.raise_error(F.lit(f"cutoff in {ts_col} is not one of the anchors")).cast("int"))
-    tgt = target.withColumn(ANCHOR_IDX, exact)
-    out = tgt
     back = [s for s in specs if s.kind != "direct"]
-    if back:
-        feats = _entity_features(rdb, cfg, table, back, anchors, id_col)
-        out = out.join(feats, [id_col, ANCHOR_IDX], "left")
-        out = _fill_counts(out, back)
+    ts = F.col(ts_col).cast("timestamp_ntz")
+    if anchors is None:
+        out = target
+        if back:
+            cuts = target.select(F.col(id_col), ts.alias(CUT)).where(F.col(id_col).isNotNull() & F.col(CUT).isNotNull()).distinct()
+            feats = _row_features(rdb, cfg, table, back, materialize(cuts), id_col)
+            out = _fill_counts(target.withColumn(CUT, ts).join(feats, [id_col, CUT], "left"), back)
+    else:
+        anchors = sorted(set(anchors)) or [dt.datetime(1970, 1, 1)]
+        idx = first_anchor_index(ts, anchors)
+        exact = F.when(ts.isNull(), F.lit(None).cast("int")).when(
+            anchor_ts(idx, anchors) == ts, idx).otherwise(
+            F.raise_error(F.lit(f"cutoff in {ts_col} is not one of the anchors")).cast("int"))
+        out = target.withColumn(ANCHOR_IDX, exact)
+        if back:
+            feats = _entity_features(rdb, cfg, table, back, anchors, id_col)
+            out = _fill_counts(out.join(feats, [id_col, ANCHOR_IDX], "left"), back)
     direct = [s for s in specs if s.kind == "direct"]
     if direct:
         dframe, masks = _direct_block(rdb, cfg, table, direct, id_col)
@@ -551,7 +656,7 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
             out = out.withColumns(repl).drop(*sorted(set(masks.values())))
     for p in cfg.trans_primitives:
         out = out.withColumn(f"{p.upper()}({ts_col})", datetime_part(F.col(ts_col), p))
-    return out.drop(ANCHOR_IDX)
+    return out.drop(ANCHOR_IDX, CUT)
 
 
 def transform_features(df: DataFrame, ts_col: str = "__timestamp__",

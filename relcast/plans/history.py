@@ -323,6 +323,28 @@ def running_from_partials(partial: DataFrame, keys: list[str], anchors, aggs: li
                       *[a.name for a in aggs])
 
 
+def running_best(events: DataFrame, keys: list[str], value: str, time_col: str, anchors, strict: bool = False,
+                 carry: DataFrame | None = None) -> DataFrame:
+    """(keys, carry columns, ``__a``, ``__best``): per (keys, anchor) the most frequent ``value`` of the events so far, as a struct
+    (c = minus its count, v = the value); the smallest value on ties.
+
+    A value's count changes only in slots where it has events, so (key, value, slot) rows suffice: their running
+    count is a candidate from that slot on, and the best candidate so far is the answer (counts never fall)."""
+    anchors = _check(anchors)
+    t = F.col(time_col)
+    last = ts_lit(anchors[-1])
+    ev = (events.select(*keys, value, time_col).where(t.isNotNull() & ((t < last) if strict else (t <= last)))
+          .withColumn(SLOT, first_anchor_index(t, anchors, strict)))
+    counts = ev.groupBy(*keys, value, SLOT).agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(*keys, value).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = counts.withColumn("__c", F.sum("__n").over(own))
+    best = so_far.groupBy(*keys, SLOT).agg(F.min(F.struct((-F.col("__c")).alias("c"), F.col(value).alias("v"))).alias("__best"))
+    if carry is not None:
+        best = best.join(carry, keys[0])
+        keys = keys + [c for c in carry.columns if c not in keys]
+    return running_from_partials(best, keys, anchors, [Agg("__best", "min", "__best")])
+
+
 def expand_created(df: DataFrame, time_col: str | None, anchors, strict: bool = False,
                    keep_index: bool = True) -> DataFrame:
     """Creation-based expansion: each row once per anchor t with time <= t

@@ -291,14 +291,14 @@ def _churn_target(spark, sf_dir):
     return L.user_churn(AD.shop(spark, sf_dir), anchors_for(spark, sf_dir, "shop"), H)
 
 
-def _customer_features(spark, sf_dir, cfg, names=None, target=None):
+def _customer_features(spark, sf_dir, cfg, names=None, target=None, rounded=None):
     rdb = AD.tpch(spark, sf_dir)
     specs = G.enumerate_features(rdb.schema, "customer", cfg)
     if names is not None:
         specs = [s for s in specs if s.name in names]
     tgt = target if target is not None else _churn_target(spark, sf_dir)
     out = G.compute_features(rdb, tgt, "customer", anchors_for(spark, sf_dir, "shop"), cfg, specs)
-    return _round_doubles(out)
+    return (rounded or _round_doubles)(out)
 
 
 def _round_doubles(df):
@@ -310,6 +310,13 @@ def _cfg(**kw):
     return G.DfsConfig(**{"max_depth": 1, "include_entities": ("orders",), **kw})
 
 
+def _round_apart(df):
+    """Rounding for the comparison with SQL: means of cents over 8 or 16 rows lie exactly between two steps, where the
+    order of a sum decides; a shift far above its error and far below a step settles them alike on both sides."""
+    return df.select(*[F.round(F.col(f"`{f.name}`") + F.lit(1e-7), 4).alias(f.name) if f.dataType.simpleString() in ("double", "float")
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 @query("dfs_count_sum_mean")
 def q_dfs_count_sum_mean(spark, sf_dir):
     return _customer_features(spark, sf_dir, _cfg(agg_primitives=("count", "sum", "mean")))
@@ -374,6 +381,64 @@ def q_dfs_depth3(spark, sf_dir):
     return _customer_features(spark, sf_dir, cfg, DEPTH3)
 
 
+@query("dfs_depth2_all")
+def q_dfs_depth2_all(spark, sf_dir):
+    """Every feature that the enumeration finds at depth 2."""
+    cfg = G.DfsConfig(max_depth=2, include_entities=("orders", "lineitem"), agg_primitives=("count", "sum", "max"))
+    return _customer_features(spark, sf_dir, cfg, rounded=_round_apart)
+
+
+@query("dfs_depth3_all")
+def q_dfs_depth3_all(spark, sf_dir):
+    """Every feature that the enumeration finds at depth 3."""
+    cfg = G.DfsConfig(max_depth=3, include_entities=("orders", "lineitem", "part"), agg_primitives=("count", "sum", "mean"))
+    return _customer_features(spark, sf_dir, cfg, rounded=_round_apart)
+
+
+@query("dfs_where_values")
+def q_dfs_where_values(spark, sf_dir):
+    """Conditional sums, means and maxima beside the conditional counts."""
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=(), where_primitives=("count", "sum", "mean", "max"),
+                                                  interesting_values={"orders.o_orderstatus": ["F", "O"]}), rounded=_round_apart)
+
+
+@query("dfs_row_cutoffs")
+def q_dfs_row_cutoffs(spark, sf_dir):
+    """Every event with its own time as cutoff (an external frame, no shared anchors): what its user did before."""
+    rdb = AD.forum_b(spark, sf_dir)
+    ev = read_table(spark, sf_dir, "events")
+    tgt = ev.select("event_id", F.col("user_id").alias("__id"), F.col("ts").cast("timestamp_ntz").alias("__timestamp"))
+    cfg = G.DfsConfig(max_depth=1, agg_primitives=("count", "sum", "mean", "min", "max", "std", "time_since_last"))
+    return _round_apart(G.compute_features(rdb, tgt, "users", None, cfg))
+
+
+def _order_targets(rdb):
+    return rdb["orders"].select("o_orderkey", F.col("o_custkey").alias("__id"), F.col("o_orderdate").cast("timestamp_ntz").alias("__timestamp"))
+
+
+@query("dfs_row_lookback")
+def q_dfs_row_lookback(spark, sf_dir):
+    """The year before each order, from the order's own date."""
+    rdb = AD.tpch(spark, sf_dir)
+    cfg = _cfg(agg_primitives=("count", "sum", "min", "max", "std"), lookback=dt.timedelta(days=365))
+    return _round_apart(G.compute_features(rdb, _order_targets(rdb), "customer", None, cfg))
+
+
+@query("dfs_row_mode")
+def q_dfs_row_mode(spark, sf_dir):
+    """G3g / G12: most frequent values before each order."""
+    rdb = AD.tpch(spark, sf_dir)
+    return G.compute_features(rdb, _order_targets(rdb), "customer", None, _cfg(agg_primitives=("mode",)))
+
+
+@query("dfs_row_stacked")
+def q_dfs_row_stacked(spark, sf_dir):
+    """Stacked features, lines and orders both known by each order's own date."""
+    rdb = AD.tpch(spark, sf_dir)
+    cfg = G.DfsConfig(max_depth=2, include_entities=("orders", "lineitem"), agg_primitives=("count", "sum"), stack_primitives=("sum", "mean", "max"))
+    return _round_apart(G.compute_features(rdb, _order_targets(rdb), "customer", None, cfg))
+
+
 @query("dfs_parent_cutoff")
 def q_dfs_parent_cutoff(spark, sf_dir):
     """Order values over each supplier's lines, known only once line and order both exist (a third
