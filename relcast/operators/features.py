@@ -52,6 +52,8 @@ class DfsConfig:
     use_cutoff_time: bool = True
     closed: str = "left"                                      # child time < cutoff
     lookback: dt.timedelta | None = None
+    datetime_primitives: tuple = ()                           # min / max of the children's datetime columns
+    direct_aggregates: bool = False                           # a parent's own aggregates as direct features
     # Accepted for compatibility; every synthesis primitive here is exact and
     # decomposable over slots, so there is nothing to approximate in this stage.
     use_approximate_aggregations: bool = False
@@ -72,7 +74,7 @@ class DfsConfig:
 @dataclass(frozen=True)
 class FeatureSpec:
     name: str
-    kind: str                  # agg | where | mode | tsl | stacked | direct | trans
+    kind: str                  # agg | where | mode | tsl | stacked | direct | parent
     table: str                 # table whose rows the feature describes
     child: str | None = None
     fk: str | None = None
@@ -87,6 +89,10 @@ def _numeric(t: S.TableSchema, ignore) -> list[str]:
     return [c.name for c in t.columns if c.dtype in S.NUMERIC and c.name not in ignore]
 
 
+def _datetimes(t: S.TableSchema, ignore) -> list[str]:
+    return [c.name for c in t.columns if c.dtype == S.DATETIME and c.name not in ignore]
+
+
 def _categorical(t: S.TableSchema, ignore) -> list[str]:
     return [c.name for c in t.columns if c.dtype in S.CATEGORY and c.name not in ignore]
 
@@ -156,6 +162,9 @@ def enumerate_features(schema: S.RdbSchema, target: str, cfg: DfsConfig,
                 if p in prims:
                     specs.append(FeatureSpec(f"{p.upper()}({lab}.{c})", "agg", target, r.child_table,
                                              r.child_column, c, p, depth=1 + c.count(".")))
+        for c in _datetimes(child, set(cfg.ignore_columns.get(r.child_table, []))):
+            for p in cfg.datetime_primitives:
+                specs.append(FeatureSpec(f"{p.upper()}({lab}.{c})", "agg", target, r.child_table, r.child_column, c, p, depth=1))
         if "mode" in prims:
             for c in cats:
                 specs.append(FeatureSpec(f"MODE({lab}.{c})", "mode", target, r.child_table, r.child_column,
@@ -190,6 +199,10 @@ def enumerate_features(schema: S.RdbSchema, target: str, cfg: DfsConfig,
         pn, pc = row_columns(schema, pt, depth, cfg, came_from=target)
         for c in pn + pc:
             specs.append(FeatureSpec(f"{_parent_label(t, fkcol)}.{c}", "direct", target, pt, fkcol.name, c, None, depth=1 + c.count(".")))
+        if cfg.direct_aggregates and came_from is None and depth >= 2:
+            for f in enumerate_features(schema, pt, replace(cfg, max_features=None, direct_aggregates=False), depth=depth - 1):
+                if f.kind != "direct":
+                    specs.append(FeatureSpec(f"{_parent_label(t, fkcol)}.{f.name}", "parent", target, pt, fkcol.name, None, f.primitive, inner=f, depth=1 + f.depth))
     if came_from is None and cfg.max_features is not None:
         specs = sorted(specs, key=lambda s: (s.depth, s.name))[: cfg.max_features]
     return specs
@@ -614,6 +627,29 @@ def _row_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec]
     return _fill_counts(out, specs)
 
 
+def _cuts(out: DataFrame, key: str) -> DataFrame:
+    """The distinct (key, cutoff) pairs of the target rows, fixed so that every block reads the same."""
+    return materialize(out.select(key, CUT).where(F.col(key).isNotNull() & F.col(CUT).isNotNull()).distinct())
+
+
+def _parent_aggregates(rdb: Rdb, cfg: DfsConfig, out: DataFrame, table: str, specs: list[FeatureSpec], anchors, id_col: str) -> DataFrame:
+    """G2 over G1: what a target row's parent has done by the row's cutoff (forward along the FK, then backward), e.g.
+    ``customer.MEAN(orders.o_totalprice)`` of an order.  NULL where the row has no parent; counts of a parent without
+    rows are 0.  Evaluated once per distinct (parent, cutoff)."""
+    pk = rdb.schema.table(table).primary_key
+    for i, (fk, ss) in enumerate(_by(specs, lambda s: s.fk).items()):
+        key, at = f"__fk{i}", ANCHOR_IDX if anchors is not None else CUT
+        out = out.join(rdb[table].select(F.col(pk).alias(id_col), F.col(fk).alias(key)), id_col, "left")
+        inner = [s.inner for s in ss]
+        feats = (_entity_features(rdb, cfg, ss[0].child, inner, anchors, key) if anchors is not None
+                 else _row_features(rdb, cfg, ss[0].child, inner, _cuts(out, key), key))
+        feats = feats.select(key, at, *[F.col(f"`{s.inner.name}`").alias(s.name) for s in ss])
+        out = out.join(feats, [key, at], "left")
+        counts = {s.name: F.when(F.col(key).isNotNull(), F.coalesce(F.col(f"`{s.name}`"), F.lit(0))) for s in ss if _countlike(s.inner)}
+        out = out.withColumns(counts).drop(key)
+    return out
+
+
 def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg: DfsConfig | None = None,
                      specs: list[FeatureSpec] | None = None, id_col: str = S.ID,
                      ts_col: str = TS) -> DataFrame:
@@ -625,14 +661,13 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
     G17: pass the train spec list again to get the same columns for test rows."""
     cfg = cfg or DfsConfig()
     specs = specs if specs is not None else enumerate_features(rdb.schema, table, cfg)
-    back = [s for s in specs if s.kind != "direct"]
+    back = [s for s in specs if s.kind not in ("direct", "parent")]
     ts = F.col(ts_col).cast("timestamp_ntz")
     if anchors is None:
-        out = target
+        out = target.withColumn(CUT, ts)
         if back:
-            cuts = target.select(F.col(id_col), ts.alias(CUT)).where(F.col(id_col).isNotNull() & F.col(CUT).isNotNull()).distinct()
-            feats = _row_features(rdb, cfg, table, back, materialize(cuts), id_col)
-            out = _fill_counts(target.withColumn(CUT, ts).join(feats, [id_col, CUT], "left"), back)
+            feats = _row_features(rdb, cfg, table, back, _cuts(out, id_col), id_col)
+            out = _fill_counts(out.join(feats, [id_col, CUT], "left"), back)
     else:
         anchors = sorted(set(anchors)) or [dt.datetime(1970, 1, 1)]
         idx = first_anchor_index(ts, anchors)
@@ -654,6 +689,9 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
                 visible = F.col(tcol) < cut if cfg.closed == "left" else F.col(tcol) <= cut
                 repl[name] = F.when(visible, F.col(f"`{name}`"))
             out = out.withColumns(repl).drop(*sorted(set(masks.values())))
+    parents = [s for s in specs if s.kind == "parent"]
+    if parents:
+        out = _parent_aggregates(rdb, cfg, out, table, parents, anchors, id_col)
     for p in cfg.trans_primitives:
         out = out.withColumn(f"{p.upper()}({ts_col})", datetime_part(F.col(ts_col), p))
     return out.drop(ANCHOR_IDX, CUT)

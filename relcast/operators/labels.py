@@ -14,8 +14,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.hashing import epoch_seconds, typed_part, unit_hash
 from ..plans.history import (ANCHOR_IDX, TS, Agg, Win, anchor_ts, cumulative_aggregate,
-                             expand_created, window_aggregate)
+                             expand_created, expand_to_anchors, window_aggregate)
 from ..sources import schema as S
 from ..sources.rdb import Rdb
 from .anchors import anchors_frame
@@ -253,8 +254,8 @@ def link_labels(links: DataFrame, src: str, dst: str, time_col: str, anchors, ho
     A pair is a candidate at t when both ends exist at t and the pair has not
     linked yet (first link > t).  Pairs that link at some time are emitted
     explicitly with label = first link in (t, t+h]; pairs that never link are
-    all-zero and are *counted* per anchor by ``implicit_negatives`` instead of
-    being enumerated (the full src x dst x anchor product is never built).
+    all-zero and not enumerated (the full src x dst x anchor product is never
+    built).  ``link_candidates`` draws candidates without knowing which will link.
     """
     first = links.groupBy(src, dst).agg(F.min(time_col).alias("__first"))
     pairs = first
@@ -279,6 +280,55 @@ def link_labels(links: DataFrame, src: str, dst: str, time_col: str, anchors, ho
     return cand.select(TS, F.col(src).alias(ID), F.col(dst).alias(S.TARGET_ID), label.alias(LABEL))
 
 
+HUB = 1000  # rows that one piece of a hub meets at a time
+
+
+def _hub_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Equi-join in which a key with many right rows (a hub) is cut into pieces of about ``HUB`` rows: the right rows are
+    dealt to the pieces by the hash of ``spread``, the left rows meet every piece.  The rows are those of a plain join."""
+    pieces = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("int").alias("__pieces"))
+    lp = left.join(pieces, keys).withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))).drop("__pieces")
+    rp = right.join(pieces, keys).withColumn("__piece", F.pmod(F.xxhash64(spread), F.col("__pieces")).cast("int")).drop("__pieces")
+    return lp.join(rp, [*keys, "__piece"]).drop("__piece")
+
+
+def link_candidates(links: DataFrame, src: str, dst: str, time_col: str, anchors, recent: dt.timedelta, horizon: dt.timedelta,
+                    src_entities: DataFrame, dst_entities: DataFrame, negatives: int = 2, seed: int = 7) -> DataFrame:
+    """D-10 with candidates that know nothing of the future: (``__timestamp``, ``__id``, ``__target_id``, ``__label``).
+
+    At each anchor t a source's candidates are (a) the targets of its co-neighbours, i.e. of sources that share a target with
+    it, all three links within ``recent`` before t, and (b) targets drawn by a seeded hash, about ``negatives`` per source.
+    Both ends exist at t and have not linked up to t; the label is 1 when their first link lies in (t, t + horizon].
+    ``src_entities`` and ``dst_entities`` have two columns, id and time of creation.
+
+    The walk over links is two equi-joins per anchor, hubs cut into pieces by their degree; the drawn targets are
+    an equi-join on hash buckets, as many as there are targets.  No source x target product is formed."""
+    anchors = sorted(set(anchors))
+    sid, sborn = src_entities.columns
+    did, dborn = dst_entities.columns
+    edges = (expand_to_anchors(links.select(src, dst, time_col).where(F.col(src).isNotNull() & F.col(dst).isNotNull()), time_col, anchors,
+                               Win("recent", -recent, dt.timedelta(0)))
+             .select(ANCHOR_IDX, F.col(src).alias("__u"), F.col(dst).alias("__x")).distinct())
+    other = edges.withColumnRenamed("__u", "__v")
+    near = _hub_join(edges, other, [ANCHOR_IDX, "__x"], "__v").where("__u != __v").select(ANCHOR_IDX, "__u", "__v").distinct()
+    walk = _hub_join(near, other.withColumnRenamed("__x", "__y"), [ANCHOR_IDX, "__v"], "__y").select(ANCHOR_IDX, "__u", "__y").distinct()
+
+    known = expand_created(src_entities.select(F.col(sid).alias("__u"), F.col(sborn).alias("__born")), "__born", anchors)
+    n = dst_entities.count()
+    draw = known.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1)))) if negatives else known.limit(0).withColumn("__i", F.lit(0))
+    draw = draw.select(ANCHOR_IDX, "__u", F.floor(unit_hash(seed, epoch_seconds(F.col(TS)), typed_part(known, "__u"), F.col("__i")) * n).alias("__bucket"))
+    targets = dst_entities.select(F.col(did).alias("__y"), F.col(dborn).cast("timestamp_ntz").alias("__yb"))
+    drawn = draw.join(targets.select("__y", F.floor(unit_hash(seed + 1, typed_part(targets, "__y")) * n).alias("__bucket")), "__bucket")
+    pairs = walk.unionByName(drawn.select(ANCHOR_IDX, "__u", "__y")).distinct()
+
+    pairs = pairs.withColumn(TS, anchor_ts(F.col(ANCHOR_IDX), anchors))
+    pairs = pairs.join(known.select(ANCHOR_IDX, "__u"), [ANCHOR_IDX, "__u"], "left_semi").join(targets, "__y").where(F.col("__yb") <= F.col(TS))
+    first = links.groupBy(F.col(src).alias("__u"), F.col(dst).alias("__y")).agg(F.min(time_col).cast("timestamp_ntz").alias("__first"))
+    found = pairs.join(first, ["__u", "__y"], "left").where(F.col("__first").isNull() | (F.col("__first") > F.col(TS)))
+    label = F.coalesce((F.col("__first") <= F.col(TS) + F.lit(horizon)).cast("int"), F.lit(0))
+    return found.select(TS, F.col("__u").alias(ID), F.col("__y").alias(S.TARGET_ID), label.alias(LABEL))
+
+
 # ---------------------------------------------------------------- user code
 
 def run_label_spec(spec, tables: dict, anchors, spark=None) -> DataFrame:
@@ -305,6 +355,11 @@ def validate_labels(df: DataFrame, require_unique: bool = False) -> DataFrame:
     missing = [c for c in (ID, S.TS, LABEL) if c not in df.columns]
     if missing:
         raise ValueError(f"label frame lacks columns {missing}")
+    if require_unique:
+        keys = [c for c in (ID, S.TARGET_ID, S.TS) if c in df.columns]
+        twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"label frame has several rows for {twice[0].asDict()}")
     ts_type = df.schema[S.TS].dataType.simpleString()
     if ts_type not in ("timestamp_ntz",):
         df = df.withColumn(S.TS, F.to_timestamp_ntz(F.col(S.TS).cast("string")))

@@ -7,8 +7,9 @@ derived from the data (earliest time column) with the back-off rule.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,6 +26,7 @@ from .operators import tasks as E
 from .operators import transforms as T
 from .plans.history import Win, window_aggregate
 from .plans.history import Agg, cumulative_aggregate, expand_created
+from .session import ensure_checkpoint_dir
 from .sources import rdb as R
 
 ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -490,6 +492,93 @@ def q_dfs_array_mean(spark, sf_dir):
                               for c in df.columns if c != "grp"])
 
 
+@query("dfs_parent_aggregate")
+def q_dfs_parent_aggregate(spark, sf_dir):
+    """What an order's customer had done before the order's own date."""
+    rdb = AD.tpch(spark, sf_dir)
+    tgt = rdb["orders"].select(F.col("o_orderkey").alias("__id"), F.col("o_orderdate").cast("timestamp_ntz").alias("__timestamp"))
+    cfg = G.DfsConfig(max_depth=2, include_entities=("customer", "orders"), direct_aggregates=True,
+                      agg_primitives=("count", "sum", "max", "time_since_last", "mode"))
+    specs = [s for s in G.enumerate_features(rdb.schema, "orders", cfg) if s.kind == "parent"]
+    return _round_apart(G.compute_features(rdb, tgt, "orders", None, cfg, specs))
+
+
+@query("dfs_parent_at_anchors")
+def q_dfs_parent_at_anchors(spark, sf_dir):
+    """The same on shared anchors: every order at every anchor from its creation on."""
+    rdb = AD.tpch(spark, sf_dir)
+    anchors = anchors_for(spark, sf_dir, "shop")
+    tgt = C.creation_candidates(rdb, "orders", anchors).select(F.col("o_orderkey").alias("__id"), "__timestamp")
+    cfg = G.DfsConfig(max_depth=2, include_entities=("customer", "orders"), direct_aggregates=True, agg_primitives=("count", "sum"))
+    specs = [s for s in G.enumerate_features(rdb.schema, "orders", cfg) if s.kind == "parent"]
+    return _round_apart(G.compute_features(rdb, tgt, "orders", anchors, cfg, specs))
+
+
+@query("dfs_datetime_min_max")
+def q_dfs_datetime_min_max(spark, sf_dir):
+    """G3d / G3e over datetime columns."""
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=(), datetime_primitives=("min", "max")))
+
+
+@query("label_link_candidates")
+def q_link_candidates(spark, sf_dir):
+    """D-10: voters' candidate posts from links of the last week up to the anchor and a seeded draw, labelled a month ahead."""
+    f = AD.forum_a(spark, sf_dir)
+    voters = f["votes"].groupBy("UserId").agg(F.min("CreationDate").alias("born"))
+    return L.link_candidates(f["votes"], "UserId", "PostId", "CreationDate", anchors_for(spark, sf_dir, "forum_a"),
+                             dt.timedelta(days=7), dt.timedelta(days=30), voters, f["posts"].select("Id", "CreationDate"))
+
+
+# ---------------------------------------------------------------- sinks
+
+
+def _folder(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/relcast-{name}-{uuid.uuid4().hex}"
+
+
+@query("sink_sorted")
+def q_sink_sorted(spark, sf_dir):
+    """The churn labels written in order of anchor and customer and read back with their places."""
+    path = R.write_sorted(q_user_churn(spark, sf_dir), _folder(spark, "sorted"), ["__timestamp", "__id"])
+    return R.read_sorted(spark, path)
+
+
+@query("sink_task_tables")
+def q_sink_task_tables(spark, sf_dir):
+    """The three tables of a task read back."""
+    paths = R.write_task_tables(q_user_churn(spark, sf_dir), _folder(spark, "tasks"), "customer")
+    parts = [spark.read.parquet(p).withColumn("split", F.lit(name)) for name, p in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("sink_labels_csv")
+def q_sink_labels_csv(spark, sf_dir):
+    """A frame written as CSV by the prediction sink and read by the label scan."""
+    path = R.write_predictions(q_user_churn(spark, sf_dir), _folder(spark, "csv"))
+    return R.read_labels_csv(spark, path, label_type="int")
+
+
+@query("sink_snapshots")
+def q_sink_snapshots(spark, sf_dir):
+    """Feature snapshots written by time, read back, the latest of each customer before the last anchor."""
+    path = _folder(spark, "store")
+    R.write_snapshots(_customer_features(spark, sf_dir, _cfg(agg_primitives=("count",))).drop("__label"), path, "customer")
+    return E.latest_before(R.read_snapshots(spark, path, "customer"), AD.SHOP_TODAY)
+
+
+@query("sink_copied_tables")
+def q_sink_copied_tables(spark, sf_dir):
+    """Entity tables copied, and the orders of the customers in an id file."""
+    rdb = AD.tpch(spark, sf_dir)
+    folder = _folder(spark, "copy")
+    R.copy_tables(rdb, folder)
+    ids = rdb["customer"].where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    ids.write.option("header", True).csv(f"{folder}/ids")
+    wanted = R.read_entity_ids(spark, f"{folder}/ids")
+    orders = spark.read.parquet(f"{folder}/orders").withColumn("__id", F.col("o_custkey"))
+    return E.entity_filter(orders, wanted).select("__id", "o_orderkey")
+
+
 # ---------------------------------------------------------------- group F
 
 

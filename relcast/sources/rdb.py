@@ -11,7 +11,7 @@ import os
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StringType
 
 from . import schema as S
@@ -89,9 +89,6 @@ def read_snapshots(spark: SparkSession, store: str, target: str, ts_col: str = S
     return df.withColumn(ts_col, F.col(ts_col).cast("timestamp_ntz")) if ts_col in df.columns else df
 
 
-LABEL_SCHEMA = "__id string, __timestamp string, __label double"
-
-
 def read_labels_csv(spark: SparkSession, path: str, id_type: str = "bigint",
                     label_type: str = "double") -> DataFrame:
     """A4: CSV ``[__id, __timestamp, __label]`` with the timestamp parsed (NTZ)."""
@@ -124,6 +121,26 @@ def write_task_tables(train: DataFrame, folder: str, table: str, mode: str = "ov
     return paths
 
 
+def write_sorted(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> str:
+    """A table whose files, in order of their names, hold the rows in order of ``by`` (nulls first).
+
+    Rows are range-partitioned and sorted inside each file, so no task sorts the whole table."""
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).parquet(path)
+    return path
+
+
+def read_sorted(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """A table of ``write_sorted`` with each row's place in the whole order, from 0: the rows of the files before its own
+    (one count per file) and its row in the file."""
+    df = spark.read.parquet(path)
+    at = df.metadataColumn("_metadata")
+    rows = df.select(*df.columns, at["file_name"].alias("__file"), at["row_index"].alias("__row"))
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
+    files = files.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))
+    return rows.join(files, "__file").select(*df.columns, (F.col("__before") + F.col("__row")).alias(position))
+
+
 def write_predictions(pred: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
     """Prediction sink (CSV with header, or Parquet)."""
     w = pred.write.mode(mode)
