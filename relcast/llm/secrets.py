@@ -1,19 +1,19 @@
 """Operator 1: secret scans with recursive decoding.
 
 A worklist starts with the text itself.  Every layer is scanned for the three base
-kinds; then each encoded stretch in it (percent escapes, Unicode and HTML character
-escapes, base64, gzip or zlib data inside base64) is decoded into a new layer, until
-no new layer appears.  A layer already seen for the same document (same content at
-the same place) is not queued again, so cycles end.  Every layer keeps, per
-character, the stretch of the original text it came from: a finding inside nested
-layers is reported at its stretch of the original text.
+kinds; then each encoded stretch in it (percent escapes, Unicode, HTML and control character
+escapes, base64 at any of its four alignments, gzip or zlib data in any run of bytes) is decoded into a new
+layer, until no new layer appears.  A layer already seen for the same document (same content at
+the same place) is not queued again, so cycles end.  Every layer keeps runs of characters with
+the stretch of the original text they came from (one entry per changed stretch, not per character): a
+finding inside nested layers is reported at its stretch of the original text.
 
 Offsets are code points, ends exclusive.  Base findings (in the text itself) are the
 leftmost non-overlapping matches of each kind that are long enough.
 
 Defined cases: a null or empty text has no findings (counts 0, the SHA-256 of the empty
 string, spans ''); repeated rows give repeated results; an empty table gives no rows;
-extra columns are ignored.  Bytes that are not UTF-8 are read as Latin-1.  All members of
+extra columns are ignored.  Bytes that look like UTF-16 are read so; other bytes that are not UTF-8 are read as Latin-1.  All members of
 compressed data are inflated, and bytes after them are kept; damaged data gives what comes
 before the damage, then its bytes as they are.  Base64 is decoded line by line and also joined over line breaks.  A layer
 whose decompressed form exceeds ``max_layer`` bytes is scanned whole, but in stretches of that
@@ -24,7 +24,7 @@ memory of decompression bombs, never applied to the text itself.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import hashlib
 import itertools
 import re
@@ -49,7 +49,9 @@ ASSIGN_MIN, ACCESS_MIN = 12, 18
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|\\[nrt]")
+HEX_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+")
+CONTROL = {"n": "\n", "r": "\r", "t": "\t"}
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -71,41 +73,68 @@ def find_base(text: str) -> list[Finding]:
 
 
 class Layer:
-    """A decoded string; ``at[i]`` is the original stretch of its character i (None: identity)."""
+    """A decoded string and where its characters come from.
 
-    __slots__ = ("text", "at", "depth")
+    ``starts[i]`` is the first character of run i, ``runs[i]`` its original stretch (start, end, whether character by
+    character); runs are in order, and so are their stretches."""
 
-    def __init__(self, text: str, at: list[tuple[int, int]] | tuple[int, int] | None, depth: int):
-        self.text, self.at, self.depth = text, at, depth
+    __slots__ = ("text", "starts", "runs")
+
+    def __init__(self, text: str, starts: list[int], runs: list[tuple[int, int, bool]]):
+        self.text, self.starts, self.runs = text, starts, runs
+
+    @classmethod
+    def whole(cls, text: str, start: int, end: int) -> Layer:
+        """All of ``text`` from one original stretch."""
+        return cls(text, [0], [(start, end, False)])
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.at is None:
-            return start, end
-        if isinstance(self.at, tuple):
-            return self.at
-        part = self.at[start:end]
-        return min(x[0] for x in part), max(x[1] for x in part)
+        i, j = bisect.bisect_right(self.starts, start) - 1, bisect.bisect_right(self.starts, end - 1) - 1
+        a, _, each = self.runs[i]
+        c, d, last_each = self.runs[j]
+        return a + start - self.starts[i] if each else a, c + end - self.starts[j] if last_each else d
+
+    def copy_runs(self, start: int, end: int, to: int, starts: list[int], runs: list[tuple[int, int, bool]]) -> None:
+        """Append the runs of [start, end) as runs from ``to`` on."""
+        i = bisect.bisect_right(self.starts, start) - 1
+        while start < end:
+            stop = min(end, self.starts[i + 1] if i + 1 < len(self.starts) else end)
+            a, b, each = self.runs[i]
+            starts.append(to)
+            runs.append((a + start - self.starts[i], a + stop - self.starts[i], True) if each else (a, b, False))
+            to += stop - start
+            start, i = stop, i + 1
 
 
 def _replace(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every stretch that ``decode`` can read replaced by its characters."""
-    text, out, at, last, changed = layer.text, [], [], 0, False
+    text, out, starts, runs, last, size = layer.text, [], [], [], 0, 0
     for m in pattern.finditer(text):
         got = decode(m[0])
-        if got is None:
+        if not got:
             continue
-        changed = True
+        layer.copy_runs(last, m.start(), size, starts, runs)
+        size += m.start() - last
+        starts.append(size)
+        runs.append((*layer.span(m.start(), m.end()), False))
         out += [text[last:m.start()], got]
-        at += [layer.span(i, i + 1) for i in range(last, m.start())] + [layer.span(m.start(), m.end())] * len(got)
+        size += len(got)
         last = m.end()
-    if not changed:
+    if not out:
         return None
+    layer.copy_runs(last, len(text), size, starts, runs)
     out.append(text[last:])
-    at += [layer.span(i, i + 1) for i in range(last, len(text))]
-    return Layer("".join(out), at, layer.depth + 1)
+    return Layer("".join(out), starts, runs)
 
 
 def _read(data: bytes) -> str:
+    head = data[:256]
+    if len(head) >= 8:  # Latin letters in UTF-16 have a zero byte each
+        odd, even = head[1::2].count(0), head[::2].count(0)
+        if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return data.decode("utf-16", "replace")
+        if max(odd, even) * 10 >= 4 * len(head) and min(odd, even) * 20 <= len(head):
+            return data.decode("utf-16-le" if odd > even else "utf-16-be", "replace")
     try:
         return data.decode()
     except UnicodeDecodeError:
@@ -119,6 +148,8 @@ def _percent(s: str) -> str:
 def _escape(s: str) -> str | None:
     if s[0] == "&":
         code = int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
+    elif s[1] in CONTROL:
+        return CONTROL[s[1]]
     else:
         code = int(s[2:].strip("{}"), 16)
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
@@ -180,15 +211,8 @@ def _unpacked(data: bytes) -> Iterator[bytes]:
     return chunks
 
 
-def _base64(s: str, most: int) -> Iterator[tuple[str, bool]]:
-    """The decoded text in stretches of at most ``most`` bytes; True with those beyond the first."""
-    body = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]  # no byte in it
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return
+def _stretches(data: bytes, most: int) -> Iterator[tuple[str, bool]]:
+    """The inflated text in stretches of at most ``most`` bytes; True with those beyond the first."""
     held, again = bytearray(), False
     overlap = min(OVERLAP, most // 4)
     for chunk in _unpacked(data):
@@ -201,6 +225,17 @@ def _base64(s: str, most: int) -> Iterator[tuple[str, bool]]:
         yield _read(bytes(held)), again
 
 
+def _base64(s: str) -> Iterator[tuple[int, bytes]]:
+    """(characters left out in front, bytes) at each alignment: what stands before the data may be of its alphabet."""
+    body = s.rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        part = body[skip:]
+        if len(part) % 4 == 1:
+            part = part[:-1]  # no byte in it
+        if len(part) >= 2:
+            yield skip, base64.b64decode(part + "=" * (-len(part) % 4))
+
+
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, base64 characters) of every run, and of lines that go on in the next: lines of one
     length with the shorter one after them, and all lines that follow each other."""
@@ -231,7 +266,7 @@ def scan_text(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Findin
     """(base findings, all findings, layers decoded, layers cut) of one text."""
     text = text or ""
     base = find_base(text)
-    found, work, layers, cut = set(base), [Layer(text, None, 0)], 0, 0
+    found, work, layers, cut = set(base), [Layer(text, [0], [(0, len(text), True)])], 0, 0
     seen = {(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest(), (0, len(text)))}
 
     def queue(new: Layer | None) -> None:
@@ -245,18 +280,27 @@ def scan_text(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[Findin
             found.update((*new.span(s, e), k) for s, e, k in find_base(new.text))
             work.append(new)
 
+    def queue_bytes(data: bytes, start: int, end: int) -> None:
+        nonlocal cut
+        again = 0
+        for part, more in _stretches(data, max_layer):
+            again |= more
+            queue(Layer.whole(part, start, end))
+        cut += again
+
     while work:
         layer = work.pop()
         if "%" in layer.text:
             queue(_replace(layer, PERCENT, _percent))
         if "\\" in layer.text or "&#" in layer.text:
             queue(_replace(layer, ESCAPE, _escape))
+        for pattern, mark in ((PERCENT, "%"), (HEX_BYTES, "\\x")):  # escaped bytes may be compressed data
+            for m in pattern.finditer(layer.text) if mark in layer.text else ():
+                if _packed(data := bytes.fromhex(m[0].replace(mark, ""))):
+                    queue_bytes(data, *layer.span(m.start(), m.end()))
         for start, end, run in _runs(layer.text):
-            again = 0
-            for part, more in _base64(run, max_layer):
-                again |= more
-                queue(Layer(part, layer.span(start, end), layer.depth + 1))
-            cut += again
+            for skip, data in _base64(run):
+                queue_bytes(data, *layer.span(start + skip, end))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(found, key=lambda f: (f[0], order[f[2]], f[1])), layers, cut
 
