@@ -10,15 +10,16 @@ k = floor((1 - threshold) * u) + 1: a document that misses at most that share of
 item's shingles must hold one of the k minima, so the search loses nothing, however
 long the document.  A hit is verified by counting the item's shingles in the document.
 
-Documents are never sketched or shuffled when the sketches are small (``max_broadcast``
-hash values): one pass over each document's shingles probes a sorted array.  Beyond that
+Documents are never sketched or shuffled when the items are small (``max_broadcast`` hash values, some 17 bytes
+each on the driver and in every task): one pass over each document's shingles probes a sorted array.  Beyond that
 size, documents' shingles are joined with the sketches on the hash and candidates are
 verified by a join on (document, shingle); both ways give the same rows.
 
 Defined cases: null and empty texts have no shingles and match nothing; an item with fewer
 than five words has one shingle, its whole word sequence, and is contained only in documents
-with the very same words; rows with the same document id are matched one by
-one and reported once per item, by their best row; rows with the same item id are one item (their shingles together); no items or no documents give no rows; extra columns are ignored.
+with the very same words; rows with the same document id, or with none, are matched one by
+one and reported once per id and item, by their best row; rows with the same item id are one item (their shingles
+together); an item without an id is no item; no items or no documents give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def shingle_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """item_id, h, n (the item's shingles), sketch (whether h is among its k minima)."""
-    rows = shingle_rows(items, id_col, text_col).select("id", "h").distinct()
+    rows = shingle_rows(items.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col).select("id", "h").distinct()
     lists = rows.groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("hs"))  # one test item's words
     n = F.size("hs")
     upper = F.pow(F.lit(2), F.ceil(F.log2(n)))  # its size partition: (u / 2, u]
@@ -59,11 +60,10 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, threshold: float
         "item_id", "n", "h", (F.col("at") < F.col("k")).alias("sketch"))
 
 
-def _probe(docs: DataFrame, shingles: list, threshold: float) -> DataFrame:
+def _probe(docs: DataFrame, shingles: pa.Table, threshold: float) -> DataFrame:
     """One pass over the documents with all items' shingles at hand (at most MAX_BROADCAST values)."""
-    hs = np.array([r["h"] for r in shingles], np.int64).view(np.uint64)
-    ids = np.array([r["item_id"] for r in shingles], np.int64)
-    sk = np.array([r["sketch"] for r in shingles], bool)
+    hs, ids, sk = (shingles.column(c).to_numpy() for c in ("h", "item_id", "sketch"))
+    hs, sk = hs.astype(np.int64).view(np.uint64), sk.astype(bool)
     order = np.argsort(hs, kind="stable")
     hs, ids, sk = hs[order], ids[order], sk[order]
     items, item_at = np.unique(ids, return_inverse=True)
@@ -109,13 +109,16 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     size = index.count()
     picked = docs.selectExpr(f"cast(`{doc_col}` as bigint) as i", f"`{text_col}` as t")
     if size <= max_broadcast:
-        found = _probe(picked, index.collect(), threshold)
+        found = _probe(picked, index.select("h", "item_id", "sketch").toArrow(), threshold)
     else:
-        rows = shingle_rows(picked, "i", "t")
-        cand = rows.join(index.where("sketch").select("h", "item_id"), "h").select("id", "of", "item_id").distinct()
-        held = (rows.join(index.select("h", "item_id", "n"), "h").groupBy("id", "of", "item_id")
+        # a row is named by its id, whether it has one, and the hash of its shingles: no part of the name is null
+        row = ["id", "none", "of", "item_id"]
+        rows = shingle_rows(picked, "i", "t").withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0)))
+        cand = rows.join(index.where("sketch").select("h", "item_id"), "h").select(*row).distinct()
+        held = (rows.join(index.select("h", "item_id", "n"), "h").groupBy(*row)
                 .agg(F.max("n").cast("long").alias("n_item"), F.count_distinct("h").alias("n_shared")))
-        found = (held.join(cand, ["id", "of", "item_id"], "left_semi").where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item") - F.lit(1e-9)))
+        held = held.join(cand, row, "left_semi").withColumn("id", F.when(~F.col("none"), F.col("id")))
+        found = (held.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item") - F.lit(1e-9)))
                  .select(F.col("id").alias("doc_id"), "item_id", "n_item", "n_shared"))
     found = found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
