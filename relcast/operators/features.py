@@ -697,6 +697,30 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
     return out.drop(ANCHOR_IDX, CUT)
 
 
+def compute_dfs_features(rdb: Rdb, target: DataFrame, key_mappings: dict[str, str], cutoff_time_column: str | None = None,
+                         config: DfsConfig | None = None, config_overrides: dict | None = None, transform=None, anchors=None) -> DataFrame:
+    """Transforms and synthesis in one call, for a target frame with any number of keys.
+
+    ``key_mappings`` maps target columns to primary keys (``{"user_id": "user.id", "item_id": "item.id"}``); each key's
+    features are named ``<target column>.<feature>`` and all rows of the target are kept.  ``transform`` is a pipeline
+    applied to the tables first (``transforms.Pipeline``).  Without a cutoff column all rows of the tables count."""
+    cfg = (config or DfsConfig()).merged(config_overrides)
+    if transform is not None:
+        rdb = transform(rdb)
+    out, ts = target, cutoff_time_column
+    if ts is None:
+        cfg, ts = replace(cfg, use_cutoff_time=False), "__no_cutoff"
+        out = out.withColumn(ts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    for column, link in key_mappings.items():
+        table, key = link.split(".", 1)
+        if rdb.schema.table(table).primary_key != key:
+            raise ValueError(f"{link} is not the primary key of {table}")
+        had = out.columns
+        feats = compute_features(rdb, out, table, anchors, cfg, id_col=column, ts_col=ts)
+        out = feats.select(*[F.col(f"`{c}`") for c in had], *[F.col(f"`{c}`").alias(f"{column}.{c}") for c in feats.columns if c not in had])
+    return out.drop("__no_cutoff")
+
+
 def transform_features(df: DataFrame, ts_col: str = "__timestamp__",
                        parts=P.DEFAULT_TRANS_PRIMITIVES) -> DataFrame:
     """YEAR/MONTH/DAY/DAYOFWEEK(ts) (Monday = 0) and TIMESTAMP_<ts> in ns."""

@@ -73,17 +73,16 @@ def sample_size(total: Column, rate: float) -> Column:
 
 def topk_per_group(df: DataFrame, group: str, bucket: Column, order: list[Column],
                    k_of_total) -> DataFrame:
-    """Exact first-``k`` rows per ``group`` in ``order``, k = ``k_of_total(n_rows_in_group)``.
-
-    ``bucket`` must be an integer that is non-decreasing along ``order``.  Two
-    passes over ``df``: (1) an (group, bucket) histogram (map-side combined),
-    from which a running sum finds each group's boundary bucket and how many
-    of its rows are needed (one row per group: bounded by the anchor count, so
-    broadcast); (2) rows in buckets up to the boundary are ranked by a window
-    partitioned by (group, bucket) -- never a whole group in one task -- and
-    kept when their bucket is before the boundary or their rank is within need.
+    """Exact first-``k`` rows per ``group`` in ascending ``order``, k = ``k_of_total(n_rows_in_group)``.
+
+    ``bucket`` must be an integer that is non-decreasing along ``order``.  Rows that are kept or dropped for certain
+    are never moved: (1) a (group, bucket) histogram (map-side combined) gives each group's boundary bucket and how many
+    of its rows are needed; (2) only the rows of boundary buckets are ranked, which gives each group's last kept order key
+    and how many rows share it; (3) a filter against that key (one row per group, bounded by the anchor count, so
+    broadcast) keeps the rows before it, and rows equal to it are ranked to make up the number.
     """
-    b = df.withColumn("__b", bucket)
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    b = df.withColumns({"__b": bucket, "__o": key})
     hist = b.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n"))
     wg = Window.partitionBy(group)
     w = wg.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -94,11 +93,20 @@ def topk_per_group(df: DataFrame, group: str, bucket: Column, order: list[Column
         group, F.col("__b").alias("__bstar"), (F.col("__k") - F.col("__before")).alias("__need"))
     # coalesce keeps the condition null-tolerant: no IsNotNull(__b) is inferred and
     # pushed below the projection (which would re-inline the score expression).
-    tagged = b.join(F.broadcast(boundary), group).where(F.coalesce(F.col("__b"), F.lit(-1)) <= F.col("__bstar"))
-    rn = F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order))
-    kept = tagged.withColumn("__rn", rn).where(
-        (F.col("__b") < F.col("__bstar")) | (F.col("__rn") <= F.col("__need")))
-    return kept.drop("__b", "__bstar", "__need", "__rn")
+    edge = b.join(F.broadcast(boundary), group).where(F.coalesce(F.col("__b"), F.lit(-1)) == F.col("__bstar"))
+    counts = edge.groupBy(group, "__o", "__bstar", "__need").agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(group).orderBy("__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("__cum", F.sum("__n").over(run))
+    last = counts.where((F.col("__cum") >= F.col("__need")) & (F.col("__cum") - F.col("__n") < F.col("__need"))).select(
+        group, "__bstar", F.col("__o").alias("__last"), (F.col("__need") - F.col("__cum") + F.col("__n")).alias("__ties"), F.col("__n").alias("__same"))
+    tagged = b.join(F.broadcast(last), group)
+    at = F.coalesce(F.col("__b"), F.lit(-1))
+    before = (at < F.col("__bstar")) | ((at == F.col("__bstar")) & (
+        (F.col("__o") < F.col("__last")) | ((F.col("__o") == F.col("__last")) & (F.col("__same") == F.col("__ties")))))
+    equal = (at == F.col("__bstar")) & (F.col("__o") == F.col("__last")) & (F.col("__same") > F.col("__ties"))
+    rn = F.row_number().over(Window.partitionBy(group).orderBy(F.lit(1)))
+    some = tagged.where(equal).withColumn("__rn", rn).where(F.col("__rn") <= F.col("__ties")).drop("__rn")
+    return tagged.where(before).unionByName(some).drop("__b", "__o", "__bstar", "__last", "__ties", "__same")
 
 
 def _k(rate: float):
@@ -123,7 +131,7 @@ def activity_biased_sample(cands: DataFrame, id_col: str, activity_col: str, rat
     c = cands.withColumn("__s", score)
     # log-scale bucket, negated so that it grows as the score falls; zero scores last.
     bucket = F.when(F.col("__s") > 0, -F.floor(F.log2(F.col("__s")) * 64)).otherwise(F.lit(1 << 30)).cast("int")
-    return topk_per_group(c, group, bucket, [F.col("__s").desc(), F.col(id_col)], _k(rate)).drop("__s")
+    return topk_per_group(c, group, bucket, [-F.col("__s"), F.col(id_col)], _k(rate)).drop("__s")
 
 
 def placeholder_label(df: DataFrame, id_col: str, seed: int = SEED + 1, group: str | None = TS) -> DataFrame:

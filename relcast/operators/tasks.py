@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timeparts import to_datetime, ts_lit
+from ..plans.asof import CUT, prefix_aggregate
+from ..plans.history import Agg
 from ..sources import schema as S
 from ..sources.rdb import Rdb
 from . import sampling as C
@@ -170,3 +171,23 @@ def status(models: dict, snapshots: dict | None = None, today=None) -> dict:
         out[target] = {"fitted": fm is not None, "task_type": getattr(fm, "task", None),
                        "n_features": len(getattr(fm, "feature_names", []) or []), "n_anchors": n}
     return out
+
+
+def entity_as_of(target: DataFrame, versions: DataFrame, key: str, since: str | None, cols: list[str], id_col: str = ID,
+                 ts_col: str = TS, closed: str = "left") -> DataFrame:
+    """Each target row with its entity's columns as they were known at the row's cutoff.
+
+    ``versions`` holds one row per entity and ``since`` (the time from which its values hold), or one row per entity where
+    ``since`` is the creation time.  The latest version before the cutoff counts (at it too for ``closed='right'``; of
+    versions with one time the largest values), NULLs where there is none; without ``since`` the entity's row always
+    holds.  One running maximum per entity answers all cutoffs, however many versions or target rows an entity has."""
+    packed = F.struct(*([F.col(since).cast("timestamp_ntz").alias("__since")] if since else []), *[F.col(f"`{c}`").alias(f"__e{i}") for i, c in enumerate(cols)])
+    mine = [F.col(f"`{c}`") for c in target.columns]
+    values = [F.col(f"__v.__e{i}").alias(c) for i, c in enumerate(cols)]
+    if since is None:
+        rows = versions.select(F.col(key).alias(id_col), packed.alias("__v")).groupBy(id_col).agg(F.max("__v").alias("__v"))
+        return target.join(rows, id_col, "left").select(*mine, *values)
+    rows = versions.select(F.col(key).alias(id_col), F.col(since).cast("timestamp_ntz").alias("__since"), packed.alias("__v"))
+    out = target.withColumn(CUT, F.col(ts_col).cast("timestamp_ntz"))
+    found = prefix_aggregate(out.select(id_col, CUT), rows, [id_col], CUT, "__since", [Agg("__v", "max", "__v")], inclusive=closed != "left")
+    return out.join(found, [id_col, CUT], "left").select(*mine, *values)

@@ -529,6 +529,45 @@ def q_link_candidates(spark, sf_dir):
                              dt.timedelta(days=7), dt.timedelta(days=30), voters, f["posts"].select("Id", "CreationDate"))
 
 
+@query("dfs_key_mappings")
+def q_dfs_key_mappings(spark, sf_dir):
+    """Every line with its supplier's and its order's earlier lines, cut off at the line's own date."""
+    rdb = AD.tpch(spark, sf_dir)
+    lines = rdb["lineitem"].select("l_id", F.col("l_suppkey").alias("who"), F.col("l_orderkey").alias("what"),
+                                   F.col("l_shipdate").cast("timestamp_ntz").alias("seen"))
+    return _round_apart(G.compute_dfs_features(rdb, lines, {"who": "supplier.s_suppkey", "what": "orders.o_orderkey"}, "seen",
+                                               G.DfsConfig(max_depth=1, include_entities=("lineitem",)), {"agg_primitives": ("count", "sum")}))
+
+
+@query("train_frame_e12")
+def q_train_frame_e12(spark, sf_dir):
+    """The whole training frame of a churn query: labels known by now, history, time parts and the customer's own columns."""
+    shop, rdb = AD.shop(spark, sf_dir), AD.tpch(spark, sf_dir)
+    spec = PQ.QuerySpec("customer", lambda r, a: L.user_churn(r, a, H), AD.SHOP_TODAY, sampling_rate=None, horizon_days=H.days, feature_rdb=rdb,
+                        dfs=_cfg(agg_primitives=("count", "sum"), trans_primitives=("year", "month", "day", "dayofweek")),
+                        entity_columns=("c_nationkey", "c_acctbal", "c_mktsegment"))
+    return _round_apart(PQ.training_frame(shop, spec)[0])
+
+
+@query("entity_as_of_versions")
+def q_entity_as_of_versions(spark, sf_dir):
+    """Each order with its customer's latest earlier order as the customer's version then (status, price)."""
+    orders = read_table(spark, sf_dir, "orders")
+    tgt = orders.select("o_orderkey", F.col("o_custkey").alias("__id"), F.col("o_orderdate").cast("timestamp_ntz").alias("__timestamp"))
+    versions = orders.select("o_custkey", "o_orderdate", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return E.entity_as_of(tgt, versions, "o_custkey", "o_orderdate", ["price", "status"])
+
+
+@query("label_sql_text")
+def q_label_sql_text(spark, sf_dir):
+    """D-12: label code as SQL text: a customer's reviews in the rest of each anchor's month."""
+    shop = AD.shop(spark, sf_dir)
+    sql = """SELECT t.timestamp AS __timestamp, r.customer_id AS __id, count(*) AS __label
+FROM timestamps t JOIN review r ON date_trunc('month', r.review_time) = date_trunc('month', t.timestamp)
+WHERE r.review_time > t.timestamp GROUP BY t.timestamp, r.customer_id"""
+    return L.run_label_spec(sql, shop.tables, anchors_for(spark, sf_dir, "shop"), spark)
+
+
 # ---------------------------------------------------------------- sinks
 
 
