@@ -53,6 +53,7 @@ class DfsConfig:
     closed: str = "left"                                      # child time < cutoff
     lookback: dt.timedelta | None = None
     datetime_primitives: tuple = ()                           # min / max of the children's datetime columns
+    array_primitives: tuple = ()                              # mean / max / min, element by element, of array columns
     direct_aggregates: bool = False                           # a parent's own aggregates as direct features
     # Accepted for compatibility; every synthesis primitive here is exact and
     # decomposable over slots, so there is nothing to approximate in this stage.
@@ -74,7 +75,7 @@ class DfsConfig:
 @dataclass(frozen=True)
 class FeatureSpec:
     name: str
-    kind: str                  # agg | where | mode | tsl | stacked | direct | parent
+    kind: str                  # agg | where | mode | tsl | array | stacked | direct | parent
     table: str                 # table whose rows the feature describes
     child: str | None = None
     fk: str | None = None
@@ -169,6 +170,10 @@ def enumerate_features(schema: S.RdbSchema, target: str, cfg: DfsConfig,
             for c in cats:
                 specs.append(FeatureSpec(f"MODE({lab}.{c})", "mode", target, r.child_table, r.child_column,
                                          c, "mode", depth=1 + c.count(".")))
+        for c in child.columns:
+            if c.dtype == S.ARRAY and c.name not in cfg.ignore_columns.get(r.child_table, []):
+                for p in cfg.array_primitives:
+                    specs.append(FeatureSpec(f"ARRAY{p.upper()}({lab}.{c.name})", "array", target, r.child_table, r.child_column, c.name, p, depth=1))
         if "time_since_last" in prims and child.time_column:
             specs.append(FeatureSpec(f"TIME_SINCE_LAST({lab})", "tsl", target, r.child_table, r.child_column,
                                      child.time_column, "time_since_last", depth=1))
@@ -406,6 +411,40 @@ def _mode_block(rdb: Rdb, cfg: DfsConfig, spec: FeatureSpec, anchors, key_alias:
         F.min_by(F.col("__v"), F.struct(-F.col("__c"), F.col("__v"))).alias(spec.name))
 
 
+def array_chain(spec: FeatureSpec) -> int:
+    """Number of array aggregations along a feature's chain."""
+    return (spec.kind == "array") + (array_chain(spec.inner) if spec.inner is not None else 0)
+
+
+def drop_nested_arrays(specs: list[FeatureSpec]) -> list[FeatureSpec]:
+    """Without the features that aggregate an aggregated array again."""
+    return [s for s in specs if array_chain(s) + (s.kind == "stacked" and s.inner is not None and s.inner.kind == "array") < 2]
+
+
+def _array_rows(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], key_alias: str) -> tuple[DataFrame, str | None, str | None, list[Agg]]:
+    """One row per element (key, ``__pos``, ``__x``) of the child's arrays, and the partial aggregates they need."""
+    s0 = specs[0]
+    rows, time_col, own_time = _child_rows(rdb, cfg, s0.child, s0.fk, [s0.column], "")
+    rows = rows.select(F.col(s0.fk).alias(key_alias), *[F.col(c) for c in (time_col, own_time) if c],
+                       F.posexplode(f"`{s0.column}`").alias("__pos", "__x"))
+    return rows.withColumn("__x", F.col("__x").cast("double")), time_col, own_time, P.partials_for("__x", [s.primitive for s in specs])
+
+
+def _packed_arrays(hist: DataFrame, specs: list[FeatureSpec], keys: list[str]) -> DataFrame:
+    """Arrays rebuilt in order of position from one row per (keys, position)."""
+    entry = F.struct("__pos", *[P.finish("__x", s.primitive).cast("double").alias(f"a{i}") for i, s in enumerate(specs)])
+    packed = hist.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("__arr"))  # as many entries as the arrays have
+    value = lambda i: lambda e: e[f"a{i}"]
+    return packed.select(*keys, *[F.transform("__arr", value(i)).alias(s.name) for i, s in enumerate(specs)])
+
+
+def _array_block(rdb: Rdb, cfg: DfsConfig, specs: list[FeatureSpec], anchors, key_alias: str) -> DataFrame:
+    """G3j: element-wise aggregates of an array column; each position is an accumulator of its own in the slot plan."""
+    rows, time_col, own_time, aggs = _array_rows(rdb, cfg, specs, key_alias)
+    hist = _history(cfg, rows, [key_alias, "__pos"], time_col, anchors, aggs, own_time=own_time)
+    return _packed_arrays(hist, specs, [key_alias, ANCHOR_IDX])
+
+
 def _fill_counts(df: DataFrame, specs: list[FeatureSpec]) -> DataFrame:
     fills = {s.name: 0 for s in specs if (s.kind in ("agg", "where") and s.primitive == "count")}
     return df.fillna(fills) if fills else df
@@ -424,6 +463,9 @@ def _entity_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSp
     for s in specs:
         if s.kind == "mode":
             blocks.append((_mode_block(rdb, cfg, s, anchors, key_alias, carry), [s]))
+    for ss in _by(specs, lambda s: (s.child, s.fk, s.column) if s.kind == "array" else None).values():
+        block = _array_block(rdb, cfg, ss, anchors, key_alias)
+        blocks.append((block if carry is None else block.join(carry, key_alias), ss))
     stacked: dict[tuple, list[FeatureSpec]] = {}
     for s in specs:
         if s.kind == "stacked":
@@ -608,6 +650,13 @@ def _row_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec]
             hist = hist.groupBy(F.col(f"__kv.{key}").alias(key), CUT).agg(
                 F.min_by(F.col("__kv.__v"), F.struct(-F.col("__c"), F.col("__kv.__v"))).alias(s.name))
         out = out.join(hist, [key, CUT], "left")
+    for ss in _by(specs, lambda s: (s.child, s.fk, s.column) if s.kind == "array" else None).values():
+        rows, time_col, own_time, aggs = _array_rows(rdb, cfg, ss, key)
+        ev = rows.withColumn("__kp", F.struct(F.col(key), F.col("__pos"))).drop(key, "__pos")
+        part = cuts.join(rows.select(key, "__pos").distinct(), key).select(F.struct(key, "__pos").alias("__kp"), CUT)
+        hist = _row_history(cfg, part, ev, "__kp", time_col, own_time, [Agg("__any", "count"), *aggs]).where("__any > 0")
+        hist = hist.select(F.col(f"__kp.{key}").alias(key), F.col("__kp.__pos").alias("__pos"), CUT, *[a.name for a in aggs])
+        out = out.join(_packed_arrays(hist, ss, [key, CUT]), [key, CUT], "left")
     for (child, fk), ss in _by(specs, lambda s: (s.child, s.fk) if s.kind == "stacked" else None).items():
         ct = rdb.schema.table(child)
         tcol = ct.time_column if cfg.use_cutoff_time else None
@@ -661,6 +710,9 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
     G17: pass the train spec list again to get the same columns for test rows."""
     cfg = cfg or DfsConfig()
     specs = specs if specs is not None else enumerate_features(rdb.schema, table, cfg)
+    nested = set(s.name for s in specs) - set(s.name for s in drop_nested_arrays(specs))
+    if nested:
+        raise ValueError(f"array aggregates of array aggregates: {sorted(nested)}")
     back = [s for s in specs if s.kind not in ("direct", "parent")]
     ts = F.col(ts_col).cast("timestamp_ntz")
     if anchors is None:

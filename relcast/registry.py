@@ -28,6 +28,7 @@ from .plans.history import Win, window_aggregate
 from .plans.history import Agg, cumulative_aggregate, expand_created
 from .session import ensure_checkpoint_dir
 from .sources import rdb as R
+from .sources import schema as SC
 
 ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
               "pages", "benchmark", "labels", "conversations"]
@@ -529,6 +530,20 @@ def q_link_candidates(spark, sf_dir):
                              dt.timedelta(days=7), dt.timedelta(days=30), voters, f["posts"].select("Id", "CreationDate"))
 
 
+@query("dfs_array_cutoff")
+def q_dfs_array_cutoff(spark, sf_dir):
+    """G3j: element-wise means and extremes of the lines' (quantity, price, discount) vectors, per supplier and anchor."""
+    rdb = AD.tpch(spark, sf_dir)
+    lines = rdb["lineitem"].withColumn("l_vec", F.array("l_quantity", "l_extendedprice", "l_discount"))
+    rdb = rdb.with_tables({"lineitem": lines}, rdb.schema.with_table(
+        rdb.schema.table("lineitem").with_columns([SC.ColumnSchema("l_vec", SC.ARRAY)])))
+    anchors = anchors_for(spark, sf_dir, "shop")
+    tgt = expand_created(rdb["supplier"].select(F.col("s_suppkey").alias("__id")), None, anchors, keep_index=False)
+    cfg = G.DfsConfig(max_depth=1, include_entities=("lineitem",), agg_primitives=("count",), array_primitives=("mean", "max", "min"))
+    out = G.compute_features(rdb, tgt, "supplier", anchors, cfg)
+    return out.select(*[F.transform(F.col(f"`{c}`"), lambda x: F.round(x + F.lit(1e-7), 4)).alias(c) if c.startswith("ARRAY") else F.col(f"`{c}`") for c in out.columns])
+
+
 @query("dfs_key_mappings")
 def q_dfs_key_mappings(spark, sf_dir):
     """Every line with its supplier's and its order's earlier lines, cut off at the line's own date."""

@@ -131,3 +131,60 @@ def test_running_best_keeps_a_row_per_value_and_slot(spark):
     anchors = [T0 + i * DAY for i in range(9)]
     got = [r["__best"].v for r in running_best(ev, ["k"], "v", "t", anchors, strict=True).orderBy("__a").collect()]
     assert got == ["a", "a", "a", "a", "b", "a", "a", "a"]
+
+
+ARRAYS = S.RdbSchema((
+    S.TableSchema("users", (S.ColumnSchema("u", S.PRIMARY_KEY),)),
+    S.TableSchema("items", (S.ColumnSchema("i", S.PRIMARY_KEY), S.ColumnSchema("u", S.FOREIGN_KEY, "users.u"), S.ColumnSchema("t", S.DATETIME),
+                            S.ColumnSchema("v", S.ARRAY)), time_column="t")))
+
+
+@pytest.mark.parametrize("lookback", [None, DAY * 2])
+@pytest.mark.parametrize("anchored", [True, False])
+def test_arrays_by_element_before_the_cutoff(spark, anchored, lookback):
+    items = [(1, 1, T0, [1.0, None, 3.0]), (2, 1, T0 + DAY, [5.0]), (3, 1, T0 + 2 * DAY, None), (4, 2, T0 + DAY, []), (5, 1, T0 + 3 * DAY, [9.0, 2.0])]
+    r = Rdb(spark, {"users": spark.createDataFrame([(1,), (2,)], "u int"), "items": spark.createDataFrame(items, "i int, u int, t timestamp_ntz, v array<double>")}, ARRAYS)
+    cuts = [T0, T0 + DAY, T0 + 2 * DAY, T0 + 9 * DAY]
+    tgt = spark.createDataFrame([(u, c) for u in (1, 2) for c in cuts], "__id int, __timestamp timestamp_ntz")
+    cfg = G.DfsConfig(max_depth=1, agg_primitives=(), array_primitives=("mean", "max"), lookback=lookback)
+    rows = G.compute_features(r, tgt, "users", cuts if anchored else None, cfg).collect()
+    for x in rows:
+        seen = [v for _, u, t, v in items if u == x["__id"] and t < x["__timestamp"] and (lookback is None or t >= x["__timestamp"] - lookback) and v]
+        size = max(map(len, seen), default=0)
+        at = [[v[k] for v in seen if len(v) > k and v[k] is not None] for k in range(size)]
+        assert x["ARRAYMAX(items.v)"] == ([max(c, default=None) for c in at] or None)
+        assert x["ARRAYMEAN(items.v)"] == ([sum(c) / len(c) if c else None for c in at] or None)
+
+
+def test_nested_array_aggregates_are_refused(spark):
+    inner = G.FeatureSpec("ARRAYMEAN(parts.v)", "array", "items", "parts", "i", "v", "mean")
+    nested = G.FeatureSpec("MEAN(items.ARRAYMEAN(parts.v))", "stacked", "users", "items", "u", None, "mean", inner=inner)
+    assert G.drop_nested_arrays([inner, nested]) == [inner]
+    with pytest.raises(ValueError):
+        G.compute_features(rdb(spark), spark.createDataFrame([(1, T0)], "__id int, __timestamp timestamp_ntz"), "users", None, G.DfsConfig(), [nested])
+
+
+def test_entity_versions_as_of_each_row(spark):
+    from relcast.operators.tasks import entity_as_of
+    versions = [(1, T0, "a"), (1, T0 + DAY, None), (1, T0 + 2 * DAY, "c"), (1, T0 + 2 * DAY, "b"), (2, None, "x"), (None, T0, "y")]
+    v = spark.createDataFrame(versions, "k int, since timestamp_ntz, val string")
+    tgt = spark.createDataFrame([(k, T0 + d * DAY) for k in (1, 2, None) for d in range(4)] + [(1, None)], "__id int, __timestamp timestamp_ntz")
+    got = {(r["__id"], r["__timestamp"]): r.val for r in entity_as_of(tgt, v, "k", "since", ["val"]).collect()}
+    assert got == {**{(k, T0 + d * DAY): None for k in (2, None) for d in range(4)}, (1, None): None,
+                   (1, T0): None, (1, T0 + DAY): "a", (1, T0 + 2 * DAY): None, (1, T0 + 3 * DAY): "c"}
+    at = {r["__timestamp"]: r.val for r in entity_as_of(tgt.where("__id = 1"), v, "k", "since", ["val"], closed="right").collect()}
+    assert at[T0] == "a" and at[T0 + 2 * DAY] == "c"
+
+
+def test_several_keys_in_one_call(spark):
+    r = rdb(spark)
+    tgt = spark.createDataFrame([(u, i, T0 + 50 * dt.timedelta(hours=1), "q") for u in (1, 2, 9) for i in (0, 5)], "who int, what int, seen timestamp_ntz, note string")
+    cfg = G.DfsConfig(max_depth=1, agg_primitives=("count",))
+    out = G.compute_dfs_features(r, tgt, {"who": "users.u", "what": "items.i"}, "seen", cfg)
+    assert out.columns[:4] == tgt.columns and out.count() == 6 and {"who.COUNT(items)", "what.COUNT(parts)"} <= set(out.columns)
+    one = G.compute_features(r, tgt.select(F.col("who").alias("__id"), F.col("seen").alias("__timestamp")).distinct(), "users", None, cfg)
+    assert ({(x.who, x["who.COUNT(items)"]) for x in out.collect()} == {(x["__id"], x["COUNT(items)"]) for x in one.collect()})
+    static = G.compute_dfs_features(r, tgt.drop("seen"), {"who": "users.u"}, None, cfg)
+    assert static.columns == ["who", "what", "note", "who.COUNT(items)"] and static.count() == 6
+    with pytest.raises(ValueError):
+        G.compute_dfs_features(r, tgt, {"who": "items.u"}, "seen", cfg)
