@@ -56,12 +56,3 @@ def stacked(prim: str, c: Column) -> Column:
     """Aggregate of an already computed per-row feature (depth >= 2)."""
     return {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max,
             "std": F.stddev_samp, "count": F.count}[prim](c)
-
-
-def approx(prim: str, c: Column) -> Column:
-    """Approximate variants used when ``use_approximate_aggregations``."""
-    if prim == "count_distinct":
-        return F.approx_count_distinct(c)
-    if prim == "median":
-        return F.percentile_approx(c, 0.5)
-    raise ValueError(prim)

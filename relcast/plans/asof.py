@@ -40,6 +40,8 @@ def combine(a: Agg, x: Column, y: Column) -> Column:
         return F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
     if a.kind == "sum":
         return F.coalesce(x + y, x, y)
+    if a.kind == "hll":
+        return F.coalesce(F.hll_union(x, y), x, y)
     if a.kind == "min":
         return F.when(x <= y, x).otherwise(F.coalesce(y, x))
     if a.kind == "max":

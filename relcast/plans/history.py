@@ -41,6 +41,7 @@ SLOT = "__j"
 TS = "__timestamp"
 
 _EPOCH = dt.datetime(1970, 1, 1)
+HLL_BITS = 12  # of a sketch of distinct values: a relative standard error of about 1.6 %
 
 
 def _us(d: dt.datetime) -> int:
@@ -103,8 +104,8 @@ class Win:
 
 @dataclass(frozen=True)
 class Agg:
-    """Decomposable aggregate: kind in count, count_nonnull, sum, min, max, or moments, whose
-    value is a struct (n, mean, m2) with m2 the sum of squared deviations from the mean."""
+    """Decomposable aggregate: kind in count, count_nonnull, sum, min, max, hll (a sketch of the distinct
+    values), or moments, whose value is a struct (n, mean, m2) with m2 the sum of squared deviations from the mean."""
     name: str
     kind: str
     col: str | None = None
@@ -129,6 +130,8 @@ def _partial(a: Agg) -> Column:
         return F.min(c).alias(a.name)
     if a.kind == "max":
         return F.max(c).alias(a.name)
+    if a.kind == "hll":
+        return F.hll_sketch_agg(c.cast("string"), HLL_BITS).alias(a.name)
     raise ValueError(f"unknown aggregate kind {a.kind}")
 
 
@@ -151,6 +154,8 @@ def _merge(a: Agg, c: Column) -> Column:
         return F.min(c)
     if a.kind == "max":
         return F.max(c)
+    if a.kind == "hll":
+        return F.hll_union_agg(c)
     raise ValueError(a.kind)
 
 

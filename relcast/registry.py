@@ -544,6 +544,29 @@ def q_dfs_array_cutoff(spark, sf_dir):
     return out.select(*[F.transform(F.col(f"`{c}`"), lambda x: F.round(x + F.lit(1e-7), 4)).alias(c) if c.startswith("ARRAY") else F.col(f"`{c}`") for c in out.columns])
 
 
+@query("dfs_num_unique")
+def q_dfs_num_unique(spark, sf_dir):
+    """Distinct values seen before each anchor, exactly."""
+    return _customer_features(spark, sf_dir, _cfg(agg_primitives=("num_unique",)))
+
+
+@query("dfs_num_unique_approx")
+def q_dfs_num_unique_approx(spark, sf_dir):
+    """Distinct lines of each supplier before each anchor, exactly and by sketches; the sketch must be within five
+    standard errors (8 %) of the exact count."""
+    rdb = AD.tpch(spark, sf_dir)
+    lines = rdb["lineitem"].withColumn("l_part", F.col("l_partkey").cast("string"))
+    rdb = rdb.with_tables({"lineitem": lines}, rdb.schema.with_table(rdb.schema.table("lineitem").with_columns([SC.ColumnSchema("l_part", "category")])))
+    anchors = anchors_for(spark, sf_dir, "shop")
+    out = expand_created(rdb["supplier"].select(F.col("s_suppkey").alias("__id")), None, anchors, keep_index=False)
+    name = "NUM_UNIQUE(lineitem.l_part)"
+    for approximate, to in ((False, "n_unique"), (True, "sketch")):
+        cfg = G.DfsConfig(max_depth=1, include_entities=("lineitem",), agg_primitives=("num_unique",), use_approximate_aggregations=approximate)
+        specs = [s for s in G.enumerate_features(rdb.schema, "supplier", cfg) if s.name == name]
+        out = G.compute_features(rdb, out, "supplier", anchors, cfg, specs).withColumnRenamed(name, to)
+    return out.select("__id", "__timestamp", "n_unique", (F.abs(F.col("sketch") - F.col("n_unique")) <= F.col("n_unique") * 0.08).alias("within"))
+
+
 @query("dfs_key_mappings")
 def q_dfs_key_mappings(spark, sf_dir):
     """Every line with its supplier's and its order's earlier lines, cut off at the line's own date."""

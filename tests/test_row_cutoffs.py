@@ -188,3 +188,17 @@ def test_several_keys_in_one_call(spark):
     assert static.columns == ["who", "what", "note", "who.COUNT(items)"] and static.count() == 6
     with pytest.raises(ValueError):
         G.compute_dfs_features(r, tgt, {"who": "items.u"}, "seen", cfg)
+
+
+@pytest.mark.parametrize("lookback", [None, DAY])
+@pytest.mark.parametrize("approximate", [False, True])
+def test_distinct_counts_on_both_engines(spark, approximate, lookback):
+    r = rdb(spark, 8)
+    cuts = [T0 + dt.timedelta(hours=h) for h in (0, 20, 48, 200)]
+    tgt = spark.createDataFrame([(u, c) for u in (1, 2, 4) for c in cuts], "__id int, __timestamp timestamp_ntz")
+    cfg = G.DfsConfig(max_depth=1, agg_primitives=("num_unique",), use_approximate_aggregations=approximate, lookback=lookback)
+    items = r["items"].collect()
+    for anchors in (cuts, None):  # few values: the sketches are exact
+        for x in G.compute_features(r, tgt, "users", anchors, cfg).collect():
+            seen = {i.v for i in items if i.u == x["__id"] and i.t < x["__timestamp"] and (lookback is None or i.t >= x["__timestamp"] - lookback)} - {None}
+            assert x["NUM_UNIQUE(items.v)"] == len(seen)
