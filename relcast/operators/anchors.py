@@ -91,3 +91,22 @@ def cached_anchors(snapshots: DataFrame, before, ts_col: str = ANCHOR_COL) -> Da
     from ..functions.timeparts import ts_lit
     return (snapshots.select(F.col(ts_col).cast("timestamp_ntz").alias(ts_col))
             .where(F.col(ts_col) < ts_lit(before)).distinct().orderBy(ts_col))
+
+
+def anchors_plan(rdb: Rdb, today, lookback_days: float | None = None, horizon: dt.timedelta | None = None, data_end=None) -> DataFrame:
+    """B1-B5 as one plan: the anchors of ``make_anchors`` as a frame that starts at the tables' earliest time.
+
+    The earliest time (one row, combined in the scans) is exploded into the closed form's offsets; nothing passes through
+    the driver, and the number of rows is seven per doubling of the span."""
+    micros = lambda x: int((to_datetime(x) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+    day = 86_400_000_000
+    first = earliest_date(rdb).where(F.col("earliest").isNotNull()).select(F.unix_micros(F.col("earliest").cast("timestamp")).alias("first"))
+    i = first.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7 * 20))))  # spacings up to 2^20 days, some 20,000 years back
+    step = F.expr("shiftleft(1L, cast(i div 7 as int))")
+    at = F.lit(micros(today)) - ((step - 1) * 7 + F.expr("i % 7") * step) * F.lit(day)
+    out = i.withColumn("at", at).where(F.col("at") >= F.col("first"))
+    if lookback_days is not None:
+        out = out.where(F.col("at") >= F.lit(micros(today) - round(lookback_days * day)))
+    if horizon is not None and data_end is not None:
+        out = out.where(F.col("at") + F.lit(horizon // dt.timedelta(microseconds=1)) <= F.lit(micros(data_end)))
+    return out.select(F.timestamp_micros("at").cast("timestamp_ntz").alias(ANCHOR_COL))

@@ -74,14 +74,12 @@ def q_earliest_date(spark, sf_dir):
 
 @query("anchor_list")
 def q_anchor_list(spark, sf_dir):
-    anchors = anchors_for(spark, sf_dir, "shop")
-    return A.anchors_frame(spark, anchors, "__timestamp")
+    return A.anchors_plan(AD.shop(spark, sf_dir), AD.SHOP_TODAY)
 
 
 @query("anchors_lookback")
 def q_anchors_lookback(spark, sf_dir):
-    anchors = A.lookback_filter(anchors_for(spark, sf_dir, "shop"), AD.SHOP_TODAY, 365)
-    return A.anchors_frame(spark, anchors, "__timestamp")
+    return A.anchors_plan(AD.shop(spark, sf_dir), AD.SHOP_TODAY, lookback_days=365)
 
 
 # ---------------------------------------------------------------- group D
@@ -934,8 +932,7 @@ def q_cached_anchors(spark, sf_dir):
 @query("anchors_censored")
 def q_anchors_censored(spark, sf_dir):
     """Anchors whose 91-day label window ends inside the data (data end = T)."""
-    anchors = A.censor_filter(anchors_for(spark, sf_dir, "shop"), H, AD.SHOP_TODAY)
-    return A.anchors_frame(spark, anchors, "__timestamp")
+    return A.anchors_plan(AD.shop(spark, sf_dir), AD.SHOP_TODAY, horizon=H, data_end=AD.SHOP_TODAY)
 
 
 def user_churn_code(tables: dict, anchors: list) -> DataFrame:

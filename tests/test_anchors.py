@@ -33,3 +33,18 @@ def test_lookback_and_censor():
     assert all(x >= dt.datetime(2000, 8, 1) for x in lb) and len(lb) == 40
     cz = censor_filter(a, dt.timedelta(days=91), "2001-08-01")
     assert all(x + dt.timedelta(days=91) <= dt.datetime(2001, 8, 1) for x in cz)
+
+
+def test_plan_equals_the_list(spark):
+    import datetime as dt
+
+    from relcast.operators import anchors as A
+    from relcast.sources import schema as S
+    from relcast.sources.rdb import Rdb
+    schema = S.RdbSchema((S.TableSchema("t", (S.ColumnSchema("k", S.PRIMARY_KEY), S.ColumnSchema("at", S.DATETIME)), time_column="at"),))
+    today = dt.datetime(2021, 5, 6, 7, 8, 9, 10)
+    for first in (dt.datetime(1903, 2, 1), dt.datetime(2021, 5, 6, 7, 8, 9, 10), dt.datetime(2020, 12, 31, 23, 59, 59, 999999), dt.datetime(2022, 1, 1), None):
+        rdb = Rdb(spark, {"t": spark.createDataFrame([(1, first), (2, None)], "k int, at timestamp_ntz")}, schema)
+        for more in ({}, {"lookback_days": 365.5}, {"horizon": dt.timedelta(days=30), "data_end": today}):
+            want = A.make_anchors(rdb, today, **more)
+            assert sorted(r[0] for r in A.anchors_plan(rdb, today, **more).collect()) == want
