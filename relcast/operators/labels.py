@@ -141,17 +141,16 @@ def item_churn(shop: Rdb, anchors, horizon: dt.timedelta, polarity: str = "not_e
 def _priced_reviews(shop: Rdb) -> DataFrame:
     # Equi-join on the product key; the planner (AQE) broadcasts the product side
     # only when its measured size is under the broadcast threshold.
-    return shop["review"].join(shop["product"].select("product_id", "price"), "product_id")
+    # Reviews of unknown products stay: they are activity, without a price.
+    return shop["review"].join(shop["product"].select("product_id", "price"), "product_id", "left")
 
 
 def user_ltv(shop: Rdb, anchors, horizon: dt.timedelta) -> DataFrame:
-    """D-3: active customers; label = sum of product prices bought in (t, t+h], 0 if none."""
-    priced = _priced_reviews(shop)
-    base = window_aggregate(shop["review"], ["customer_id"], "review_time", anchors,
-                            [_past(horizon)], [Agg("n", "count")]).select("customer_id", ANCHOR_IDX, TS)
-    fut = window_aggregate(priced, ["customer_id"], "review_time", anchors, [_future(horizon)],
-                           [Agg("s", "sum", "price")]).select("customer_id", ANCHOR_IDX, "future__s")
-    out = base.join(fut, ["customer_id", ANCHOR_IDX], "left").select(
+    """D-3: active customers; label = sum of product prices bought in (t, t+h], 0 if none.
+    Both windows are taken in one pass over the priced reviews."""
+    both = window_aggregate(_priced_reviews(shop), ["customer_id"], "review_time", anchors, [_past(horizon), _future(horizon)],
+                            [Agg("n", "count"), Agg("s", "sum", "price")])
+    out = both.where(F.col("past__n") > 0).select(
         TS, F.col("customer_id").alias(ID), F.coalesce(F.col("future__s"), F.lit(0.0)).alias(LABEL))
     return _semi(out, shop["customer"], "customer_id", ID)
 
@@ -170,13 +169,11 @@ def item_ltv(shop: Rdb, anchors, horizon: dt.timedelta, fill_zero: bool = False)
     return out
 
 
-def _with_empty_anchors(pairs: DataFrame, label_cols: dict, anchors, cand: DataFrame) -> DataFrame:
-    """Anchors without any eligible entity keep one row with a NULL id (left-join
-    semantics).  Presence comes from the candidate frame (scan + explode, reduced
-    map-side to at most one row per anchor and task), not from the label plan."""
-    spark = pairs.sparkSession
-    present = cand.select(TS).distinct()
-    empty = anchors_frame(spark, anchors, TS).join(present, TS, "left_anti")
+def _with_empty_anchors(pairs: DataFrame, label_cols: dict, anchors, created: DataFrame) -> DataFrame:
+    """Anchors without any eligible entity keep one row with a NULL id (left-join semantics): those before the
+    earliest time in ``created`` (one column), a single value combined in the scan."""
+    first = created.agg(F.min(F.col(created.columns[0]).cast("timestamp_ntz"))).scalar()
+    empty = anchors_frame(pairs.sparkSession, anchors, TS).where(F.coalesce(F.col(TS) < first, F.lit(True)))
     fill = empty.select(TS, F.lit(None).cast(pairs.schema[ID].dataType).alias(ID),
                         *[F.lit(v).cast(pairs.schema[c].dataType).alias(c) for c, v in label_cols.items()])
     return pairs.unionByName(fill)
@@ -192,7 +189,7 @@ def post_votes(forum: Rdb, anchors, horizon: dt.timedelta, post_type="O", vote_t
     n = window_distinct_count(votes, "PostId", "Id", "CreationDate", anchors, _future(horizon))
     out = cand.join(n.select(F.col("PostId").alias("Id"), ANCHOR_IDX, "n"), ["Id", ANCHOR_IDX], "left")
     out = out.select(TS, F.col("Id").alias(ID), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias(LABEL))
-    return _with_empty_anchors(out, {LABEL: 0}, anchors, cand)
+    return _with_empty_anchors(out, {LABEL: 0}, anchors, posts.select("CreationDate"))
 
 
 def _created_exists(users: DataFrame, events: DataFrame, user_col: str, time_col: str, anchors,
@@ -207,8 +204,7 @@ def _created_exists(users: DataFrame, events: DataFrame, user_col: str, time_col
 def user_badge(forum: Rdb, anchors, horizon: dt.timedelta) -> DataFrame:
     """D-6: users created <= t; label 1 if at least one badge in (t, t+h]."""
     out = _created_exists(forum["users"], forum["badges"], "UserId", "Date", anchors, horizon)
-    cand = expand_created(forum["users"].select("Id", "CreationDate"), "CreationDate", anchors)
-    return _with_empty_anchors(out, {LABEL: 0}, anchors, cand)
+    return _with_empty_anchors(out, {LABEL: 0}, anchors, forum["users"].select("CreationDate"))
 
 
 def _engagement(forum: Rdb, distinct: bool) -> DataFrame:
