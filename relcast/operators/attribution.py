@@ -72,6 +72,47 @@ def explain(fm: FittedModel, entity: DataFrame, background: DataFrame, n_perm: i
                           F.abs(F.col("contribution")).alias("importance"))
 
 
+def _class_scores(fm: FittedModel, df: DataFrame) -> DataFrame:
+    """The ``__`` columns of ``df`` and ``__f``: the probability of every class, or the prediction alone."""
+    keep = [c for c in df.columns if c.startswith("__")]
+    out = fm.model.transform(fm.pre.transform(df).select(*keep, *_inputs(df, fm.num_cols, fm.cat_cols)))
+    if fm.task == "classification":
+        from pyspark.ml.functions import vector_to_array
+        return out.select(*keep, vector_to_array("probability").alias("__f"))
+    return out.select(*keep, F.array("prediction").alias("__f"))
+
+
+def explain_whole(fm: FittedModel, entity: DataFrame, background: DataFrame, seed: int = 42, cls: int = 1) -> DataFrame:
+    """Attribution over a background of any size: ``feature, contribution, importance``.
+
+    Every background row takes the features of the entity in an order of its own, fixed by a hash of the row, so the
+    work is linear in the rows (one synthetic row per feature and row) and their number takes the place of repeated
+    orders.  A synthetic row's score counts for the feature that has just entered and against the one that enters next;
+    the sums are combined in the tasks, no row meets another.  ``contribution`` is that to class ``cls`` (or to the
+    prediction), ``importance`` the mean of its size over all classes.  For each class the contributions add up to
+    f(x) - mean f(background)."""
+    feats = fm.feature_names
+    q = [F.col(f"`{c}`") for c in feats]
+    rows = entity.select(*q).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("explain needs exactly one entity row (no history or duplicate id)")
+    k = len(feats)
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(i), *q).alias("h"), F.lit(i).alias("i")) for i in range(k)])
+    bg = background.select(*q).withColumn("__order", F.transform(F.array_sort(keys), lambda e: e["i"]))
+    syn = bg.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    syn = syn.withColumns({f: F.when(F.array_position("__order", i) <= F.col("__j"), F.lit(rows[0][f]).cast(background.schema[f].dataType))
+                           .otherwise(F.col(f"`{f}`")) for i, f in enumerate(feats)})
+    scored = _class_scores(fm, syn).select("__order", "__j", F.posexplode("__f").alias("c", "f"))
+    sides = F.array(F.struct(F.get("__order", F.col("__j") - 1).alias("i"), F.col("f").alias("v")),
+                    F.struct(F.get("__order", F.col("__j")).alias("i"), (-F.col("f")).alias("v")))
+    sums = scored.select("c", "__j", F.explode(sides).alias("s")).where("s.i is not null").groupBy("c", "s.i").agg(F.sum("s.v").alias("v"))
+    n = background.agg(F.count(F.lit(1))).scalar()
+    per = sums.select("c", "i", (F.col("v") / n).alias("v"))
+    used = F.lit(cls if fm.task == "classification" else 0)
+    out = per.groupBy("i").agg(F.sum(F.when(F.col("c") == used, F.col("v"))).alias("contribution"), F.avg(F.abs("v")).alias("importance"))
+    return out.select(F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("i") + 1).alias("feature"), "contribution", "importance")
+
+
 def additivity_gap(fm: FittedModel, entity: DataFrame, background: DataFrame, attribution: DataFrame,
                    cls: int | None = None) -> float:
     """Built-in check: sum of contributions - (f(x) - mean f(background)) (should be ~0)."""

@@ -775,16 +775,14 @@ def q_predict_ltv(spark, sf_dir):
 
 @query("explain_top_features")
 def q_explain_top_features(spark, sf_dir):
-    """Permutation attribution of the churn prediction of the customer with
+    """Permutation attribution, over all training rows, of the churn prediction of the customer with
     the highest predicted churn probability (ties: smallest id); top 10 features."""
     shop, spec = _churn_spec(spark, sf_dir)
     ans = PQ.answer(shop, spec)
     best = M.format_predictions(ans.predictions, "classification").orderBy(
         F.col("y_prob").desc(), F.col("__id")).first()["__id"]
     entity = X.entity_row(ans.test, best)
-    background = C.cap_rows(ans.train, 40, ["__id", "__timestamp"])
-    imp = X.explain(ans.model, entity, background, n_perm=6)
-    return M.top_k_features(imp, 10)
+    return M.top_k_features(X.explain_whole(ans.model, entity, ans.train), 10)
 
 
 @query("holdout_validation")
