@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_table, table
+from .common import prepare_packed, shared_table, table
 
 SEGMENT_ROWS, SEGMENT_BYTES = 4096, 1 << 20
 BLANK_SPACE = " \t\n\v\f\r"
@@ -428,5 +428,5 @@ def repair_conversations(rows: DataFrame) -> DataFrame:
 
 def op12_conv_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage of every conversation, and its cheapest repair."""
-    prepare(spark)
+    prepare_packed(spark)
     return repair_conversations(damage(table(spark, sf_dir, "conversations")))

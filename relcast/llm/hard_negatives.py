@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_table, table
+from .common import prepare_packed, shared_table, table
 
 PAGE, BLOCK = 1024, 64  # candidates of a page, and of a block with a zone map of its own
 GROUP = 256  # anchors tested and scored together
@@ -356,7 +356,7 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten hard negatives of each of five positives of every vec_id divisible by 100."""
-    prepare(spark)
+    prepare_packed(spark)
     return mine(table(spark, sf_dir, "embeddings"))
 
 

@@ -12,8 +12,10 @@ is every document's component under these links.
    n // 5 + 1 pivots: the set is replicated to just these cells, and every linked pair meets in one.  Any
    order is right; frequent shingles (found in a part of the corpus, kept in a Bloom filter of fixed size) come
    last, so a passage that many documents share makes no cell of its own unless it makes up most of a text.
-3. Inside a cell the smallest node is the pivot document, and each member is compared with it: linear in the
-   cell.  Then components are formed, and only cells whose other members are still in different components go on.
+3. Inside a cell the pivot document is the member whose prefix meets most other members on average (ties by the content's
+   signature, never by id), and each member is compared with it: linear in the cell.  Then components are formed.  In
+   cells that still hold several, the most central member outside the pivot's component is the next pivot, and so on as
+   long as a round finds links (STARS rounds at most; what they leave is joined by the next step, so nothing is lost).
 4. Small cells compare the pairs that are in different components.  Large cells with the same pivot document are
    one region, that document's.  A region that is still large is cut again: its members' distances to a new pivot
    document make rings of width 0.2, a member is replicated from its ring to the next (the triangle-inequality
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import drop_shared, prepare, shared_table, table
+from .common import Scratch, prepare, shared_table, table
 from .components import components
 from .shingles import distinct_per_row, list_column, mix, shingle_hashes
 
@@ -47,7 +49,9 @@ NEAR_SIZE = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 HOT_PART, HOT_COUNT = 16, 3  # shingles of 3 texts in one sixteenth of the corpus count as frequent
 HOT_KEYS = 2_000_000  # the count is doubled until no more shingles than this are frequent
 LARGE = 128  # members of a cell above which its pivot document's region takes its place
+TASK_PAIRS = 20_000  # pairs that one task compares
 CUT = 4096  # members of a region above which it is cut into rings
+STARS = 2  # further rounds of pivot documents before pairs are made; each reads the texts of its members once more
 
 
 def _pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,19 +103,24 @@ def frequent_shingles(picked: DataFrame) -> np.ndarray | None:
     least = HOT_COUNT
     while (keys := often.where(F.col("count") >= least).count()) > HOT_KEYS:
         least *= 2
-    return bloom.build(often.where(F.col("count") >= least), "cell") if keys else None
+    return bloom.build(often.where(F.col("count") >= least), "cell", keys) if keys else None
 
 
 def whole_sets(picked: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """(id, h) with all shingles of the documents in ``ids`` (and a few more: a Bloom filter picks them)."""
-    wanted = picked.sparkSession.sparkContext.broadcast(bloom.build(ids, col))
+    """(id, h) with all shingles of the documents in ``ids``, and perhaps a few more: a Bloom filter picks them in the
+    scan as long as one can hold the ids, a semi-join beyond."""
+    n = ids.count()
+    if n > bloom.MOST_KEYS:
+        picked, n = picked.join(ids.select(F.col(col).alias("id")), "id", "left_semi"), 0
+    wanted = picked.sparkSession.sparkContext.broadcast(bloom.build(ids, col, n) if n else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wanted.value
         for b in batches:
             b = b.filter(pa.array(b.column("id").is_valid()))
-            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            b = b.filter(pa.array(bloom.contains(words, ids)))
+            if words is not None:
+                ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                b = b.filter(pa.array(bloom.contains(words, ids)))
             if b.num_rows:
                 h, r = distinct_per_row(*shingle_hashes(b.column("t")))
                 yield pa.RecordBatch.from_arrays([b.column("id"), list_column(h, r, b.num_rows)], ["id", "h"])
@@ -141,12 +150,18 @@ def _sift(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(_may_link()).select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("k"))
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """As many tasks as the rows are worth: the tables of late rounds are small."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_PAIRS))
+
+
 def _compare(picked: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) -> a, b, na, nb, common, by whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    n = pairs.count()
+    ends = shared_table(_few(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n), "ends")
     sets = shared_table(whole_sets(picked, ends, "id").withColumnRenamed("id", "node").withColumn("n", F.size("h").cast("long")), "sets")
-    return shared_table(_both(pairs.select("a", "b"), sets, {"n": "n", "h": "h"})
-                        .select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("common")), "compared")
+    both = _both(pairs.select("a", "b"), sets, {"n": "n", "h": "h"})
+    return shared_table(_few(both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("common")), n), "compared")
 
 
 def _labelled(df: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
@@ -211,52 +226,79 @@ def _region_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """region, pivot, last: of the members (region, node, weight, sign) the one with the greatest weight, and another if there is one."""
+    rank = F.struct("weight", "sign", "node")
+    return members.groupBy("region").agg(F.max(rank).alias("p"), F.min(rank).alias("l")).where("p.node != l.node").select("region", F.col("p.node").alias("pivot"))
+
+
+def _star(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, k): pivots of the regions with the members that sizes and prefixes allow to link."""
+    pairs = members.join(_pivots(members), "region").where("node != pivot")
+    return shared_table(_sift(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes), "star")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    picked = _pick(docs, id_col, text_col)
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_near_components(_pick(docs, id_col, text_col), rounds), "near-components")
+
+
+def _near_components(picked: DataFrame, rounds: int) -> DataFrame:
     sets = shared_table(shingle_sets(picked, frequent_shingles(picked)), "shingle-sets")
     key = ["s1", "s2", "n"]
     classes = sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("node"))
     classes = shared_table(classes, "classes")
     nodes = (sets.where("n > 0").withColumnRenamed("id", "node").join(classes, [*key, "node"], "left_semi")
-             .select("node", "n", "prefix", "last_often", "last"))
+             .select("node", "n", "prefix", "last_often", "last", F.col("s1").alias("sign")))
     nodes = shared_table(nodes, "nodes")
 
-    cells = nodes.select("node", F.explode("prefix").alias("region"))
-    shared = cells.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last")
-    members = shared_table(cells.join(shared.select("region", "pivot"), "region"), "members")
-    star = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = shared_table(_sift(star, nodes), "star")
+    cells = nodes.select("node", "n", "sign", F.explode("prefix").alias("region"))
+    sizes = cells.groupBy("region").agg(F.count(F.lit(1)).alias("others")).where("others > 1").withColumn("others", F.col("others") - 1)
+    members = shared_table(cells.join(sizes, "region"), "cells")
+    # how many other members each pivot shingle of a node meets, on average over its window
+    weight = members.groupBy("node").agg((F.sum("others") / F.expr("any_value(n) div 5 + 1")).alias("weight"))
+    members = shared_table(members.join(weight, "node").select("region", "node", "weight", "sign"), "members")
+    star = _star(members, nodes)
 
     # each node's most promising pivot first; what these links join needs no further comparison
     best = star.groupBy("b").agg(F.max_by("a", "k").alias("a")).select("a", "b")
     links = _links(_compare(picked, best))
     labels = components(links)
-    left = _open_pairs(star.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
-    left = shared_table(left, "open")
-    if not left.isEmpty():
-        links = links.unionByName(_links(_compare(picked, left)))
-        labels = components(links)
 
-    # cells whose members other than the pivot are in different components: small ones compare their open pairs,
-    # large ones with the same pivot document become its region
-    def compare_open(found: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def compare_open(found: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         pairs = shared_table(found, "pairs")
         if pairs.isEmpty():
-            return links, labels
-        links = links.unionByName(_links(_compare(picked, pairs)))
-        return links, components(links)
-
-    mixed = shared_table(_mixed(members.where("node != pivot"), labels), "mixed")
+            return links, labels, False
+        new = _links(_compare(picked, pairs))
+        links = links.unionByName(new)
+        return links, components(links), not new.isEmpty()
+
+    links, labels, _ = compare_open(_open_pairs(star.join(best, ["a", "b"], "left_anti").select("a", "b"), labels), links, labels)
+
+    # cells whose members are in different components: the next pivot is the most central member outside its component
+    pivots = _pivots(members)
+    mixed = shared_table(_mixed(members.join(pivots, "region"), labels), "mixed")
+    left, more, round_ = mixed, not mixed.isEmpty(), 0
+    while more and round_ < STARS:
+        of = _labelled(left.select("region", "node", "weight", "sign", "pivot"), labels, "node", "label")
+        of = _labelled(of, labels, "pivot", "own").where("label != own").select("region", "node", "weight", "sign")
+        left = shared_table(of.join(_pivots(of), "region"), "open")
+        rest = left.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        links, labels, more = compare_open(_open_pairs(_sift(rest, nodes).select("a", "b"), labels), links, labels)
+        round_ += 1
+
+    # what is left: small cells compare their open pairs, large ones with the same pivot document become its region
+    mixed = shared_table(_mixed(mixed.where("node != pivot").select("region", "node", "pivot"), labels), "mixed")
     large = mixed.where(F.col("size") > LARGE)
     regions = shared_table(large.select(F.col("pivot").alias("region"), "node").distinct(), "regions")
-    links, labels = compare_open(_cell_pairs(mixed.where(F.col("size") <= LARGE), nodes), links, labels)
+    links, labels, _ = compare_open(_cell_pairs(mixed.where(F.col("size") <= LARGE), nodes), links, labels)
     depth = 0
     while not regions.isEmpty():
         mixed = shared_table(_mixed(regions, labels), "mixed")
         cut = mixed.where(F.col("size") > CUT).select("region", "node") if depth < rounds else mixed.limit(0)
         again = not cut.isEmpty()
-        links, labels = compare_open(_region_pairs(mixed.where(F.col("size") <= CUT) if depth < rounds else mixed, nodes), links, labels)
+        links, labels, _ = compare_open(_region_pairs(mixed.where(F.col("size") <= CUT) if depth < rounds else mixed, nodes), links, labels)
         if not again:
             break
         found, regions = _cut(picked, cut, depth)
