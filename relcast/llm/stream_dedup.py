@@ -106,12 +106,12 @@ def resolve(spark: SparkSession, source: str, state: str, id_col: str = "doc_id"
             digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest of every row that ``state`` has seen."""
     groups = shared_table(retained(spark, state), "retained")
-    hits = groups.where("rows > 1").select("digest")
+    hits = groups.where("rows > 1").select("digest", "rows")
     full = _rows(spark.read.parquet(source).select(f"`{id_col}`", f"`{text_col}`"), id_col, text_col, digest)
     # Spark tests each scanned row against a Bloom filter of the hits, so few texts of other rows are shuffled
     with _settings(spark, {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
                            "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1p"}):
-        contents = shared_table(full.join(hits, "digest", "left_semi").groupBy("digest", "content")
+        contents = shared_table(join_counted(full, hits, "digest", "rows").groupBy("digest", "content")
                                 .agg(F.count(F.lit(1)).alias("rows"), F.max("place").alias("keep")).drop("content"), "contents")
     several = shared_table(contents.groupBy("digest").count().where("count > 1").select("digest"), "collisions")
     rows = spark.read.schema(f"{DIGESTS}, batch bigint").parquet(f"{state}/digests").select("digest", "place")
