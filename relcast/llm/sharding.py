@@ -17,10 +17,11 @@ are interchangeable.  An empty table gives no rows.  Fewer rows than shards leav
 some shards empty.  Extra columns are ignored.
 
 ``stream_manifest`` shards rows that already come in an order, such as the mixed stream of
-operator 10: it deals them out in turn, so that every shard's slots follow the stream and
-its weights, and a source's blocks of as many rows as there are shards give each shard one
-row.  The order is that of the Parquet files (by part number, then path) and of the rows in
-them; a histogram over the files is all that is needed to count places.
+operator 10, by the same method: a row's place in the stream takes the place of the seeded
+hash, so fractional ranks within a source follow the stream, every shard matches the mixture,
+and a shard's slots keep the stream's order and so its weights.  The stream's order is that of
+the Parquet files (by part number, then path) and of the rows in them; a histogram over the
+files is all that is needed to count places.
 """
 
 from __future__ import annotations
@@ -57,10 +58,21 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
     """id, size, text_crc32, source, position (from 0), shard, slot for every row."""
     rows = docs.select(*_fields(id_col, source_col, text_col))
     total = docs.count()
-    # buckets of about sqrt(rows): neither a bucket nor the list of buckets becomes one task's burden
-    buckets = max(1, -(-total // (rows_per_bucket or max(LEAST_BUCKET, math.isqrt(total)))))
+    buckets = _buckets(total, rows_per_bucket)
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
     rows = rows.withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
+    return (_stratified(rows, total, buckets, shards)
+            .select("doc_id", "size", "text_crc32", F.when(~F.col("no_source"), F.col("source")).alias("source"),
+                    "position", "shard", "slot"))
+
+
+def _buckets(total: int, rows_per_bucket: int | None = None) -> int:
+    """Buckets of about sqrt(rows): neither a bucket nor the list of buckets becomes one task's burden."""
+    return max(1, -(-total // (rows_per_bucket or max(LEAST_BUCKET, math.isqrt(total)))))
+
+
+def _stratified(rows: DataFrame, total: int, buckets: int, shards: int) -> DataFrame:
+    """Rows (``_fields``, their order ``h`` and its bucket ``b``) with position, shard and slot in the order of fractional ranks."""
     # order within a source: (b, h, doc_id, ...): any order that the seed fixes will do
     key = ["source", "no_source"]
     per = rows.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("n"))
@@ -69,7 +81,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
     in_bucket = Window.partitionBy(*key, "b").orderBy("h", "doc_id", "text_crc32", "size")
     ranked = rows.withColumn("k", F.row_number().over(in_bucket)).join(hist, [*key, "b"])
     ranked = ranked.withColumn("f", (F.col("before") + F.col("k") - F.lit(0.5)) / F.col("of"))
-    ranked = ranked.withColumn("g", F.least(F.floor(F.col("f") * buckets), F.lit(buckets - 1))).drop("before", "k", "of", "b")
+    ranked = ranked.withColumn("g", F.least(F.floor(F.col("f") * buckets), F.lit(buckets - 1))).drop("before", "k", "of")
     # the slices' sizes follow from the source sizes alone: count of k with floor((k - 1/2) / n * G) = g
     slices = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     start = _offsets(slices, [], "g").drop("n") if buckets > 1 else slices.select("g", F.lit(0).alias("before"))
@@ -78,9 +90,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
     placed = placed.withColumn("position", F.col("before") + F.col("k") - 1)
     shard = F.expr(f"cast((position * {shards}) div {max(total, 1)} as int)")
     first = F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")
-    return (placed.withColumn("shard", shard).withColumn("slot", F.col("position") - first)
-            .select("doc_id", "size", "text_crc32", F.when(~F.col("no_source"), F.col("source")).alias("source"),
-                    "position", "shard", "slot"))
+    return placed.withColumn("shard", shard).withColumn("slot", F.col("position") - first)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +103,8 @@ def shard_manifest(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFram
 
 
 def stream_manifest(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """The manifest of rows dealt out in the order of ``docs``' Parquet files; of rows without files, ``shard_manifest``."""
+    """The manifest of rows that come in the order of ``docs``' Parquet files, ``position`` being the place in that order;
+    of rows without files, ``shard_manifest``."""
     try:
         rows = docs.select(*_fields(), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     except AnalysisException:
@@ -101,8 +112,15 @@ def stream_manifest(docs: DataFrame, shards: int = 16) -> DataFrame:
     part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
     files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("order", F.struct(part.alias("part"), "file"))
     start = _offsets(files, [], "order").select("file", "before")
-    placed = rows.join(start, "file").withColumn("position", F.col("before") + F.col("at"))
-    placed = placed.withColumn("shard", (F.col("position") % shards).cast("int")).withColumn("slot", F.expr(f"position div {shards}"))
+    total = docs.count()
+    buckets = _buckets(total)
+    rows = rows.join(start, "file").withColumn("h", F.col("before") + F.col("at")).drop("file", "before", "at")
+    rows = rows.withColumn("b", F.expr(f"h * {buckets} div {max(total, 1)}"))
+    placed = _stratified(rows, total, buckets, shards).drop("slot", "before", "k").withColumn("position", F.col("h"))
+    # slots: the shard's rows in the order of the stream, counted bucket by bucket
+    hist = _offsets(placed.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("n")), ["shard"], "b").drop("n")
+    place = F.row_number().over(Window.partitionBy("shard", "b").orderBy("h"))
+    placed = placed.withColumn("k", place).join(hist, ["shard", "b"]).withColumn("slot", F.col("before") + F.col("k") - 1)
     return _manifest(placed.withColumn("source", F.when(~F.col("no_source"), F.col("source"))))
 
 

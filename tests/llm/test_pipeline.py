@@ -49,6 +49,20 @@ def test_mixing_decides_the_shards(sp):
     assert all(places[x] != places[y] for x in names for y in names if x < y)
 
 
+def test_shards_are_equal_cuts_of_the_fractional_ranks(sp):
+    """Against the method itself: row k of a source's n rows, in the stream's order, has the rank (k - 1/2) / n; shards are
+    equal cuts of all rows by that rank, and a shard's slots keep the order of the stream."""
+    for weights in (None, {"a": 1, "b": 9}):
+        got, _ = manifest(sp, sourced(), weights)
+        rows = got.sort_values("position").assign(source=lambda d: d.source.fillna("none")).reset_index(drop=True)
+        of = rows.groupby("source")
+        rows["f"] = (of.cumcount() + 0.5) / of["position"].transform("size")
+        cuts = [rows[rows.shard == s].f for s in range(16)]
+        assert all(x.max() <= y.min() for x, y in zip(cuts, cuts[1:]))
+        for _, g in rows.groupby("shard"):
+            assert g.sort_values("slot").position.is_monotonic_increasing
+
+
 def test_sharding_of_rows_without_files(sp):
     got = corpus_pipeline.sharding(sp, sp.createDataFrame(sourced(50), DOC), "").toPandas()
     assert sorted(got.position) == list(range(50))
