@@ -757,6 +757,14 @@ def _cuts(out: DataFrame, key: str) -> DataFrame:
     return materialize(out.select(key, CUT).where(F.col(key).isNotNull() & F.col(CUT).isNotNull()).distinct())
 
 
+def _steps(feats: DataFrame, key: str, values: list) -> DataFrame:
+    """(key, ``__steps``): of a key's rows, one per anchor from its first on, those that differ from the row before, in order
+    of the anchors, as (anchor index, v = the values)."""
+    rows = feats.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ANCHOR_IDX, F.struct(*values).alias("v")))).alias("__rows"))
+    changed = F.filter("__rows", lambda e, i: ~e["v"].eqNullSafe(F.get("__rows", i - 1)["v"]) | (i == 0))
+    return rows.select(key, changed.alias("__steps"))
+
+
 def _parent_aggregates(rdb: Rdb, cfg: DfsConfig, out: DataFrame, table: str, specs: list[FeatureSpec], anchors, id_col: str) -> DataFrame:
     """G2 over G1: what a target row's parent has done by the row's cutoff (forward along the FK, then backward), e.g.
     ``customer.MEAN(orders.o_totalprice)`` of an order.  NULL where the row has no parent; counts of a parent without
@@ -764,12 +772,22 @@ def _parent_aggregates(rdb: Rdb, cfg: DfsConfig, out: DataFrame, table: str, spe
     pk = rdb.schema.table(table).primary_key
     for i, (fk, ss) in enumerate(_by(specs, lambda s: s.fk).items()):
         key, at = f"__fk{i}", ANCHOR_IDX if anchors is not None else CUT
-        out = out.join(rdb[table].select(F.col(pk).alias(id_col), F.col(fk).alias(key)), id_col, "left")
+        rows = rdb[table].select(F.col(pk).alias(id_col), F.col(fk).alias(key))
         inner = [s.inner for s in ss]
-        feats = (_entity_features(rdb, cfg, ss[0].child, inner, anchors, key) if anchors is not None
-                 else _row_features(rdb, cfg, ss[0].child, inner, _cuts(out, key), key))
-        feats = feats.select(key, at, *[F.col(f"`{s.inner.name}`").alias(s.name) for s in ss])
-        out = out.join(feats, [key, at], "left")
+        if anchors is not None and cfg.lookback is None and all(s.kind in ("agg", "where", "mode", "unique") for s in inner):
+            # values that stay until the next change: a row gets its parent's few changes, whatever the number of its anchors
+            feats = _entity_features(rdb, cfg, ss[0].child, inner, anchors, key)
+            steps = _steps(feats, key, [F.col(f"`{s.inner.name}`").alias(f"f{j}") for j, s in enumerate(ss)])
+            out = out.join(rows.join(steps, key, "left").hint("shuffle_hash"), id_col, "left")
+            now = F.try_element_at(F.filter("__steps", lambda e: e[ANCHOR_IDX] <= F.col(ANCHOR_IDX)), F.lit(-1))
+            out = out.withColumn("__now", now).select(*[F.col(f"`{c}`") for c in out.columns if c != "__steps"],
+                                                      *[F.col(f"__now.v.f{j}").alias(s.name) for j, s in enumerate(ss)])
+        else:
+            out = out.join(rows, id_col, "left")
+            feats = (_entity_features(rdb, cfg, ss[0].child, inner, anchors, key) if anchors is not None
+                     else _row_features(rdb, cfg, ss[0].child, inner, _cuts(out, key), key))
+            feats = feats.select(key, at, *[F.col(f"`{s.inner.name}`").alias(s.name) for s in ss])
+            out = out.join(feats, [key, at], "left")
         counts = {s.name: F.when(F.col(key).isNotNull(), F.coalesce(F.col(f"`{s.name}`"), F.lit(0))) for s in ss if _countlike(s.inner)}
         out = out.withColumns(counts).drop(key)
     return out

@@ -118,3 +118,21 @@ def test_shuffles_follow_the_input(spark):
     finally:
         for n, v in zip(names, before):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_rows_at_anchors_are_not_moved_to_their_parents(spark):
+    """60 orders at 29 anchors are 1,740 rows; each order meets its user's changes before it becomes a row per anchor."""
+    orders = [(k, k % 3 if k % 7 else None, k % 11) for k in range(60)]
+    rdb = shop(spark, orders, [], [])
+    cfg = G.DfsConfig(max_depth=2, direct_aggregates=True, agg_primitives=("count",), include_entities=("users", "orders"))
+    specs = [s for s in G.enumerate_features(SCHEMA, "orders", cfg) if s.kind == "parent"]
+    tgt = expand_created(rdb["orders"].repartition("o").selectExpr("o AS __id", "ot"), "ot", ANCHORS, keep_index=False).drop("ot")
+    out = G.compute_features(rdb, tgt, "orders", ANCHORS, cfg, specs)
+    rows = out.collect()
+    of = {o: u for o, u, _ in orders}
+    assert len(rows) == sum(29 - max(0, d - 1) for _, _, d in orders)
+    for r in rows:
+        u = of[r[S.ID]]
+        want = None if u is None else sum(1 for _, v, d in orders if v == u and DAY + dt.timedelta(days=d) < r[TS])
+        assert r["users.COUNT(orders)"] == want
+    assert max(shuffled(out)) <= 3 * 29
