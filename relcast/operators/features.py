@@ -25,7 +25,7 @@ import datetime as dt
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import primitives as P
 from ..functions.timeparts import datetime_part, epoch_nanos
@@ -552,7 +552,8 @@ def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[Fe
 
     Only the changes of a child's features are shuffled, to the piece of its parent (``_pieces``): a row per
     child and anchor exists between the running window and the partial aggregate of one task alone.  Features
-    of different edges need not meet per child, so their rows are aggregated side by side."""
+    of different edges need not meet per child, so their rows are aggregated side by side (but for children whose key
+    repeats)."""
     child_t = rdb.schema.table(child)
     tcol = child_t.time_column
     if not (cfg.use_cutoff_time and tcol and cfg.lookback is None):
@@ -564,9 +565,16 @@ def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[Fe
     carry = _pieces(rdb[child].where(F.col(tcol).isNotNull() & F.col(fk).isNotNull())
                     .select(F.col(cpk).alias("__ck"), F.col(fk).alias(key_alias),
                             first_anchor_index(F.col(tcol), anchors, strict).alias("__cidx")), key_alias, "__ck")
+    edges = {(f.kind, f.child, f.fk, _source_chain(f)) for f in inner}
+    again = None
+    if len(edges) > 1:  # rows of a child whose key repeats do meet: each row of one edge with each of another
+        copies = carry.where(F.col("__ck").isNotNull()).withColumn("__copies", F.count(F.lit(1)).over(Window.partitionBy("__ck")))
+        carry, again = copies.where("__copies = 1").drop("__copies"), copies.where("__copies > 1").drop("__copies")
+    blocks = _entity_blocks(rdb, cfg, child, inner, anchors, "__ck", carry)
+    if again is not None:
+        blocks.append((_entity_features(rdb, cfg, child, inner, anchors, "__ck", again), inner))
     blocks = [_fill_counts(b, ss).where(F.col(ANCHOR_IDX) >= F.col("__cidx"))
-              .select(key_alias, ANCHOR_IDX, *[F.col(f"`{s.name}`") for s in ss])
-              for b, ss in _entity_blocks(rdb, cfg, child, inner, anchors, "__ck", carry)]
+              .select(key_alias, ANCHOR_IDX, *[F.col(f"`{s.name}`") for s in ss]) for b, ss in blocks]
     inner_df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
     aggs = []
     for i, s in enumerate(specs):
