@@ -58,19 +58,28 @@ def time_micros(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def bisect_expr(x: Column, cuts: list[int], side: str = "left") -> Column:
+def bisect_expr(x: Column, cuts: list, side: str = "left", lit=F.lit) -> Column:
     """Number of ``cuts`` < x (side='left') or <= x (side='right'), as a balanced
-    CASE tree of depth log2(len(cuts)).  ``cuts`` must be sorted."""
+    CASE tree of depth log2(len(cuts)).  ``cuts`` must be sorted; ``x`` should be a plain
+    column, as an expression would be made again in every node of the tree."""
     def build(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        c = F.lit(cuts[mid])
+        c = lit(cuts[mid])
         cond = (x <= c) if side == "left" else (x < c)
         return F.when(cond, build(lo, mid)).otherwise(build(mid + 1, hi))
     return build(0, len(cuts))
 
 
+def bisect_time(t: Column, cuts: list[int], side: str = "left") -> Column:
+    """``bisect_expr`` of a time among epoch microseconds.
+
+    Times are compared with times: converting ``t`` in every node made methods of more than 8,000 bytes, which the JVM
+    does not compile, so that whole stages were interpreted."""
+    return bisect_expr(t, cuts, side, lambda us: ts_lit(_EPOCH + dt.timedelta(microseconds=us)))
+
+
 def _int_array(values: list) -> Column:
     return F.array(*[F.lit(v).cast("int") if v is not None else F.lit(None).cast("int") for v in values])
 
@@ -217,7 +226,7 @@ def window_aggregate(events: DataFrame, keys: list[str], time_col: str, anchors,
         ev = ev.where(t <= ts_lit(hi_ts) if closed == "right" else t < ts_lit(hi_ts))
 
     side = "left" if closed == "right" else "right"
-    ev = ev.withColumn(SLOT, bisect_expr(time_micros(t), cuts, side))
+    ev = ev.withColumn(SLOT, bisect_time(t, cuts, side))
     amin_arr, amax_arr = _int_array(amin), _int_array(amax)
     ev = ev.where(F.element_at(amin_arr, F.col(SLOT) + 1).isNotNull())
 
@@ -251,13 +260,13 @@ def window_aggregate(events: DataFrame, keys: list[str], time_col: str, anchors,
 def first_anchor_index(time: Column, anchors: list, strict: bool = False) -> Column:
     """Index of the first anchor t with time <= t (strict=False) or time < t (strict=True)."""
     cuts = [_us(a) for a in anchors]
-    return bisect_expr(time_micros(time), cuts, "right" if strict else "left")
+    return bisect_time(time, cuts, "right" if strict else "left")
 
 
 def last_anchor_index(time: Column, span: dt.timedelta, anchors: list, strict: bool = False) -> Column:
     """Index of the last anchor t with time > t - span (strict: time >= t - span); -1 if none."""
-    cuts = [_us(a) for a in anchors]
-    return bisect_expr(time_micros(time) + F.lit(_td_us(span)), cuts, "right" if strict else "left") - 1
+    cuts = [_us(a) - _td_us(span) for a in anchors]
+    return bisect_time(time, cuts, "right" if strict else "left") - 1
 
 
 def cumulative_aggregate(events: DataFrame, keys: list[str], time_col: str, anchors,
@@ -388,18 +397,17 @@ def expand_to_anchors(df: DataFrame, time_col: str, anchors, window: Win,
     m = len(anchors)
     t = F.col(time_col)
     a_us = [_us(a) for a in anchors]
-    x = time_micros(t)
     # closed right: t+start < x <= t+end  <=>  x - end <= t < x - start
     if window.end is None:
         lo_idx = F.lit(0)
     else:
         shifted = [u + _td_us(window.end) for u in a_us]  # t+end >= x  (right) / t+end > x (left)
-        lo_idx = bisect_expr(x, shifted, "left" if closed == "right" else "right")
+        lo_idx = bisect_time(t, shifted, "left" if closed == "right" else "right")
     if window.start is None:
         hi_idx = F.lit(m - 1)
     else:
         shifted = [u + _td_us(window.start) for u in a_us]  # t+start < x (right) / t+start <= x (left)
-        hi_idx = bisect_expr(x, shifted, "left" if closed == "right" else "right") - 1
+        hi_idx = bisect_time(t, shifted, "left" if closed == "right" else "right") - 1
     base = df.where(t.isNotNull()).withColumn("__lo", lo_idx).withColumn("__hi", hi_idx)
     base = base.where(F.col("__lo") <= F.col("__hi"))
     out = base.withColumn(ANCHOR_IDX, F.explode(F.sequence(F.col("__lo"), F.col("__hi")))).drop("__lo", "__hi")
