@@ -1,10 +1,13 @@
 """What tasks and shuffles hold must follow from the rows, not from rows x anchors or from a fixed number of partitions."""
 
 import datetime as dt
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from relcast.operators import features as G
+from relcast.operators import sampling as C
 from relcast.plans.history import TS, expand_created
 from relcast.session import ADVISORY_BYTES, INPUT_BYTES, size_shuffles
 from relcast.sources import schema as S
@@ -136,3 +139,42 @@ def test_rows_at_anchors_are_not_moved_to_their_parents(spark):
         want = None if u is None else sum(1 for _, v, d in orders if v == u and DAY + dt.timedelta(days=d) < r[TS])
         assert r["users.COUNT(orders)"] == want
     assert max(shuffled(out)) <= 3 * 29
+
+
+def method_sizes(capsys, df):
+    """Bytes of the largest method of each generated class of the finished plan."""
+    df.collect()
+    capsys.readouterr()
+    df.explain("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+
+
+def test_sampling_is_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes; 59 anchors are as many as the tables have."""
+    anchors = [DAY + dt.timedelta(days=d) for d in range(59)]
+    at = "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, cast(id % 50 as int))"
+    posts = spark.range(200).selectExpr("id AS i", "id % 3 AS o", "double(id) AS x", f"{at} AS it")
+    cands = expand_created(posts, "it", anchors).select(TS, "i", "o", "x")
+    out = C.placeholder_label(C.proportional_sample(cands, "i", 0.3), "i")
+    n = {a: sum(1 for k in range(200) if k % 50 <= d) for d, a in enumerate(anchors)}
+    assert {r[TS]: r["n"] for r in out.groupBy(TS).agg(F.count("i").alias("n")).collect()} == {a: int(k * 0.3 + 0.5) for a, k in n.items()}
+    sizes = method_sizes(capsys, out)
+    assert sizes and max(sizes) < 8000
+
+
+def test_features_of_several_keys_are_compiled(spark, capsys):
+    anchors = [DAY + dt.timedelta(days=d) for d in range(59)]
+    orders = [(k, k % 3, k % 11) for k in range(40)]
+    rdb = shop(spark, orders, [(k % 40, 1.0, k % 13) for k in range(80)], [])
+    out = expand_created(rdb["orders"], "ot", anchors).select(TS, F.col("u").alias("who"), F.col("o").alias("what"))
+    for key, table, child in (("who", "users", "orders"), ("what", "orders", "items")):
+        cfg = G.DfsConfig(max_depth=1, agg_primitives=("count",), include_entities=(child,))
+        out = G.compute_features(rdb, out, table, anchors, cfg, id_col=key)
+    days = {o: d for o, _, d in orders}
+    for r in out.collect():
+        d = (r[TS] - DAY).days
+        assert r["COUNT(orders)"] == sum(1 for _, u, b in orders if u == r["who"] and b < d)
+        assert r["COUNT(items)"] == sum(1 for k in range(80) if k % 40 == r["what"] and k % 13 < d)
+    assert out.count() == sum(59 - d for d in days.values())
+    sizes = method_sizes(capsys, out)
+    assert sizes and max(sizes) < 8000
