@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import primitives as P
 from ..functions.timeparts import datetime_part, epoch_nanos
-from ..plans.asof import CUT, prefix_aggregate, windowed_aggregate
+from ..plans.asof import CUT, attach_prefix, hot_keys, prefix_aggregate, windowed_aggregate
 from ..plans.history import (ANCHOR_IDX, TS, Agg, Win, anchor_array, anchor_ts, cumulative_aggregate, expand_created,
                              first_anchor_index, last_anchor_index, range_aggregate, running_best, time_micros, window_aggregate)
 from ..session import materialize
@@ -696,22 +696,32 @@ def _row_history(cfg: DfsConfig, cuts: DataFrame, rows: DataFrame, key: str, tim
     return of.join(ev, [key, "__bk"]).where(seen & since).groupBy(key, CUT).agg(*[_static(a) for a in aggs]).select(key, CUT, *names)
 
 
-def _row_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec], cuts: DataFrame, key: str) -> DataFrame:
-    """(key, ``CUT``) frame with every backward feature in ``specs``, for distinct (key, cutoff) pairs."""
-    out = cuts
+def _row_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec], target: DataFrame, key: str, probe: bool = True) -> DataFrame:
+    """The rows of ``target`` (key, ``CUT`` and any other columns) with every backward feature in ``specs``."""
+    at_once = cfg.use_cutoff_time and cfg.lookback is None  # rows of the target meet those of the child in one pass, nothing is joined back
+    out, cuts = target, _cuts(target, key)
+    if not at_once or any(s.kind in ("unique", "array") for s in specs):
+        cuts = materialize(cuts)  # read again by every block
+    inclusive = cfg.closed != "left"
     for es in _by(specs, lambda s: (s.child, s.fk, _source_chain(s)) if s.kind in ("agg", "where", "tsl") else None).values():
         plan = _edge_plan(rdb, cfg, es, key)
+        if at_once and plan.time_col is not None:
+            had = [F.col(f"`{c}`") for c in out.columns]
+            out = attach_prefix(out, plan.rows, [key], CUT, plan.time_col, plan.aggs, inclusive, probe=probe)
+            out = out.select(*had, *plan.features(time_micros(F.col(CUT))))
+            continue
         hist = _row_history(cfg, cuts, plan.rows, key, plan.time_col, plan.own_time, plan.aggs)
         out = out.join(hist.select(key, CUT, *plan.features(time_micros(F.col(CUT)))), [key, CUT], "left")
     for s in (s for s in specs if s.kind == "mode"):
         rows, time_col, own_time = _mode_rows(rdb, cfg, s, key)
-        if time_col is not None and cfg.use_cutoff_time and cfg.lookback is None:
+        if at_once and time_col is not None:
             # each value's count from its own events' cutoffs on; the best (count, value) so far is the mode
             own = rows.select(key, "__v", F.col(time_col).alias(CUT)).distinct()
             counts = prefix_aggregate(own, rows, [key, "__v"], CUT, time_col, [Agg("__c", "count")], inclusive=True)
             best = counts.select(key, CUT, F.struct((-F.col("__c")).alias("c"), F.col("__v").alias("v")).alias("__best"))
-            hist = prefix_aggregate(cuts, best.withColumnRenamed(CUT, "__at"), [key], CUT, "__at", [Agg("__best", "min", "__best")],
-                                    inclusive=cfg.closed != "left").select(key, CUT, F.col("__best.v").alias(s.name))
+            out = attach_prefix(out, best.withColumnRenamed(CUT, "__since"), [key], CUT, "__since", [Agg("__best", "min", "__best")], inclusive, probe=probe)
+            out = out.withColumn(s.name, F.col("__best.v")).drop("__best")
+            continue
         else:
             values = cuts.join(rows.select(key, "__v").distinct(), key)
             part = values.select(F.struct(key, "__v").alias("__kv"), CUT)
@@ -820,8 +830,7 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
     if anchors is None:
         out = target.withColumn(CUT, ts)
         if back:
-            feats = _row_features(rdb, cfg, table, back, _cuts(out, id_col), id_col)
-            out = _fill_counts(out.join(feats, [id_col, CUT], "left"), back)
+            out = _row_features(rdb, cfg, table, back, out, id_col)
     else:
         anchors = sorted(set(anchors)) or [dt.datetime(1970, 1, 1)]
         idx = (F.array_position(anchor_array(anchors), ts) - 1).cast("int")

@@ -3,14 +3,14 @@
 Where every target row has a time of its own, the time line cannot be cut at a short list of anchors.  Targets and events
 are united instead and one running pass answers them all:
 
-1. events are combined per (keys, time), targets reduced to their distinct (keys, cutoff);
-2. the union is range-partitioned by (keys, time), so a key of any size lies in as many partitions as its rows need, and
-   the partition numbers are fixed by a reliable checkpoint;
-3. inside each (partition, key) a running window aggregates the events up to each cutoff;
-4. the totals of the key's earlier partitions (one row per key and partition) are carried over by a window per key and
-   merged into the running values.
-
-No row is copied and no events x cutoffs pairs are made, whatever the number of distinct cutoffs.
+1. the union is dealt out by key; a key with more than ``HOT_ROWS`` rows (found in a part of the rows, which decides
+   nothing but where rows lie) is cut into up to ``PIECES`` stretches of time, so it is no task's burden;
+2. inside each (key, piece) a running window aggregates the events up to each cutoff;
+3. only for keys that were cut, the totals of a key's earlier pieces (one row per key and piece) are merged into the
+   running values.
+
+Target rows travel once, with their columns, so nothing is joined back to them.  No row is copied and no events x cutoffs
+pairs are made, whatever the number of distinct cutoffs.
 ``windowed_aggregate`` answers look-back windows (t - h, t] in the same way without subtracting anything: time is cut into
 buckets of length h, so a window is the end of one bucket and the beginning of the next, a backward and a forward pass.
 """
@@ -18,6 +18,7 @@ buckets of length h, so a window is the end of one bucket and the beginning of t
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,6 +26,9 @@ from ..session import materialize
 from .history import Agg, _add_moments, _merge, _partial, _td_us, time_micros
 
 CUT = "__cut"
+HOT_ROWS = 500_000  # rows of a key above which it is cut into pieces
+PIECES = 64         # of such a key
+PART = 16           # the rows of one in this many (key, time) pairs tell which keys are hot
 _ZERO = ("count", "count_nonnull")
 
 
@@ -70,45 +74,101 @@ def _running_moments(df: DataFrame, a: Agg, order: Window, over: Window) -> Data
         F.when(some, s2 - s1 * s1 / n).otherwise(0.0).alias("m2"))).drop(ref)
 
 
-def prefix_aggregate(targets: DataFrame, events: DataFrame, keys: list[str], cut: str, time_col: str, aggs: list[Agg],
-                     inclusive: bool = False, backward: bool = False) -> DataFrame:
-    """(keys, ``cut``, aggregates): one row per distinct (keys, cutoff) of ``targets`` with the aggregates of the
-    key's events before the cutoff (``backward``: after it); events at the cutoff itself count if ``inclusive``.
+def hot_keys(rows: DataFrame, keys: list[str], t: str) -> DataFrame | None:
+    """(keys, ``__at``): keys with more than ``HOT_ROWS`` rows and the times at which they are cut; None where there are none."""
+    part = rows.select(*keys, t).where(F.pmod(F.xxhash64(*keys, t), F.lit(PART)) == 0)
+    often = materialize(part.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * PART > HOT_ROWS).select(*keys))
+    if often.isEmpty():
+        return None
+    at = F.percentile_approx(t, [i / PIECES for i in range(1, PIECES)])
+    return materialize(part.join(F.broadcast(often), keys).groupBy(*keys).agg(F.array_sort(F.array_distinct(at)).alias("__at")))
+
+
+def _single(a: Agg, dtype) -> Column:
+    """The partial aggregate (``history._partial``) of a single row."""
+    if a.kind == "count":
+        return F.lit(1).cast(dtype).alias(a.name)
+    c = F.col(a.col)
+    if a.kind == "count_nonnull":
+        return F.when(c.isNotNull(), 1).otherwise(0).cast(dtype).alias(a.name)
+    if a.kind == "moments":
+        x = c.cast("double")
+        return F.struct(F.when(x.isNotNull(), 1).otherwise(0).cast("long").alias("n"), x.alias("mean"),
+                        F.when(x.isNotNull(), F.lit(0.0)).alias("m2")).alias(a.name)
+    return c.cast(dtype).alias(a.name)
+
+
+def _run(df: DataFrame, aggs: list[Agg], order: Window, over: Window) -> DataFrame:
+    """Adds the running value ``__m_<name>`` of every aggregate."""
+    for a in aggs:
+        df = _running_moments(df, a, order, over) if a.kind == "moments" else df.withColumn(f"__m_{a.name}", _running(a, over))
+    return df
+
 
-    Counts are 0, sums, minima and maxima NULL, moments (0, 0, 0) where there is no event.  Rows without a key or time
-    take no part."""
-    t, side, part = "__t", "__side", "__part"
+def attach_prefix(targets: DataFrame, events: DataFrame, keys: list[str], cut: str, time_col: str, aggs: list[Agg],
+                  inclusive: bool = False, backward: bool = False, probe: bool = True) -> DataFrame:
+    """All rows and columns of ``targets`` with the aggregates of their key's events before the cutoff (``backward``: after
+    it); events at the cutoff itself count if ``inclusive``.
+
+    Counts are 0, sums, minima and maxima NULL, moments (0, 0, 0) where there is no event, also for rows without a key or
+    cutoff.  Events without a key or time take no part.  ``probe``: whether keys may be hot by their targets alone."""
+    t, side, piece = "__t", "__side", "__piece"
     names = [a.name for a in aggs]
     sign = -1 if backward else 1
-    known = [F.col(k).isNotNull() for k in keys]
-    ev = events
-    cuts = targets.select(*keys, cut)
-    for c in known:
-        ev, cuts = ev.where(c), cuts.where(c)
-    ev = ev.where(F.col(time_col).isNotNull()).withColumn(t, time_micros(F.col(time_col)) * sign)
-    ev = ev.groupBy(*keys, t).agg(*[_partial(a) for a in aggs]).withColumn(side, F.lit(0 if inclusive else 1))
-    cuts = cuts.where(F.col(cut).isNotNull()).distinct().select(
-        *keys, (time_micros(F.col(cut)) * sign).alias(t), F.col(cut).alias(CUT), F.lit(1 if inclusive else 0).alias(side))
-    united = ev.unionByName(cuts, allowMissingColumns=True).repartitionByRange(*keys, t, side)
-    placed = materialize(united.withColumn(part, F.spark_partition_id()))
-    order = Window.partitionBy(part, *keys).orderBy(t, side)
+    col = lambda c: F.col(f"`{c}`")
+    known = reduce(lambda x, y: x & y, [col(k).isNotNull() for k in keys])
+    ev = events.where(known & F.col(time_col).isNotNull()).withColumn(t, time_micros(F.col(time_col)) * sign)
+    rows = targets.withColumn(t, time_micros(col(cut)) * sign)
+    seen = ev.select(*keys, t)
+    if probe:
+        seen = seen.unionByName(rows.where(known & F.col(t).isNotNull()).select(*[col(k) for k in keys], t))
+    hot = hot_keys(seen, keys, t)
+    combined = ev.groupBy(*keys, t).agg(*[_partial(a) for a in aggs])
+    types = {f.name: f.dataType for f in combined.schema}
+    if hot is None and not any(a.kind == "hll" for a in aggs):
+        combined = ev.select(*keys, t, *[_single(a, types[a.name]) for a in aggs])  # the window combines them in any case
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = F.lit(0)
+        if hot is not None:
+            df = df.join(F.broadcast(hot), keys, "left")
+            at = F.when(F.col("__at").isNull(), 0).otherwise(F.size(F.filter("__at", lambda c: c <= F.col(t))))
+        return df.withColumn(piece, F.when(known, at).otherwise(F.pmod(F.xxhash64(t), F.lit(1024))).cast("int"))
+
+    given = {f.name: f.dataType for f in targets.schema if f.name not in keys}
+    mine = 1 if inclusive else 0
+    left = placed(combined).select(*keys, t, piece, F.lit(1 - mine).alias(side), *names,
+                                   *[F.lit(None).cast(d).alias(f"__p{i}") for i, d in enumerate(given.values())])
+    right = placed(rows).select(*[col(k) for k in keys], t, piece, F.lit(mine).alias(side), *[F.lit(None).cast(types[n]).alias(n) for n in names],
+                                *[col(c).alias(f"__p{i}") for i, c in enumerate(given)])
+    order = Window.partitionBy(*keys, piece).orderBy(t, side)
     over = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = placed
-    for a in aggs:
-        run = _running_moments(run, a, order, over) if a.kind == "moments" else run.withColumn(f"__m_{a.name}", _running(a, over))
-    state = [F.col(f"__m_{n}").alias(n) for n in names]
-    # what a key's rows of one partition come to, handed on to the key's later partitions
-    totals = run.groupBy(*keys, part).agg(F.max_by(F.struct(*state), F.struct(t, side)).alias("__total"))
-    parts = Window.partitionBy(*keys).orderBy(part)
-    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, part, *[F.col(f"__total.{n}").alias(n) for n in names])
-    for a in aggs:
-        carried = (_running_moments(carried, a, parts, earlier) if a.kind == "moments"
-                   else carried.withColumn(f"__m_{a.name}", _running(a, earlier)))
-    carried = carried.select(*keys, part, *[F.col(f"__m_{n}").alias(f"__c_{n}") for n in names])
-    out = run.where(F.col(CUT).isNotNull()).join(carried, [*keys, part], "left")
-    return out.select(*keys, F.col(CUT).alias(cut),
-                      *[combine(a, F.col(f"__c_{a.name}"), F.col(f"__m_{a.name}")).alias(a.name) for a in aggs])
+    out = _run(left.union(right), aggs, order, over).where(F.col(side) == mine)
+    value = {a.name: F.coalesce(F.col(f"__m_{a.name}"), F.lit(0)) if a.kind in _ZERO else F.col(f"__m_{a.name}") for a in aggs}
+    if hot is not None:
+        # what a hot key's events of one piece come to, handed on to the key's later pieces
+        own = _run(left.join(F.broadcast(hot.select(*keys)), keys, "left_semi"), aggs, order, over)
+        state = F.struct(*[F.col(f"__m_{n}").alias(n) for n in names])
+        totals = own.groupBy(*keys, piece).agg(F.max_by(state, F.struct(t, side)).alias("__total"))
+        grid = hot.select(*keys, F.explode(F.sequence(F.lit(0), F.size("__at"))).alias(piece))
+        totals = grid.join(totals, [*keys, piece], "left").select(*keys, piece, *[F.col(f"__total.{n}").alias(n) for n in names])
+        parts = Window.partitionBy(*keys).orderBy(piece)
+        carried = _run(totals, aggs, parts, parts.rowsBetween(Window.unboundedPreceding, -1))
+        carried = carried.select(*keys, piece, *[F.col(f"__m_{n}").alias(f"__c_{n}") for n in names])
+        out = out.join(F.broadcast(carried), [*keys, piece], "left")
+        value = {a.name: combine(a, F.col(f"__c_{a.name}"), F.col(f"__m_{a.name}")) for a in aggs}
+    place = {c: f"__p{i}" for i, c in enumerate(given)}
+    return out.select(*[F.col(place[c]).alias(c) if c in place else col(c) for c in targets.columns], *[value[n].alias(n) for n in names])
+
+
+def prefix_aggregate(targets: DataFrame, events: DataFrame, keys: list[str], cut: str, time_col: str, aggs: list[Agg],
+                     inclusive: bool = False, backward: bool = False) -> DataFrame:
+    """(keys, ``cut``, aggregates): one row per distinct (keys, cutoff) of ``targets`` with the aggregates of the
+    key's events before the cutoff (``attach_prefix``).  Rows without a key or time take no part."""
+    cuts = targets.select(*keys, cut)
+    for c in [*keys, cut]:
+        cuts = cuts.where(F.col(c).isNotNull())
+    return attach_prefix(cuts.distinct(), events, keys, cut, time_col, aggs, inclusive, backward)
 
 
 def windowed_aggregate(targets: DataFrame, events: DataFrame, keys: list[str], cut: str, time_col: str, aggs: list[Agg],

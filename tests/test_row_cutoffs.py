@@ -75,6 +75,48 @@ def test_windows_match_brute_force(spark, closed):
         same(tuple(r)[2:], expect(ev, r.k, inside))
 
 
+@pytest.mark.parametrize("inclusive", [False, True])
+@pytest.mark.parametrize("backward", [False, True])
+@pytest.mark.parametrize("hot", [10**6, 60, 5])
+def test_rows_with_their_columns_match_brute_force(spark, monkeypatch, inclusive, backward, hot):
+    """No key, key 1 and every key cut into pieces; all target rows stay, also those without a key or cutoff."""
+    monkeypatch.setattr(asof, "HOT_ROWS", hot)
+    monkeypatch.setattr(asof, "PART", 1)
+    ev, tg = data(4)
+    ev += [(3, T0 + 30 * DAY, 2.0)] * 20
+    tg += [(10**6 + i, 2, T0 + (40 + i) * DAY) for i in range(5)] + [(10**6 + 9, 2, T0 - DAY)]  # pieces without events
+    e, t = frames(spark, ev, tg)
+    out = asof.attach_prefix(t.withColumn("odd.name", F.col("i") * 2), e, ["k"], "c", "t", AGGS, inclusive, backward)
+    assert out.columns == ["i", "k", "c", "odd.name"] + [a.name for a in AGGS]
+    rows = out.collect()
+    assert sorted((r.i, str(r.k), str(r.c)) for r in rows) == sorted((i, str(k), str(c)) for i, k, c in tg)
+    before = (lambda a, b: a >= b if inclusive else a > b) if backward else (lambda a, b: a <= b if inclusive else a < b)
+    for r in rows:
+        assert r["odd.name"] == 2 * r.i
+        same(tuple(r)[4:], expect(ev, r.k, lambda x: r.k is not None and r.c is not None and before(x, r.c)))
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_target_rows_are_moved_once(spark, depth):
+    """400 targets and 400 events of one edge, a row each in one shuffle; nothing is joined back or written in between."""
+    from tests.test_scale import SCHEMA as SHOP, shop, shuffled
+    orders = [(k, k % 5, k % 11) for k in range(400)]
+    rdb = shop(spark, orders, [(k, 1.0, k % 13) for k in range(400)] if depth == 2 else [], [])
+    cfg = G.DfsConfig(max_depth=depth, agg_primitives=("count",), stack_primitives=("sum",), include_entities=("orders", "items"))
+    specs = [s for s in G.enumerate_features(SHOP, "users", cfg) if s.kind == ("stacked" if depth == 2 else "agg")]
+    tgt = rdb["orders"].select(F.col("o").alias("row"), F.col("u").alias(S.ID), F.col("ot").alias("__timestamp"))
+    out = G.compute_features(rdb, tgt, "users", None, cfg, specs)
+    rows = out.collect()
+    assert len(rows) == 400
+    for r in rows:
+        day = (r["__timestamp"] - dt.datetime(2020, 1, 1)).days
+        mine = [o for o, u, d in orders if u == r[S.ID] and d < day]
+        want = len(mine) if depth == 1 else sum(o % 13 < day for o in mine) if mine else None
+        assert r[specs[0].name] == want, r
+    if depth == 1:
+        assert sum(shuffled(out)) == 800
+
+
 def test_no_rows(spark):
     e, t = frames(spark, *data(3, 40))
     assert asof.prefix_aggregate(t.limit(0), e, ["k"], "c", "t", AGGS).count() == 0
