@@ -762,17 +762,17 @@ def _row_features(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec]
             if cfg.lookback is not None:
                 own = own.where(born >= cut - F.lit(cfg.lookback) if cfg.closed == "left" else born > cut - F.lit(cfg.lookback))
         inner = list({s.inner.name: s.inner for s in ss}.values())
-        pairs = materialize(own.select(key, CUT, "__ck"))
-        feats = _row_features(rdb, cfg, child, inner, pairs.select("__ck", CUT).distinct(), "__ck")
-        joined = _fill_counts(pairs.join(feats, ["__ck", CUT], "left"), inner)
+        # a child has as many cutoffs as its parent at most
+        busy = at_once and hot_keys(cuts.withColumn("__t", time_micros(F.col(CUT))), [key], "__t") is not None
+        joined = _row_features(rdb, cfg, child, inner, own.select(key, CUT, "__ck"), "__ck", probe=busy)
         hist = joined.groupBy(key, CUT).agg(*[P.stacked(s.primitive, F.col(f"`{s.inner.name}`")).alias(s.name) for s in ss])
         out = out.join(hist, [key, CUT], "left")
     return _fill_counts(out, specs)
 
 
 def _cuts(out: DataFrame, key: str) -> DataFrame:
-    """The distinct (key, cutoff) pairs of the target rows, fixed so that every block reads the same."""
-    return materialize(out.select(key, CUT).where(F.col(key).isNotNull() & F.col(CUT).isNotNull()).distinct())
+    """The distinct (key, cutoff) pairs of the target rows."""
+    return out.select(key, CUT).where(F.col(key).isNotNull() & F.col(CUT).isNotNull()).distinct()
 
 
 def _steps(feats: DataFrame, key: str, values: list) -> DataFrame:
