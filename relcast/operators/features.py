@@ -789,7 +789,7 @@ def _parent_aggregates(rdb: Rdb, cfg: DfsConfig, out: DataFrame, table: str, spe
     rows are 0.  Evaluated once per distinct (parent, cutoff)."""
     pk = rdb.schema.table(table).primary_key
     for i, (fk, ss) in enumerate(_by(specs, lambda s: s.fk).items()):
-        key, at = f"__fk{i}", ANCHOR_IDX if anchors is not None else CUT
+        key, at = f"__fk{i}", ANCHOR_IDX
         rows = rdb[table].select(F.col(pk).alias(id_col), F.col(fk).alias(key))
         inner = [s.inner for s in ss]
         if anchors is not None and cfg.lookback is None and all(s.kind in ("agg", "where", "mode", "unique") for s in inner):
@@ -800,12 +800,16 @@ def _parent_aggregates(rdb: Rdb, cfg: DfsConfig, out: DataFrame, table: str, spe
             now = F.try_element_at(F.filter("__steps", lambda e: e[ANCHOR_IDX] <= F.col(ANCHOR_IDX)), F.lit(-1))
             out = out.withColumn("__now", now).select(*[F.col(f"`{c}`") for c in out.columns if c != "__steps"],
                                                       *[F.col(f"__now.v.f{j}").alias(s.name) for j, s in enumerate(ss)])
-        else:
-            out = out.join(rows, id_col, "left")
-            feats = (_entity_features(rdb, cfg, ss[0].child, inner, anchors, key) if anchors is not None
-                     else _row_features(rdb, cfg, ss[0].child, inner, _cuts(out, key), key))
+        elif anchors is not None:
+            feats = _entity_features(rdb, cfg, ss[0].child, inner, anchors, key)
             feats = feats.select(key, at, *[F.col(f"`{s.inner.name}`").alias(s.name) for s in ss])
-            out = out.join(feats, [key, at], "left")
+            out = out.join(rows, id_col, "left").join(feats, [key, at], "left")
+        else:
+            had, apart = out.columns, [replace(s, name=f"__f{j}") for j, s in enumerate(inner)]
+            out = _row_features(rdb, cfg, ss[0].child, apart, out.join(rows, id_col, "left"), key)
+            # a target without a parent or a cutoff has no values at all
+            value = lambda s, j: F.when(F.col(key).isNotNull() & F.col(CUT).isNotNull(), F.col(f"__f{j}")).alias(s.name)
+            out = out.select(*[F.col(f"`{c}`") for c in had], key, *[value(s, j) for j, s in enumerate(ss)])
         counts = {s.name: F.when(F.col(key).isNotNull(), F.coalesce(F.col(f"`{s.name}`"), F.lit(0))) for s in ss if _countlike(s.inner)}
         out = out.withColumns(counts).drop(key)
     return out
