@@ -253,12 +253,15 @@ def _near_components(picked: DataFrame, rounds: int) -> DataFrame:
              .select("node", "n", "prefix", "last_often", "last", F.col("s1").alias("sign")))
     nodes = shared_table(nodes, "nodes")
 
-    cells = nodes.select("node", "n", "sign", F.explode("prefix").alias("region"))
+    # a row per shingle of every prefix: only its two numbers are dealt out by shingle, the node's own columns come later
+    cells = nodes.select("node", F.explode("prefix").alias("region"))
     sizes = cells.groupBy("region").agg(F.count(F.lit(1)).alias("others")).where("others > 1").withColumn("others", F.col("others") - 1)
     members = shared_table(cells.join(sizes, "region"), "cells")
     # how many other members each pivot shingle of a node meets, on average over its window
-    weight = members.groupBy("node").agg((F.sum("others") / F.expr("any_value(n) div 5 + 1")).alias("weight"))
-    members = shared_table(members.join(weight, "node").select("region", "node", "weight", "sign"), "members")
+    weight = members.groupBy("node").agg(F.sum("others").alias("others"))
+    of = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("sign").alias("sign"))
+    weight = weight.join(of, "node").select("node", (F.col("others") / F.expr("n div 5 + 1")).alias("weight"), "sign")
+    members = shared_table(members.drop("others").join(weight, "node").select("region", "node", "weight", "sign"), "members")
     star = _star(members, nodes)
 
     # each node's most promising pivot first; what these links join needs no further comparison

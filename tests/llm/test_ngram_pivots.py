@@ -88,3 +88,15 @@ def test_filter_follows_its_keys(sp):
     assert bloom.contains(words, other).mean() < 0.02
     with pytest.raises(ValueError):
         bloom.build(df, "k", bloom.MOST_KEYS + 1)
+
+
+def test_cells_hold_only_node_and_shingle(spark, monkeypatch):
+    """A text makes a row per shingle of its prefix; its size and signature stay in the table of nodes."""
+    tables = {}
+    keep = ngram_join.shared_table
+    monkeypatch.setattr(ngram_join, "shared_table", lambda df, name: tables.setdefault(name, df.columns) and keep(df, name))
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert set(tables["cells"]) == {"node", "region", "others"}
