@@ -317,6 +317,12 @@ def _near(keys: list[str], carry: DataFrame | None) -> list[str] | None:
     return [c for c in carry.columns if c not in keys and c != "__cidx"] if carry is not None and PIECE in carry.columns else None
 
 
+def _at_anchors(block: DataFrame) -> DataFrame:
+    """A frame with a row per key and anchor, as the side of a join that is not broadcast: the planner takes its size for that
+    of the tables it is read from, before they are multiplied by the anchors."""
+    return block.hint("merge")
+
+
 def _with_carry(keys: list[str], carry: DataFrame | None) -> list[str]:
     return keys + ([c for c in carry.columns if c not in keys] if carry is not None else [])
 
@@ -500,10 +506,10 @@ def _entity_blocks(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec
     for s in specs:
         if s.kind == "unique":
             block = _unique_block(rdb, cfg, s, anchors, key_alias)
-            blocks.append((block if carry is None else block.join(carry, key_alias), [s]))
+            blocks.append((block if carry is None else _at_anchors(block).join(carry, key_alias), [s]))
     for ss in _by(specs, lambda s: (s.child, s.fk, s.column) if s.kind == "array" else None).values():
         block = _array_block(rdb, cfg, ss, anchors, key_alias)
-        blocks.append((block if carry is None else block.join(carry, key_alias), ss))
+        blocks.append((block if carry is None else _at_anchors(block).join(carry, key_alias), ss))
     stacked: dict[tuple, list[FeatureSpec]] = {}
     for s in specs:
         if s.kind == "stacked":
@@ -511,7 +517,7 @@ def _entity_blocks(rdb: Rdb, cfg: DfsConfig, table: str, specs: list[FeatureSpec
     for (child, fk), ss in stacked.items():
         b = _stacked_block(rdb, cfg, child, fk, ss, anchors, key_alias)
         if carry is not None:
-            b = b.join(carry, key_alias)
+            b = _at_anchors(b).join(carry, key_alias)
         blocks.append((b, ss))
     return blocks
 
@@ -589,7 +595,7 @@ def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[Fe
     agg = inner_df.groupBy(key_alias, ANCHOR_IDX).agg(*aggs)
     created = cumulative_aggregate(rdb[child].select(F.col(fk).alias(key_alias), tcol), [key_alias], tcol,
                                    anchors, [Agg("__nc", "count")], strict=strict)
-    out = created.select(key_alias, ANCHOR_IDX, "__nc").join(agg, [key_alias, ANCHOR_IDX], "left")
+    out = created.select(key_alias, ANCHOR_IDX, "__nc").join(_at_anchors(agg), [key_alias, ANCHOR_IDX], "left")
     nc = F.col("__nc")
     cols = [F.col(key_alias), F.col(ANCHOR_IDX)]
     for i, s in enumerate(specs):
@@ -638,7 +644,7 @@ def _stacked_block_join(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: li
     else:
         cand = expand_created(base, None, anchors)
     cand = cand.select("__ck", key_alias, ANCHOR_IDX)
-    joined = cand.join(inner_df, ["__ck", ANCHOR_IDX], "left")
+    joined = cand.join(_at_anchors(inner_df), ["__ck", ANCHOR_IDX], "left")
     joined = _fill_counts(joined, inner)
     aggs = [P.stacked(s.primitive, F.col(f"`{s.inner.name}`")).alias(s.name) for s in specs]
     return joined.groupBy(key_alias, ANCHOR_IDX).agg(*aggs)
@@ -803,7 +809,7 @@ def _parent_aggregates(rdb: Rdb, cfg: DfsConfig, out: DataFrame, table: str, spe
         elif anchors is not None:
             feats = _entity_features(rdb, cfg, ss[0].child, inner, anchors, key)
             feats = feats.select(key, at, *[F.col(f"`{s.inner.name}`").alias(s.name) for s in ss])
-            out = out.join(rows, id_col, "left").join(feats, [key, at], "left")
+            out = out.join(rows, id_col, "left").join(_at_anchors(feats), [key, at], "left")
         else:
             had, apart = out.columns, [replace(s, name=f"__f{j}") for j, s in enumerate(inner)]
             out = _row_features(rdb, cfg, ss[0].child, apart, out.join(rows, id_col, "left"), key)
@@ -844,7 +850,7 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
         if back:
             # block by block: the target's partitioning lasts over all joins, a full join of the blocks would lose it
             for block, _ in _entity_blocks(rdb, cfg, table, back, anchors, id_col):
-                out = out.join(block, [id_col, ANCHOR_IDX], "left")
+                out = out.join(_at_anchors(block), [id_col, ANCHOR_IDX], "left")
             out = _fill_counts(out, back)
     direct = [s for s in specs if s.kind == "direct"]
     if direct:

@@ -178,3 +178,19 @@ def test_features_of_several_keys_are_compiled(spark, capsys):
     assert out.count() == sum(59 - d for d in days.values())
     sizes = method_sizes(capsys, out)
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("primitive", ["mode", "num_unique"])
+def test_rows_per_anchor_are_not_broadcast(spark, tmp_path, primitive):
+    """The planner takes a frame's size for that of the file it comes from; these have a row per key and anchor."""
+    schema = S.RdbSchema((
+        S.TableSchema("users", (S.ColumnSchema("u", S.PRIMARY_KEY),)),
+        S.TableSchema("orders", (S.ColumnSchema("o", S.PRIMARY_KEY), S.ColumnSchema("u", S.FOREIGN_KEY, "users.u"),
+                                 S.ColumnSchema("kind", "category"), S.ColumnSchema("ot", S.DATETIME)), time_column="ot")))
+    spark.createDataFrame([(o, o % 5, "ab"[o % 2], DAY + dt.timedelta(days=o % 9)) for o in range(60)],
+                          "o long, u long, kind string, ot timestamp_ntz").write.parquet(f"{tmp_path}/orders")
+    rdb = Rdb(spark, {"users": spark.range(5).withColumnRenamed("id", "u"), "orders": spark.read.parquet(f"{tmp_path}/orders")}, schema)
+    target = expand_created(spark.range(5).select(F.col("id").alias("__id")), None, ANCHORS, keep_index=False)
+    out = G.compute_features(rdb, target, "users", ANCHORS, G.DfsConfig(max_depth=1, agg_primitives=(primitive,)))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 5 * len(ANCHORS)
