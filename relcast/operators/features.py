@@ -32,7 +32,7 @@ from ..functions.timeparts import datetime_part, epoch_nanos
 from ..plans.asof import CUT, attach_prefix, hot_keys, prefix_aggregate, windowed_aggregate
 from ..plans.history import (ANCHOR_IDX, TS, Agg, Win, anchor_array, anchor_ts, cumulative_aggregate, expand_created,
                              first_anchor_index, last_anchor_index, range_aggregate, running_best, time_micros, window_aggregate)
-from ..session import materialize
+from ..session import join_where_they_lie, materialize
 from ..sources import schema as S
 from ..sources.rdb import Rdb
 
@@ -313,8 +313,8 @@ def _history(cfg: DfsConfig, events: DataFrame, keys: list[str], time_col: str |
 
 
 def _near(keys: list[str], carry: DataFrame | None) -> list[str] | None:
-    """The carried columns by which rows are to lie in one task: the parent key and the piece of it."""
-    return [c for c in carry.columns if c not in keys and c != "__cidx"] if carry is not None and PIECE in carry.columns else None
+    """The carried columns by which rows are to lie in one task: the parent key and, if it is cut, the piece of it."""
+    return [c for c in carry.columns if c not in keys and c != "__cidx"] if carry is not None else None
 
 
 def _at_anchors(block: DataFrame) -> DataFrame:
@@ -547,6 +547,49 @@ def _pieces(children: DataFrame, parent: str, child: str) -> DataFrame:
     return out.withColumn(PIECE, piece).drop("__hot", "__n")
 
 
+def _apart(children: DataFrame, parent: str, child: str, several: bool) -> DataFrame | None:
+    """Parents that one task cannot do alone: those with more than ``PIECE_ROWS`` children and, where the children have
+    ``several`` edges, those of a child whose key repeats; None where there are none."""
+    out = children.groupBy(parent).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > PIECE_ROWS).select(parent)
+    if several:
+        copies = F.count(F.lit(1)).over(Window.partitionBy(child))
+        again = children.where(F.col(child).isNotNull()).withColumn("__copies", copies).where("__copies > 1")
+        out = out.unionByName(again.select(parent)).distinct()
+    out = materialize(out)
+    return None if out.isEmpty() else out
+
+
+def _child_features(rdb: Rdb, cfg: DfsConfig, child: str, inner: list[FeatureSpec], anchors, key_alias: str, carry: DataFrame) -> DataFrame:
+    """The children's own features side by side, a row per child, anchor and edge, of the children in ``carry``: rows of a
+    child whose key repeats do meet, each row of one edge with each of another."""
+    again = None
+    if len({(f.kind, f.child, f.fk, _source_chain(f)) for f in inner}) > 1:
+        copies = carry.where(F.col("__ck").isNotNull()).withColumn("__copies", F.count(F.lit(1)).over(Window.partitionBy("__ck")))
+        carry, again = copies.where("__copies = 1").drop("__copies"), copies.where("__copies > 1").drop("__copies")
+    blocks = _entity_blocks(rdb, cfg, child, inner, anchors, "__ck", carry)
+    if again is not None:
+        blocks.append((_entity_features(rdb, cfg, child, inner, anchors, "__ck", again), inner))
+    blocks = [_fill_counts(b, ss).where(F.col(ANCHOR_IDX) >= F.col("__cidx"))
+              .select(key_alias, ANCHOR_IDX, *[F.col(f"`{s.name}`") for s in ss]) for b, ss in blocks]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
+
+
+def _per_parent(rows: DataFrame, key_alias: str, specs: list[tuple[int, FeatureSpec]]) -> DataFrame:
+    """What the stacked features are made of, per parent and anchor."""
+    aggs = []
+    for i, s in specs:
+        c = F.col(f"`{s.inner.name}`").cast("double") if _countlike(s.inner) else F.col(f"`{s.inner.name}`")
+        if _countlike(s.inner):
+            aggs += [F.sum(c).alias(f"__s{i}"), F.count(c).alias(f"__k{i}")]
+            # only what the primitive is made of
+            aggs += [(F.var_pop(c) * F.count(c)).alias(f"__q{i}")] if s.primitive == "std" else []
+            aggs += [F.max(c).alias(f"__mx{i}")] if s.primitive == "max" else []
+            aggs += [F.min(c).alias(f"__mn{i}")] if s.primitive == "min" else []
+        else:
+            aggs.append(P.stacked(s.primitive, c).alias(s.name))
+    return rows.groupBy(key_alias, ANCHOR_IDX).agg(*aggs)
+
+
 def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[FeatureSpec], anchors,
                    key_alias: str) -> DataFrame:
     """Aggregate the child's own features, evaluated at each anchor, per parent key.
@@ -556,10 +599,10 @@ def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[Fe
     created but without rows of their own (count features = 0) are accounted for
     from a cumulative count of created children -- no (child x anchor) join.
 
-    Only the changes of a child's features are shuffled, to the piece of its parent (``_pieces``): a row per
-    child and anchor exists between the running window and the partial aggregate of one task alone.  Features
-    of different edges need not meet per child, so their rows are aggregated side by side (but for children whose key
-    repeats)."""
+    Only the changes of a child's features are shuffled, to its parent's task: a row per child and anchor exists
+    between the running window and the aggregate of one task alone, and a row per parent and anchor is not moved either
+    (it meets the other frames of the parent where it is made).  Features of different edges need not meet per child,
+    so their rows are aggregated apart.  The few parents that need more (``_apart``) are dealt out in pieces."""
     child_t = rdb.schema.table(child)
     tcol = child_t.time_column
     if not (cfg.use_cutoff_time and tcol and cfg.lookback is None):
@@ -568,42 +611,38 @@ def _stacked_block(rdb: Rdb, cfg: DfsConfig, child: str, fk: str, specs: list[Fe
     strict = cfg.closed == "left"
     cpk = child_t.primary_key
     inner = list({s.inner.name: s.inner for s in specs}.values())
-    carry = _pieces(rdb[child].where(F.col(tcol).isNotNull() & F.col(fk).isNotNull())
-                    .select(F.col(cpk).alias("__ck"), F.col(fk).alias(key_alias),
-                            first_anchor_index(F.col(tcol), anchors, strict).alias("__cidx")), key_alias, "__ck")
-    edges = {(f.kind, f.child, f.fk, _source_chain(f)) for f in inner}
-    again = None
-    if len(edges) > 1:  # rows of a child whose key repeats do meet: each row of one edge with each of another
-        copies = carry.where(F.col("__ck").isNotNull()).withColumn("__copies", F.count(F.lit(1)).over(Window.partitionBy("__ck")))
-        carry, again = copies.where("__copies = 1").drop("__copies"), copies.where("__copies > 1").drop("__copies")
-    blocks = _entity_blocks(rdb, cfg, child, inner, anchors, "__ck", carry)
-    if again is not None:
-        blocks.append((_entity_features(rdb, cfg, child, inner, anchors, "__ck", again), inner))
-    blocks = [_fill_counts(b, ss).where(F.col(ANCHOR_IDX) >= F.col("__cidx"))
-              .select(key_alias, ANCHOR_IDX, *[F.col(f"`{s.name}`") for s in ss]) for b, ss in blocks]
-    inner_df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
-    aggs = []
-    for i, s in enumerate(specs):
-        c = F.col(f"`{s.inner.name}`").cast("double") if _countlike(s.inner) else F.col(f"`{s.inner.name}`")
-        if _countlike(s.inner):  # only what the primitive is made of: every column is a column of the shuffle
-            aggs += [F.sum(c).alias(f"__s{i}"), F.count(c).alias(f"__k{i}"),
-                     (F.var_pop(c) * F.count(c) if s.primitive == "std" else F.lit(None).cast("double")).alias(f"__q{i}"),
-                     (F.max(c) if s.primitive == "max" else F.lit(None).cast("double")).alias(f"__mx{i}"),
-                     (F.min(c) if s.primitive == "min" else F.lit(None).cast("double")).alias(f"__mn{i}")]
-        else:
-            aggs.append(P.stacked(s.primitive, c).alias(s.name))
-    agg = inner_df.groupBy(key_alias, ANCHOR_IDX).agg(*aggs)
+    children = (rdb[child].where(F.col(tcol).isNotNull() & F.col(fk).isNotNull())
+                .select(F.col(cpk).alias("__ck"), F.col(fk).alias(key_alias), first_anchor_index(F.col(tcol), anchors, strict).alias("__cidx")))
+    apart = _apart(children, key_alias, "__ck", len({(f.kind, f.child, f.fk, _source_chain(f)) for f in inner}) > 1)
+    whole = children if apart is None else children.join(apart, key_alias, "left_anti")
+    frames = []  # (frame, its specs)
+    for b, ss in _entity_blocks(rdb, cfg, child, inner, anchors, "__ck", whole):
+        names = {s.name for s in ss}
+        own = [(i, s) for i, s in enumerate(specs) if s.inner.name in names]
+        frames.append((_per_parent(_fill_counts(b, ss).where(F.col(ANCHOR_IDX) >= F.col("__cidx")), key_alias, own), own))
+    if apart is not None:
+        rest = _pieces(children.join(apart, key_alias, "left_semi"), key_alias, "__ck")
+        own = list(enumerate(specs))
+        frames.append((_per_parent(_child_features(rdb, cfg, child, inner, anchors, key_alias, rest), key_alias, own), own))
     created = cumulative_aggregate(rdb[child].select(F.col(fk).alias(key_alias), tcol), [key_alias], tcol,
                                    anchors, [Agg("__nc", "count")], strict=strict)
-    out = created.select(key_alias, ANCHOR_IDX, "__nc").join(_at_anchors(agg), [key_alias, ANCHOR_IDX], "left")
+    out, values = created.select(key_alias, ANCHOR_IDX, "__nc"), {}
+    for k, (frame, own) in enumerate(frames):
+        had = [c for c in frame.columns if c not in (key_alias, ANCHOR_IDX)]
+        frame = frame.select(key_alias, ANCHOR_IDX, *[F.col(f"`{c}`").alias(f"__f{k}{c}") for c in had])
+        out = out.join(_at_anchors(frame), [key_alias, ANCHOR_IDX], "left")
+        for c in had:  # a parent has its values in one frame
+            values.setdefault(c, []).append(F.col(f"`__f{k}{c}`"))
+    out = out.select(key_alias, ANCHOR_IDX, "__nc", *[F.coalesce(*v).alias(c) for c, v in values.items()])
     nc = F.col("__nc")
     cols = [F.col(key_alias), F.col(ANCHOR_IDX)]
     for i, s in enumerate(specs):
         if not _countlike(s.inner):
             cols.append(F.col(f"`{s.name}`"))
             continue
-        sm, sq = F.coalesce(F.col(f"__s{i}"), F.lit(0.0)), F.coalesce(F.col(f"__q{i}"), F.lit(0.0))
-        mx, mn = F.col(f"__mx{i}"), F.col(f"__mn{i}")
+        part = lambda c, i=i: F.col(f"{c}{i}") if f"{c}{i}" in values else F.lit(None).cast("double")
+        sm, sq = F.coalesce(F.col(f"__s{i}"), F.lit(0.0)), F.coalesce(part("__q"), F.lit(0.0))
+        mx, mn = part("__mx"), part("__mn")
         k = F.coalesce(F.col(f"__k{i}"), F.lit(0))
         missing = nc - k
         v = {"sum": sm, "mean": sm / nc,
@@ -823,12 +862,13 @@ def _parent_aggregates(rdb: Rdb, cfg: DfsConfig, out: DataFrame, table: str, spe
 
 def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg: DfsConfig | None = None,
                      specs: list[FeatureSpec] | None = None, id_col: str = S.ID,
-                     ts_col: str = TS) -> DataFrame:
+                     ts_col: str = TS, few: bool = False) -> DataFrame:
     """Features for the rows of ``target`` (``id_col`` -> ``table``'s PK,
     ``ts_col`` = cutoff).  With a list of shared ``anchors`` the slot plans are used and
     a cutoff outside the list fails the job instead of being shifted; with ``anchors=None``
     every row has its own cutoff, any number of them (G12; ``plans.asof``).  Rows are
-    preserved (left joins);
+    preserved (left joins).  ``few``: the target has a row per key and anchor or about so; it then goes to where the
+    key's features are made, and no feature is moved.  Otherwise both sides are dealt out by key and anchor.
     G17: pass the train spec list again to get the same columns for test rows."""
     cfg = cfg or DfsConfig()
     specs = specs if specs is not None else enumerate_features(rdb.schema, table, cfg)
@@ -848,6 +888,9 @@ def compute_features(rdb: Rdb, target: DataFrame, table: str, anchors=None, cfg:
             F.raise_error(F.lit(f"cutoff in {ts_col} is not one of the anchors")).cast("int"))
         out = target.withColumn(ANCHOR_IDX, exact)
         if back:
+            if few:
+                join_where_they_lie(out.sparkSession)
+                out = out.repartition(id_col)
             # block by block: the target's partitioning lasts over all joins, a full join of the blocks would lose it
             for block, _ in _entity_blocks(rdb, cfg, table, back, anchors, id_col):
                 out = out.join(_at_anchors(block), [id_col, ANCHOR_IDX], "left")

@@ -298,7 +298,7 @@ def _customer_features(spark, sf_dir, cfg, names=None, target=None, rounded=None
     if names is not None:
         specs = [s for s in specs if s.name in names]
     tgt = target if target is not None else _churn_target(spark, sf_dir)
-    out = G.compute_features(rdb, tgt, "customer", anchors_for(spark, sf_dir, "shop"), cfg, specs)
+    out = G.compute_features(rdb, tgt, "customer", anchors_for(spark, sf_dir, "shop"), cfg, specs, few=True)
     return (rounded or _round_doubles)(out)
 
 
@@ -793,7 +793,7 @@ def q_holdout_validation(spark, sf_dir):
     shop, spec = _churn_spec(spark, sf_dir)
     anchors = A.make_anchors(shop, spec.ts_current, horizon=H, data_end=spec.ts_current)
     labels = C.sample_labels(L.user_churn(shop, anchors, H), 0.3)
-    train = G.compute_features(spec.feature_rdb, labels, "customer", anchors, spec.dfs)
+    train = G.compute_features(spec.feature_rdb, labels, "customer", anchors, spec.dfs, few=True)
     res = M.validate(train, "classification")
     return spark.createDataFrame([res["validation"]])
 

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession, functions as F
 
 INPUT_BYTES = 2 << 20  # of the tables' files for each shuffle partition, before AQE merges small ones
 ADVISORY_BYTES = 4 << 20  # of shuffled rows in a task; anchors multiply them by up to 60 inside it
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,6 +51,7 @@ def configure(spark: SparkSession, sf_dir: str | None = None) -> SparkSession:
     """Apply the session-level settings the operators rely on; with ``sf_dir``, also shuffles sized by its tables."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.unset(ALL_KEYS)
     ensure_checkpoint_dir(spark)
     if sf_dir is not None:
         size_shuffles(spark, _input_bytes(sf_dir, id(spark)))
@@ -74,6 +76,12 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(ADVISORY_BYTES))
 
 
+def join_where_they_lie(spark: SparkSession) -> None:
+    """Until the next ``configure``, sides dealt out by one of the join's keys (an entity's, with a row per anchor) are joined
+    where they lie; else the planner deals both out again by all keys."""
+    spark.conf.set(ALL_KEYS, "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; a private one is set only where it is unset and everything runs in one process."""
     sc = spark.sparkContext

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from relcast.operators import features as G
 from relcast.operators import sampling as C
 from relcast.plans.history import TS, expand_created
-from relcast.session import ADVISORY_BYTES, INPUT_BYTES, size_shuffles
+from relcast.session import ADVISORY_BYTES, INPUT_BYTES, configure, size_shuffles
 from relcast.sources import schema as S
 from relcast.sources.rdb import Rdb
 
@@ -194,3 +194,19 @@ def test_rows_per_anchor_are_not_broadcast(spark, tmp_path, primitive):
     out = G.compute_features(rdb, target, "users", ANCHORS, G.DfsConfig(max_depth=1, agg_primitives=(primitive,)))
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 5 * len(ANCHORS)
+
+
+def test_no_row_per_parent_and_anchor_is_shuffled(spark):
+    """60 parents at 29 anchors are 1,740 pairs; the target has 60 of them, and a parent's features meet it where they are made."""
+    orders = [(k, k % 60, 0) for k in range(120)]
+    rdb = shop(spark, orders, [(k, 1.0, 0) for k in range(120)], [(k, 2.0, 1) for k in range(120)])
+    cfg, specs = stacked(rdb)
+    specs += [s for s in G.enumerate_features(SCHEMA, "users", cfg) if s.kind in ("agg", "tsl")]
+    tgt = rdb["users"].selectExpr("u AS __id", "timestamp_ntz'2020-01-20' AS __timestamp")
+    try:
+        out = G.compute_features(rdb, tgt, "users", ANCHORS, cfg, specs, few=True)
+        got = out.collect()
+        assert len(got) == 60 and {r["SUM(orders.COUNT(items))"] for r in got} == {2} and {r["SUM(orders.SUM(gifts.x))"] for r in got} == {4.0}
+        assert max(shuffled(out)) <= 120
+    finally:
+        configure(spark)
