@@ -14,11 +14,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources import schema as S
+from .forest import contributions, trees
 from .model import FittedModel, _inputs
 
+FOREST_ROWS = 8192  # background rows that go through a forest at once
+
 
 def _score(fm: FittedModel, df: DataFrame, cls: int | None) -> DataFrame:
     keep = [c for c in df.columns if c.startswith("__")]
@@ -82,15 +86,52 @@ def _class_scores(fm: FittedModel, df: DataFrame) -> DataFrame:
     return out.select(*keep, F.array("prediction").alias("__f"))
 
 
+def _synthetic_sums(fm: FittedModel, x, background: DataFrame, bg: DataFrame) -> DataFrame:
+    """(class, feature index, sum of its contributions) by scoring every synthetic row, for any model."""
+    feats = fm.feature_names
+    k = len(feats)
+    syn = bg.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    syn = syn.withColumns({f: F.when(F.array_position("__order", i) <= F.col("__j"), F.lit(x[f]).cast(background.schema[f].dataType))
+                           .otherwise(F.col(f"`{f}`")) for i, f in enumerate(feats)})
+    scored = _class_scores(fm, syn).select("__order", "__j", F.posexplode("__f").alias("c", "f"))
+    sides = F.array(F.struct(F.get("__order", F.col("__j") - 1).alias("i"), F.col("f").alias("v")),
+                    F.struct(F.get("__order", F.col("__j")).alias("i"), (-F.col("f")).alias("v")))
+    return scored.select("c", "__j", F.explode(sides).alias("s")).where("s.i is not null").groupBy("c", "s.i").agg(F.sum("s.v").alias("v"))
+
+
+def _forest_sums(fm: FittedModel, forest: list, entity: DataFrame, background: DataFrame, bg: DataFrame) -> DataFrame:
+    """The same for a random forest, whose synthetic rows need not be made (``forest.contributions``)."""
+    q = [F.col(f"`{c}`").cast(background.schema[c].dataType).alias(c) for c in fm.feature_names]
+    data = lambda df, *more: fm.pre.transform(df).select(F.array(*[c.cast("double") for c in _inputs(df, fm.num_cols, fm.cat_cols)]).alias("x"), *more)
+    value = lambda v: np.array([np.nan if e is None else e for e in v], "float64")
+    x = value(data(entity.select(*q)).first()["x"])
+    k = len(x)
+
+    def part(batches):
+        import pyarrow as pa
+        total = 0
+        for b in batches:
+            for at in range(0, b.num_rows, FOREST_ROWS):
+                some = b.slice(at, FOREST_ROWS)
+                flat = some.column("x").flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
+                order = some.column("__order").flatten().to_numpy(zero_copy_only=False).astype("int32")
+                total = total + contributions(forest, x, flat.reshape(-1, k), order.reshape(-1, k))
+        if not np.isscalar(total):
+            i, c = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c.ravel().astype("int32")), pa.array(i.ravel().astype("int32")), pa.array(total.ravel())], ["c", "i", "v"])
+
+    return data(bg, "__order").mapInArrow(part, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v"))
+
+
 def explain_whole(fm: FittedModel, entity: DataFrame, background: DataFrame, seed: int = 42, cls: int = 1) -> DataFrame:
     """Attribution over a background of any size: ``feature, contribution, importance``.
 
     Every background row takes the features of the entity in an order of its own, fixed by a hash of the row, so the
     work is linear in the rows (one synthetic row per feature and row) and their number takes the place of repeated
     orders.  A synthetic row's score counts for the feature that has just entered and against the one that enters next;
-    the sums are combined in the tasks, no row meets another.  ``contribution`` is that to class ``cls`` (or to the
-    prediction), ``importance`` the mean of its size over all classes.  For each class the contributions add up to
-    f(x) - mean f(background)."""
+    the sums are combined in the tasks, no row meets another.  For a random forest the same sums are taken leaf by leaf.
+    ``contribution`` is that to class ``cls`` (or to the prediction), ``importance`` the mean of its size over all classes.
+    For each class the contributions add up to f(x) - mean f(background)."""
     feats = fm.feature_names
     q = [F.col(f"`{c}`") for c in feats]
     rows = entity.select(*q).limit(2).collect()
@@ -99,13 +140,8 @@ def explain_whole(fm: FittedModel, entity: DataFrame, background: DataFrame, see
     k = len(feats)
     keys = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(i), *q).alias("h"), F.lit(i).alias("i")) for i in range(k)])
     bg = background.select(*q).withColumn("__order", F.transform(F.array_sort(keys), lambda e: e["i"]))
-    syn = bg.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    syn = syn.withColumns({f: F.when(F.array_position("__order", i) <= F.col("__j"), F.lit(rows[0][f]).cast(background.schema[f].dataType))
-                           .otherwise(F.col(f"`{f}`")) for i, f in enumerate(feats)})
-    scored = _class_scores(fm, syn).select("__order", "__j", F.posexplode("__f").alias("c", "f"))
-    sides = F.array(F.struct(F.get("__order", F.col("__j") - 1).alias("i"), F.col("f").alias("v")),
-                    F.struct(F.get("__order", F.col("__j")).alias("i"), (-F.col("f")).alias("v")))
-    sums = scored.select("c", "__j", F.explode(sides).alias("s")).where("s.i is not null").groupBy("c", "s.i").agg(F.sum("s.v").alias("v"))
+    forest = trees(fm.model.stages[-1])
+    sums = _synthetic_sums(fm, rows[0], background, bg) if forest is None else _forest_sums(fm, forest, entity, background, bg)
     n = background.agg(F.count(F.lit(1))).scalar()
     per = sums.select("c", "i", (F.col("v") / n).alias("v"))
     used = F.lit(cls if fm.task == "classification" else 0)

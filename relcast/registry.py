@@ -26,7 +26,7 @@ from .operators import tasks as E
 from .operators import transforms as T
 from .plans.history import Win, window_aggregate
 from .plans.history import Agg, cumulative_aggregate, expand_created
-from .session import ensure_checkpoint_dir
+from .session import ensure_checkpoint_dir, materialize
 from .sources import rdb as R
 from .sources import schema as SC
 
@@ -781,9 +781,10 @@ def q_explain_top_features(spark, sf_dir):
     the highest predicted churn probability (ties: smallest id); top 10 features."""
     shop, spec = _churn_spec(spark, sf_dir)
     ans = PQ.answer(shop, spec)
-    best = M.format_predictions(ans.predictions, "classification").orderBy(
+    test = materialize(ans.test)  # searched for the entity, then read for its features
+    best = M.format_predictions(M.predict(ans.model, test), "classification").orderBy(
         F.col("y_prob").desc(), F.col("__id")).first()["__id"]
-    entity = X.entity_row(ans.test, best)
+    entity = X.entity_row(test, best)
     return M.top_k_features(X.explain_whole(ans.model, entity, ans.train), 10)
 
 
